@@ -1 +1 @@
-"""operators of the library."""
+"""DataFrame operators: ranking, de-duplication, merging, budgets, schedules, graphs and pages."""

@@ -1 +1 @@
-"""sources of the library."""
+"""Readers of captured responses: provider payloads, feeds, sitemaps, robots files, and texts."""

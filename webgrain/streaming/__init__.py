@@ -1 +1 @@
-"""streaming of the library."""
+"""Structured Streaming forms of the stateful operators. Watermarks are an addition: the batch forms have no event time."""
