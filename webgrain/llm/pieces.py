@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from webgrain.llm.common import map_rows, pick, tokenizer_path
 
 #: So many chunks and token pairs are remembered a worker; longer chunks never are.
-KEPT_CHUNKS, KEPT_PAIRS, LONG = 200_000, 400_000, 64
+KEPT_CHUNKS, KEPT_PAIRS, LONG = 400_000, 300_000, 64
 
 SPACE = "▁"
 _LOADED: dict[str, PieceCodec] = {}
@@ -43,7 +43,6 @@ class PieceCodec:
         self.text: list[str] = []
         self.bytes: dict[int, int] = {}
         self.rank: dict[str, float] = {}
-        self.ids: dict[str, int] = {}
         self.matches = ahocorasick.Automaton()
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -55,9 +54,12 @@ class PieceCodec:
             else:
                 self.text.append(piece)
                 self.rank[piece] = model.get_score(i)
-                self.ids[piece] = i
                 self.matches.add_word(piece, (len(piece), i))
         self.matches.make_automaton()
+        #: Neighbouring characters that some token holds; no token crosses between any others.
+        self.held = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        self.parts: dict[str, tuple[int, str, str]] = {}
+        self.size = [len(t) for t in self.text]
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.fits: dict[int, bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
@@ -89,33 +91,42 @@ class PieceCodec:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a chunk in which spaces are marks. -1-c stands for an unknown character c in the table."""
-        whole = self.ids.get(chunk)
-        if whole is not None and self.merged(chunk) == [chunk]:
-            return [whole]
         n = len(chunk)
-        ending: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, match in self.matches.iter(chunk):
-            ending[end].append(match)
-        last = [0] * n
-        for i in range(n):
-            for size, token in ending[i]:
-                if size == i + 1 or (before := last[i - size]) < 0 or self.compatible(before, token):
-                    last[i] = token
-                    break
+        none = -1 - 0x110000
+        last, done, fits = [none] * n, -1, self.fits
+        # Matches come by their end, the longest first; the one that is compatible with the token before it is the last token there.
+        for end, (size, token) in self.matches.iter(chunk):
+            if last[end] != none:
+                continue
+            while done < end - 1:
+                done += 1
+                if last[done] == none:
+                    last[done] = -1 - ord(chunk[done])
+            if size > end:
+                last[end] = token
             else:
-                if ending[i] and any(size == 1 for size, _ in ending[i]):
-                    raise ValueError(f"no token ends at {i} in {chunk[:80]!r}")
-                last[i] = -1 - ord(chunk[i])
+                before = last[end - size]
+                if before < 0:
+                    last[end] = token
+                else:
+                    fit = fits.get(before << 32 | token)
+                    if fit or (fit is None and self.compatible(before, token)):
+                        last[end] = token
+        for at in range(n):
+            if last[at] == none:
+                last[at] = -1 - ord(chunk[at])
         out: list[int] = []
         i = n - 1
         while i >= 0:
-            if last[i] < 0:
-                out.extend(self.bytes[b] for b in reversed(chr(-1 - last[i]).encode()))
+            token = last[i]
+            if token < 0:
+                out.extend([self.bytes[b] for b in reversed(chr(-1 - token).encode())])
                 i -= 1
             else:
-                out.append(last[i])
-                i -= len(self.text[last[i]])
-        return out[::-1]
+                out.append(token)
+                i -= self.size[token]
+        out.reverse()
+        return out
 
     def chunks(self, text: str | None) -> list[str]:
         return self.cut(SPACE + text.replace(" ", SPACE)) if text else []
@@ -128,7 +139,10 @@ class PieceCodec:
         return self.unmarked(self.decode_marked(ids))
 
     def decode_marked(self, ids: list[int]) -> str:
-        parts: list[str] = []
+        parts = [self.text[i] for i in ids]
+        if all(parts):
+            return "".join(parts)
+        parts = []
         raw = bytearray()
         for i in ids:
             byte = self.of_byte.get(i)
@@ -148,22 +162,42 @@ class PieceCodec:
         return marked.replace(SPACE, " ")[marked[:1] == SPACE :]
 
     def entry(self, chunk: str) -> tuple[int, str, str]:
-        """Of a chunk: how many ids, the ids as text, and what they decode to."""
-        ids = self.encode_chunk(chunk)
-        return len(ids), ",".join(map(str, ids)), self.decode_marked(ids)
+        """Of a chunk: how many ids, the ids as text, and what they decode to. It is cut where no token crosses, so a word before a comma is known from elsewhere."""
+        held = self.held
+        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in held]
+        if not cuts:
+            return self.part(chunk)
+        found = [self.part(chunk[a:b]) for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
+        return sum(f[0] for f in found), ",".join([f[1] for f in found]), "".join([f[2] for f in found])
+
+    def part(self, chunk: str) -> tuple[int, str, str]:
+        found = self.parts.get(chunk)
+        if found is None:
+            ids = self.encode_chunk(chunk)
+            found = len(ids), ",".join(map(str, ids)), self.decode_marked(ids)
+            if len(chunk) <= LONG:
+                if len(self.parts) >= KEPT_CHUNKS:
+                    self.parts.clear()
+                self.parts[chunk] = found
+        return found
 
     def entries(self, text: str | None) -> list[tuple[int, str, str]]:
-        known, out = self.known, []
-        for chunk in self.chunks(text):
-            found = known.get(chunk)
-            if found is None:
-                found = self.entry(chunk)
-                if len(chunk) <= LONG:
-                    if len(known) >= KEPT_CHUNKS:
-                        known.clear()
-                    known[chunk] = found
-            out.append(found)
-        return out
+        """The entries of a text's chunks. Where single spaces alone part the words, a chunk is a mark and a word."""
+        if not text:
+            return []
+        if SPACE in text or "  " in text or text[-1] == " " or text[0] == " ":
+            return [self.known.get(c) or self.learnt(c) for c in (c[1:] if c[0] == SPACE and c[1:2] != SPACE else "  " + c for c in self.chunks(text))]
+        known = self.known
+        return [known.get(word) or self.learnt(word) for word in text.split(" ")]
+
+    def learnt(self, key: str) -> tuple[int, str, str]:
+        """Remember a chunk's entry. The key is the chunk without its mark; one that has none, or several, has two spaces in front."""
+        found = self.entry(key[2:] if key[:2] == "  " else SPACE + key)
+        if len(key) <= LONG:
+            if len(self.known) >= KEPT_CHUNKS:
+                self.known.clear()
+            self.known[key] = found
+        return found
 
 
 def _utf8(raw: bytes | bytearray) -> str:
