@@ -4,27 +4,30 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Collection
-
 import numpy as np
 
 from webgrain.llm.common import tokenizer_path
 
 #: So many chunks are remembered a worker (about 80 MB); longer ones are encoded anew each time.
-KEPT, LONG = 300_000, 64
+KEPT, LONG = 400_000, 64
 
 _LOADED: dict[str, ChunkEncoder] = {}
 
 
+#: A word and the ASCII punctuation after it; both pre-tokenisers cut between the two.
+_TAIL = re.compile(r"([^\W_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+_WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, without special tokens added.
 
-    A text is cut at single spaces between two characters that aren't white space.
-    Both supported pre-tokenisers end a token there, so the ids of the text are the
-    ids of its chunks in order; the tests hold this against the library. Texts with
-    white space in a row, or with the string of a special token, go to the library in
-    one piece. Each distinct chunk is encoded once a worker; the memory is emptied
-    when it is full, so it is bounded.
+    A text is cut where both supported pre-tokenisers end a token: at white space
+    between two other characters, and between a word and punctuation. So the ids of the
+    text are the ids of its chunks in order; the tests hold this against the library.
+    Texts with white space in a row (where spaces belong to tokens), or with the string
+    of a special token, go to the library in one piece. Each distinct chunk is encoded
+    once a worker; the memory is emptied when it is full, so it is bounded.
     """
 
     def __init__(self, path: str):
@@ -33,18 +36,30 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        #: Whether a space belongs to the token that follows it; else white space is dropped.
+        #: Whether a space belongs to the token that follows it; else white space is dropped and case folded.
         self.keeps_space = '"use_regex": true' in json.dumps(spec["pre_tokenizer"])
-        marks = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
-        self.whole = re.compile(rf" \s|\s |^\s|\s$|{marks}").search
+        self.marks = [t["content"] for t in spec["added_tokens"]] + list("\x1c\x1d\x1e\x1f")
+        if self.keeps_space:
+            self.marks += list("\t\r\x0b\x0c")
+        #: Ids by chunk behind a space, and by chunk behind a line end (with the line end's id).
         self.known: dict[str, bytes] = {}
+        self.lined: dict[str, bytes] = {}
+        self.long: list[tuple[dict[str, bytes], str]] = []
+
+    def whole(self, text: str) -> bool:
+        """Whether a text isn't words with one space or line end between them, or holds a special token."""
+        if any(m in text for m in self.marks):
+            return True
+        if not self.keeps_space:
+            return False
+        return not text.isascii() and any(c in text for c in _WIDE_SPACES) or len(text.split()) != text.count(" ") + text.count("\n") + 1
 
     def library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def fresh(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk as it follows a space: one call for all, cut at the chunks' ends."""
-        got = self.tokenizer.encode(" " + " ".join(chunks), add_special_tokens=False)
+    def fresh(self, chunks: list[str], lead: str) -> list[bytes]:
+        """The ids of each chunk behind a lead: one call for all, cut at the chunks' ends."""
+        got = self.tokenizer.encode(lead + lead.join(chunks), add_special_tokens=False)
         ids = np.asarray(got.ids, np.uint32)
         ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
         last = np.fromiter((end for _, end in got.offsets), np.int64, len(ids))
@@ -52,17 +67,27 @@ class ChunkEncoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
-    def fill(self, chunks: Collection[str]) -> dict[str, bytes]:
-        missing = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(missing) > KEPT:
-            self.known = {}
-            missing = list(chunks)
+    def learn(self, table: dict[str, bytes], chunks: set[str], lead: str) -> None:
+        missing = [c for c in chunks if c not in table]
         if missing:
-            self.known.update(zip(missing, self.fresh(missing), strict=True))
-        out = self.known
-        if len(out) > KEPT or any(len(c) > LONG for c in missing):
-            self.known = {c: i for c, i in out.items() if len(c) <= LONG} if len(out) <= KEPT else {}
-        return out
+            table.update(zip(missing, self.fresh(missing, lead), strict=True))
+            self.long += [(table, c) for c in missing if len(c) > LONG]
+
+    def fill(self, words: set[str]) -> None:
+        """Learn the words that stand behind a space, from their stems and punctuation where they have both."""
+        known = self.known
+        missing = [w for w in words if w not in known]
+        tails = [(w, m[1], m[2]) for w in missing if (m := _TAIL(w))]
+        apart = {w for w, _, _ in tails}
+        self.learn(known, {w for w in missing if w not in apart} | {s for _, s, _ in tails}, " ")
+        if self.keeps_space:
+            self.learn(self.lined, {p for _, _, p in tails}, "\n")
+            for w, stem, punctuation in tails:
+                known[w] = known[stem] + self.lined[punctuation][4:]
+        else:
+            self.learn(known, {p for _, _, p in tails}, " ")
+            for w, stem, punctuation in tails:
+                known[w] = known[stem] + known[punctuation]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, one after another; null is the empty text."""
@@ -82,16 +107,28 @@ class ChunkEncoder:
         return out
 
     def several(self, texts: list[str | None], at: list[int], out: list[bytes]) -> None:
-        cut = [texts[i].split(" ") for i in at]
-        words: set[str] = {"a"}
-        for chunks in cut:
-            words.update(chunks)
-        known = self.fill(words)
-        for i, chunks in zip(at, cut, strict=True):
-            if self.keeps_space:
-                out[i] = self.library(chunks[0]) + b"".join([known[c] for c in chunks[1:]])
-            else:
-                out[i] = b"".join([known[c] for c in chunks])
+        if not self.keeps_space:
+            # Of bytes, only ASCII letters become lower case; the library folds the others.
+            cut = [texts[i].encode().lower().decode().split() for i in at]
+            self.fill(set().union(*cut))
+            known = self.known.__getitem__
+            for i, words in zip(at, cut, strict=True):
+                out[i] = b"".join(map(known, words))
+        else:
+            # Lines are cut into words; the first word of a line stands behind the line end, the others behind a space.
+            lines = [[line.split(" ") for line in texts[i].split("\n")] for i in at]
+            heads = [[line.pop(0) for line in text] for text in lines]
+            self.fill(set().union(*[line for text in lines for line in text]))
+            self.learn(self.lined, set().union(*heads), "\n")
+            known, lined = self.known.__getitem__, self.lined
+            for i, first, text in zip(at, heads, lines, strict=True):
+                out[i] = b"".join([x for head, line in zip(first, text, strict=True) for x in (lined[head], *map(known, line))])[4:]
+        for table in (self.known, self.lined):
+            if len(table) > KEPT:
+                table.clear()
+        for table, word in self.long:
+            table.pop(word, None)
+        self.long.clear()
 
 
 def encoder(name: str) -> ChunkEncoder:
