@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from webgrain.operators import schedule
 from webgrain.plans.registry import register, table
 
-MS = "epoch_ms(ts)"
+MS = "(epoch_us(ts) // 1000)"
 
 
 @register("politeness_schedule", f"""

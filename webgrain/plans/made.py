@@ -104,7 +104,7 @@ def robots_allowed(spark, sf_dir):
     return web.robots_allowed(made(spark, "host string, url string", *(("h", r) for r in raw)), rules).select("url", "allowed")
 
 
-@register("robots_delay", rows_sql("host, delay", ("h", 2.0)))
+@register("robots_delay", typed(rows_sql("host, delay", ("h", 2.0)), delay="DOUBLE"))
 def robots_delay(spark, sf_dir):
     return web.robots_rules(made(spark, "host string, body string", ("h", ROBOTS)), "grain").select("host", "delay").distinct()
 
@@ -181,10 +181,10 @@ def greedy_dedupe(spark, sf_dir):
     return records.greedy_dedupe(df).select("ord", "kept", "reason")
 
 
-@register("merge_scholarly", rows_sql("key, title, sources, conflicts", ("doi:10.1/a", "One", "x,y", "title=One@x|Uno@y"), (None, "Alone", "y", None), ("arxiv:2401.1", "P", "x,z", None)))
+@register("merge_scholarly", rows_sql("key, title, sources, conflicts", ("doi:10.1000/a", "One", "x,y", "title=One@x|Uno@y"), (None, "Alone", "y", None), ("arxiv:2401.1", "P", "x,z", None)))
 def merge_scholarly(spark, sf_dir):
     schema = "ord int, provider string, source string, id string, doi string, url string, title string, authors string, published string, citations long, arxiv_id string"
-    df = made(spark, schema, (1, "x", "x", "1", "10.1/A", None, "One", "a", None, 3, None), (2, "x", "arxiv", "2401.1v2", None, None, "P", None, None, None, None), (3, "y", "y", "2", None, "https://doi.org/10.1/a", "Uno", "a", "", None, None), (4, "y", "y", "3", None, None, "Alone", None, None, None, None), (5, "z", "z", "4", None, None, "P", None, None, None, "arXiv:2401.1"))
+    df = made(spark, schema, (1, "x", "x", "1", "10.1000/A", None, "One", "a", None, 3, None), (2, "x", "arxiv", "2401.1v2", None, None, "P", None, None, None, None), (3, "y", "y", "2", None, "https://doi.org/10.1000/a", "Uno", "a", "", None, None), (4, "y", "y", "3", None, None, "Alone", None, None, None, None), (5, "z", "z", "4", None, None, "P", None, None, None, "arXiv:2401.1"))
     # Equal values of the url field count once each, and a missing one is none.
     m = records.merge_scholarly(df)
     c = F.array_join(F.transform(F.map_entries("conflicts"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.transform(e["value"], lambda v: F.concat_ws("@", v["value"], v["provider"])), "|"))), ";")
