@@ -184,10 +184,11 @@ def read_archives(spark, path: str, payloads: bool = False) -> DataFrame:
     it refers to, as written. ``payload`` is null unless ``payloads``.
     """
     arrow = arrow_schema(spark, READ)
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary, archive string").load(f"{path}/archives")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/archives")
+    files = files.select(F.regexp_extract("path", "/archive=([^/]+)/", 1).alias("archive"), "content")
     index = spark.read.schema("archive string, seq int, start bigint, size bigint, record_id string").parquet(f"{path}/index")
     lines = index.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "size"))).alias("lines"))
-    both = files.select("archive", "content").join(lines, "archive")
+    both = files.join(lines, "archive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,13 +14,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def politeness(stream: DataFrame, gap: int) -> DataFrame:
     """``event_id, user_id, start`` of requests ``event_id, user_id, arrival``: the state of a key is its last start.
 
-    Requests of one batch are taken in arrival order. State of keys without requests for a day is dropped.
+    Requests of one batch are taken in arrival order.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["arrival", "event_id"])
         starts = []
@@ -28,10 +25,9 @@ def politeness(stream: DataFrame, gap: int) -> DataFrame:
             last = int(arrival) if last is None else max(int(arrival), last + gap)
             starts.append(last)
         state.update((last,))
-        state.setTimeoutDuration(86_400_000)
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "start": starts})
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, start long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, start long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def quota(stream: DataFrame, limit: int) -> DataFrame:
