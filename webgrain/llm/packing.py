@@ -62,8 +62,10 @@ def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", token
 
     Each partition packs its own pieces (the texts are not shuffled) and closes bins
     with at most ``slack`` tokens of room. The others, a few a partition, are items of
-    the next round: nodes of at most ``NODE`` of them pack again, until one node is
-    left, whose bins are all closed. Each round is written to the shared folder once.
+    the next round: nodes of about ``NODE`` of them pack again, dealt anew each round,
+    until one node is left or a round saves under one bin in a hundred (bins over half
+    full that fit no other). What is open then stays as it is. Each round is written to
+    the shared folder once.
     """
     spark = df.sparkSession
     arrow = arrow_schema(spark, OPEN)
@@ -113,7 +115,7 @@ def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", token
     path = shared_path(spark, "packing")
     schema = rows.mapInArrow(local, OPEN).schema
     rows.mapInArrow(local, OPEN).write.parquet(f"{path}/0")
-    closed, round_ = [], 0
+    closed, round_, before, alone = [], 0, 0, False
     while True:
         now = spark.read.schema(schema).parquet(f"{path}/{round_}")
         closed.append(now.where("not open").drop("open"))
@@ -122,16 +124,12 @@ def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", token
         if not n:
             break
         nodes = -(-n // NODE)
-        if nodes == 1 and round_:
+        if round_ and (alone or before - n < before / 100):
             closed.append(left.drop("open"))
             break
-        round_ += 1
+        round_, before, alone = round_ + 1, n, nodes == 1
         spread = left.withColumn("node", F.pmod(F.xxhash64("sequence_id"), F.lit(nodes)))
         spread.groupBy("node").applyInPandas(merge(round_), OPEN).write.parquet(f"{path}/{round_}")
-        if nodes == 1:
-            closed.append(spark.read.schema(schema).parquet(f"{path}/{round_}").where("open").drop("open"))
-            closed.append(spark.read.schema(schema).parquet(f"{path}/{round_}").where("not open").drop("open"))
-            break
     out = closed[0]
     for c in closed[1:]:
         out = out.unionByName(c)
