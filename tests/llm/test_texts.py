@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from webgrain.llm import chunks, packing, pieces, pii, prefix_hash, quality, simhash, simple8b
+from webgrain.llm import chunks, common, packing, pieces, pii, prefix_hash, quality, simhash, simple8b
 from webgrain.llm.common import tokenizer_path
 
 DOCS = "doc_id bigint, text string, TEXT string, n_tokens int, fingerprint string, key int"
@@ -250,7 +250,7 @@ def plain_edits(rows):
 
 
 def test_edit_fingerprints(spark, real, docs, empty):
-    for frame in (real.select("doc_id", "text"), docs.select("doc_id", "text"), real.select((F.col("doc_id") * 977 - 5000).alias("doc_id"), "text")):
+    for frame in (real.select("doc_id", "text"), common.pick(docs, doc_id="doc_id", text="text"), real.select((F.col("doc_id") * 977 - 5000).alias("doc_id"), "text")):
         got = sorted(map(tuple, prefix_hash.edit_fingerprints(frame).collect()), key=str)
         assert got == sorted(plain_edits([tuple(r) for r in frame.collect()]), key=str)
     one = spark.createDataFrame([(5, "abcd")], "doc_id bigint, text string")

@@ -193,8 +193,10 @@ def _example(rng: np.random.Generator) -> tuple[str, list[tuple[str, str]]]:
             a, b, c = d(3), "555", d(4)
             parts += [(f"+1 ({a}) {b}-{c}", kind), (f"({a}) {b}-{c}" if rng.random() < 0.5 else f"{a}.{b}.{c}", kind)]
     for _ in range(rng.integers(0, 5)):
-        noise = rng.integers(6)
-        parts.append(((d(8), d(16), f"20{d(2)}-0{1 + rng.integers(9)}-1{d(1)}", f"{d(3)}.{d(3)}.{d(4)}", f"@{d(2)}x", f"({d(3)}) {d(3)}-{d(4)}")[noise], "none"))
+        noise = rng.integers(7)
+        body = "4" + d(14)
+        dotted = body + next(c for c in "0123456789" if luhn(body + c))
+        parts.append(((d(8), d(16), f"20{d(2)}-0{1 + rng.integers(9)}-1{d(1)}", f"{d(3)}.{d(3)}.{d(4)}", f"@{d(2)}x", f"({d(3)}) {d(3)}-{d(4)}", ".".join(dotted[i : i + 4] for i in range(0, 16, 4)))[noise], "none"))
     parts = [parts[i] for i in rng.permutation(len(parts))]
     return "".join(f"{p} words between {'and more of the same kind here ' * int(rng.integers(1, 3))}" for p, _ in parts), parts
 
