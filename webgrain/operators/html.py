@@ -286,10 +286,11 @@ def metadata(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
     rel_names = F.array_distinct(F.filter(F.transform("_links", lambda x: x["rel"]), lambda r: r != ""))
     rel_map = F.map_from_arrays(rel_names, F.transform(rel_names, lambda r: F.transform(F.filter("_links", lambda x: x["rel"] == r), lambda x: x["href"])))
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    title = F.regexp_replace(_unescaped(F.regexp_extract("_h", r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " ")
     rows = df.select(key, F.col(url).alias("_url"), h.alias("_h"), pairs.alias("_pairs"), links_.alias("_links"))
     return rows.select(
         key,
-        filled(F.regexp_replace(_unescaped(F.regexp_extract("_h", r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " ")).alias("title"),
+        F.when(F.trim(title) != "", title).alias("title"),
         filled(named("description")).alias("description"),
         filled(attr(F.regexp_extract("_h", r"(?is)<html[^>]*>", 0), "lang")).alias("lang"),
         filled(F.regexp_extract("_h", r"(?is)<meta[^>]*charset\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1)).alias("charset"),

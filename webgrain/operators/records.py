@@ -124,10 +124,10 @@ def failover(results: DataFrame) -> DataFrame:
     return results.join(first, ["query_id", "priority"], "left_semi")
 
 
-def unvisited(urls: DataFrame, visited: DataFrame, url: str = "url") -> DataFrame:
-    """URLs whose canonical form is not among those visited."""
-    key = canonical_url(F.col(url), "drop-tracking")
-    seen = visited.select(canonical_url(F.col(url), "drop-tracking").alias("_key")).distinct()
+def unvisited(urls: DataFrame, visited: DataFrame, url: str = "url", query: str = "drop-tracking") -> DataFrame:
+    """URLs whose canonical form is not among those visited; ``query`` says what of a query string counts."""
+    key = canonical_url(F.col(url), query)
+    seen = visited.select(canonical_url(F.col(url), query).alias("_key")).distinct()
     return urls.withColumn("_key", key).join(seen, "_key", "left_anti").drop("_key")
 
 

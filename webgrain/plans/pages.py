@@ -74,11 +74,10 @@ def url_dedupe(spark, sf_dir):
     return records.first_seen(table(spark, sf_dir, "pages"), urls.canonical_url(F.col("url"), "drop"), "page_id").select("page_id")
 
 
-@register("unvisited", f"SELECT page_id FROM pages WHERE {CANON_SQL} NOT IN (SELECT {CANON_SQL} FROM pages WHERE page_id % 3 = 0)".replace("GROUP", "GROUP"))
+@register("unvisited", f"SELECT page_id FROM pages WHERE {CANON_SQL} NOT IN (SELECT {CANON_SQL} FROM pages WHERE page_id % 3 = 0)")
 def unvisited(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    plain = pages.select("page_id", urls.canonical_url(F.col("url"), "drop").alias("url"))
-    return records.unvisited(plain, plain.where("page_id % 3 = 0").select("url")).select("page_id")
+    return records.unvisited(pages.select("page_id", "url"), pages.where("page_id % 3 = 0").select("url"), query="drop").select("page_id")
 
 
 @register("page_titles", "SELECT page_id, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, 'charset=\"([^\"]*)\"', 1) AS charset FROM pages")
