@@ -237,6 +237,15 @@ def test_prefix_hash():
             assert 0 <= ha.likeness(hb) <= 1 and (ha.likeness(hb) == 1) == (a == b)
 
 
+def test_neighbours(spark):
+    rng = random.Random(4)
+    numbers = {*range(-5, 5000, 3), *(rng.randrange(-(1 << 56), 1 << 56) for _ in range(300)), -(1 << 60)}
+    order = sorted(numbers)
+    got = prefix_hash.neighbours(spark.createDataFrame([(n,) for n in numbers], "own bigint")).collect()
+    assert sorted(map(tuple, got)) == list(zip(order, [*order[1:], order[0]], strict=True))
+    assert prefix_hash.neighbours(spark.createDataFrame([(7,)], "own bigint")).first()["after"] == 7
+
+
 def plain_edits(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     out = []

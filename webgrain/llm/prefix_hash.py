@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import map_rows, pick
+from webgrain.llm.common import map_rows, pick, stored
 
 #: Two prime moduli below 2**31 and their bases; fixed, so fingerprints agree between runs.
 MODULI, BASES = (2147483647, 2147483629), (911382323, 972663749)
@@ -99,6 +99,26 @@ class PrefixHash:
         return f"{self.n:x}-{int(self.h[0][-1]):08x}{int(self.h[1][-1]):08x}"
 
 
+def neighbours(numbers: DataFrame, bits: int = 12, levels: int = 4) -> DataFrame:
+    """``own, after``: of each distinct number (of 60 bits) the next larger one; of the largest, the smallest.
+
+    Numbers alike but for their last ``bits`` bits meet in one window, so no window has
+    over 2**bits rows, however the numbers lie. A window's largest number is followed by
+    the least of the next window, which is found the same way one level up; at the top
+    are a few thousand numbers at most.
+    """
+    if not levels:
+        every = Window.orderBy(F.col("own").desc())
+        least = F.min("own").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return numbers.select("own", F.coalesce(F.lag("own").over(every), least).alias("after"))
+    rows = numbers.select("own", F.shiftright("own", bits).alias("up"))
+    leasts = rows.groupBy("up").agg(F.min("own").alias("least"))
+    above = neighbours(leasts.select(F.col("up").alias("own")), bits, levels - 1)
+    follow = above.join(leasts.withColumnRenamed("up", "after"), "after").select(F.col("own").alias("up"), "least")
+    inside = F.lag("own").over(Window.partitionBy("up").orderBy(F.col("own").desc()))
+    return rows.withColumn("inside", inside).join(follow, "up").select("own", F.coalesce("inside", "least").alias("after"))
+
+
 def in_order(df: DataFrame, text: str = "text", key: str = "doc_id", block: int = 128) -> DataFrame:
     """Rows ``key, text, extra`` such that in each partition every row is followed by the next one in descending key order.
 
@@ -109,12 +129,10 @@ def in_order(df: DataFrame, text: str = "text", key: str = "doc_id", block: int
     null key come last; rows of equal key follow each other by text.
     """
     rows = pick(df, key=key, text=text).select(F.col("key").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("key") / block), F.lit(-(1 << 62))))
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("key") / block), F.lit(-(1 << 59))))
     order = (F.col("key").desc_nulls_last(), F.col("text").asc())
-    # One row a block of keys, so less than a hundredth of the table's rows and none of its texts.
-    blocks = rows.groupBy("block").count()
-    along = Window.orderBy(F.col("block").desc())
-    linked = blocks.select("block", F.coalesce(F.lag("block").over(along), F.min("block").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    # One row a block of keys, and none of the texts.
+    linked = neighbours(stored(rows.select(F.col("block").alias("own")).distinct(), "blocks")).select(F.col("own").alias("block"), F.col("after").alias("before"))
     heads = rows.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(*order))).where("rank = 1")
     heads = heads.join(linked, "block").select("key", "text", F.col("before").alias("block"), F.lit(True).alias("extra"))
     every = rows.withColumn("extra", F.lit(False)).unionByName(heads)
