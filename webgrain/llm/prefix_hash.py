@@ -133,8 +133,10 @@ def in_order(df: DataFrame, text: str = "text", key: str = "doc_id", block: int
     order = (F.col("key").desc_nulls_last(), F.col("text").asc())
     # One row a block of keys, and none of the texts.
     linked = neighbours(stored(rows.select(F.col("block").alias("own")).distinct(), "blocks")).select(F.col("own").alias("block"), F.col("after").alias("before"))
-    heads = rows.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(*order))).where("rank = 1")
-    heads = heads.join(linked, "block").select("key", "text", F.col("before").alias("block"), F.lit(True).alias("extra"))
+    # The least of each block in that order, found before the shuffle: larger keys have smaller complements.
+    least = F.min(F.struct(F.col("key").isNull().alias("last"), F.bitwise_not("key").alias("complement"), "text")).alias("h")
+    heads = rows.groupBy("block").agg(least).join(linked, "block")
+    heads = heads.select(F.bitwise_not("h.complement").alias("key"), "h.text", F.col("before").alias("block"), F.lit(True).alias("extra"))
     every = rows.withColumn("extra", F.lit(False)).unionByName(heads)
     return every.repartition("block").sortWithinPartitions("block", "extra", *order).drop("block")
 
