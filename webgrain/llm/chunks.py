@@ -8,8 +8,8 @@ import numpy as np
 
 from webgrain.llm.common import tokenizer_path
 
-#: So many chunks are remembered a worker (about 80 MB); longer ones are encoded anew each time.
-KEPT, LONG = 400_000, 64
+#: So many chunks a generation, of which there are two, are remembered a worker (about 120 MB each); longer ones are encoded anew each time.
+KEPT, LONG = 600_000, 64
 
 _LOADED: dict[str, ChunkEncoder] = {}
 
@@ -26,8 +26,10 @@ class ChunkEncoder:
     between two other characters, and between a word and punctuation. So the ids of the
     text are the ids of its chunks in order; the tests hold this against the library.
     Texts with white space in a row (where spaces belong to tokens), or with the string
-    of a special token, go to the library in one piece. Each distinct chunk is encoded
-    once a worker; the memory is emptied when it is full, so it is bounded.
+    of a special token, go to the library in one piece. Distinct chunks are
+    encoded once while they are remembered: a full table becomes the old generation, from
+    which chunks that come again are taken over, and the older one goes. So the memory is
+    bounded and the frequent chunks stay.
     """
 
     def __init__(self, path: str):
@@ -41,10 +43,13 @@ class ChunkEncoder:
         self.marks = [t["content"] for t in spec["added_tokens"]] + list("\x1c\x1d\x1e\x1f")
         if self.keeps_space:
             self.marks += list("\t\r\x0b\x0c")
-        #: Ids by chunk behind a space, and by chunk behind a line end (with the line end's id).
+        #: Ids by chunk behind a space, or by line end and chunk; and the generation before.
         self.known: dict[str, bytes] = {}
-        self.lined: dict[str, bytes] = {}
-        self.long: list[tuple[dict[str, bytes], str]] = []
+        self.before: dict[str, bytes] = {}
+        #: A string of one token of its own that no chunk holds, and its id.
+        self.apart = "\n" if self.keeps_space else spec["added_tokens"][0]["content"]
+        (self.apart_id,) = self.tokenizer.encode(self.apart, add_special_tokens=False).ids
+        self.long: list[str] = []
 
     def whole(self, text: str) -> bool:
         """Whether a text isn't words with one space or line end between them, or holds a special token."""
@@ -58,36 +63,46 @@ class ChunkEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def fresh(self, chunks: list[str], lead: str) -> list[bytes]:
-        """The ids of each chunk behind a lead: one call for all, cut at the chunks' ends."""
-        got = self.tokenizer.encode(lead + lead.join(chunks), add_special_tokens=False)
+        """The ids of each chunk behind a lead: one call for all, cut at a token between them."""
+        mark = self.apart + lead
+        (got,) = self.tokenizer.encode_batch_fast([mark + mark.join(chunks)], add_special_tokens=False)
         ids = np.asarray(got.ids, np.uint32)
-        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
-        last = np.fromiter((end for _, end in got.offsets), np.int64, len(ids))
-        at = np.searchsorted(np.searchsorted(ends, last), np.arange(len(chunks) + 1))
+        at = 4 * np.flatnonzero(ids == self.apart_id)
         raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-    def learn(self, table: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        missing = [c for c in chunks if c not in table]
+        return [raw[a:b] for a, b in zip((at + 4).tolist(), [*at[1:].tolist(), len(raw)], strict=True)]
+
+    def missing(self, chunks: set[str]) -> list[str]:
+        """The chunks that neither generation knows; those that only the old one knows are taken over."""
+        known, before = self.known, self.before
+        out = [c for c in chunks if c not in known]
+        if not before:
+            return out
+        known.update((c, before[c]) for c in out if c in before)
+        return [c for c in out if c not in before]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Learn chunks behind a space, and those that begin with a line end."""
+        missing = self.missing(chunks)
+        lined = [c for c in missing if c[0] == "\n"]
+        if lined:
+            end = np.uint32(self.apart_id).tobytes()
+            self.known.update((c, end + ids) for c, ids in zip(lined, self.fresh([c[1:] for c in lined], ""), strict=True))
+            missing = [c for c in missing if c[0] != "\n"]
         if missing:
-            table.update(zip(missing, self.fresh(missing, lead), strict=True))
-            self.long += [(table, c) for c in missing if len(c) > LONG]
+            self.known.update(zip(missing, self.fresh(missing, " "), strict=True))
+        self.long += [c for c in (*lined, *missing) if len(c) > LONG]
 
     def fill(self, words: set[str]) -> None:
-        """Learn the words that stand behind a space, from their stems and punctuation where they have both."""
-        known = self.known
-        missing = [w for w in words if w not in known]
+        """Learn words, those behind a space from their stems and punctuation where they have both."""
+        missing = self.missing(words)
         tails = [(w, m[1], m[2]) for w in missing if (m := _TAIL(w))]
         apart = {w for w, _, _ in tails}
-        self.learn(known, {w for w in missing if w not in apart} | {s for _, s, _ in tails}, " ")
-        if self.keeps_space:
-            self.learn(self.lined, {p for _, _, p in tails}, "\n")
-            for w, stem, punctuation in tails:
-                known[w] = known[stem] + self.lined[punctuation][4:]
-        else:
-            self.learn(known, {p for _, _, p in tails}, " ")
-            for w, stem, punctuation in tails:
-                known[w] = known[stem] + known[punctuation]
+        # Where a space belongs to the token behind it, punctuation without one is taken from behind a line end.
+        lead, skip = ("\n", 4) if self.keeps_space else ("", 0)
+        self.learn({w for w in missing if w not in apart} | {s for _, s, _ in tails} | {lead + p for _, _, p in tails})
+        known = self.known
+        after = {p: known[lead + p][skip:] for p in {p for _, _, p in tails}}
+        known.update((w, known[stem] + after[p]) for w, stem, p in tails)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, one after another; null is the empty text."""
@@ -110,25 +125,18 @@ class ChunkEncoder:
         if not self.keeps_space:
             # Of bytes, only ASCII letters become lower case; the library folds the others.
             cut = [texts[i].encode().lower().decode().split() for i in at]
-            self.fill(set().union(*cut))
-            known = self.known.__getitem__
-            for i, words in zip(at, cut, strict=True):
-                out[i] = b"".join(map(known, words))
         else:
-            # Lines are cut into words; the first word of a line stands behind the line end, the others behind a space.
-            lines = [[line.split(" ") for line in texts[i].split("\n")] for i in at]
-            heads = [[line.pop(0) for line in text] for text in lines]
-            self.fill(set().union(*[line for text in lines for line in text]))
-            self.learn(self.lined, set().union(*heads), "\n")
-            known, lined = self.known.__getitem__, self.lined
-            for i, first, text in zip(at, heads, lines, strict=True):
-                out[i] = b"".join([x for head, line in zip(first, text, strict=True) for x in (lined[head], *map(known, line))])[4:]
-        for table in (self.known, self.lined):
-            if len(table) > KEPT:
-                table.clear()
-        for table, word in self.long:
-            table.pop(word, None)
+            # The first word of a line keeps the line end before it; the text's first word gets one, whose id is cut off.
+            cut = [("\n" + texts[i].replace("\n", " \n")).split(" ") for i in at]
+        self.fill(set().union(*cut))
+        known, skip = self.known.__getitem__, 4 * self.keeps_space
+        for i, words in zip(at, cut, strict=True):
+            out[i] = b"".join(map(known, words))[skip:]
+        for chunk in self.long:
+            self.known.pop(chunk, None)
         self.long.clear()
+        if len(self.known) > KEPT:
+            self.known, self.before = {}, self.known
 
 
 def encoder(name: str) -> ChunkEncoder:
