@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+
 import numpy as np
 
 from webgrain.llm.common import tokenizer_path
@@ -16,6 +18,11 @@ _LOADED: dict[str, ChunkEncoder] = {}
 
 #: A word and the ASCII punctuation after it; both pre-tokenisers cut between the two.
 _TAIL = re.compile(r"([^\W_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+#: Words that both pre-tokenisers leave whole and whose lower case is the same everywhere.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: The byte alphabet of both vocabularies: printable bytes stand for themselves, the others follow from 256 on.
+_SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = dict(zip([b for b in range(256) if b not in _SELF], range(256, 512), strict=False))
 _WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -38,6 +45,7 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         #: Whether a space belongs to the token that follows it; else white space is dropped and case folded.
         self.keeps_space = '"use_regex": true' in json.dumps(spec["pre_tokenizer"])
         self.marks = [t["content"] for t in spec["added_tokens"]] + list("\x1c\x1d\x1e\x1f")
@@ -62,8 +70,25 @@ class ChunkEncoder:
     def library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def latin(self, words: list[str], lead: str) -> list[bytes]:
+        """The ids of words of Latin letters behind a lead, by the vocabulary's merges alone."""
+        tokenize, before = self.model.tokenize, (lead if self.keeps_space else "").replace(" ", chr(_BYTES[32]))
+        pieces = words if self.keeps_space else map(str.lower, words)
+        return [array("I", [t.id for t in tokenize(before + (p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)))]).tobytes() for p in pieces]
+
     def fresh(self, chunks: list[str], lead: str) -> list[bytes]:
-        """The ids of each chunk behind a lead: one call for all, cut at a token between them."""
+        """The ids of each chunk behind a lead: words by the merges, the others in one call that is cut at a token between them."""
+        out = [b""] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if _LATIN(c)]
+        for i, ids in zip(plain, self.latin([chunks[i] for i in plain], lead), strict=True):
+            out[i] = ids
+        if len(plain) < len(chunks):
+            left = [i for i, c in enumerate(chunks) if not out[i]]
+            for i, ids in zip(left, self.together([chunks[i] for i in left], lead), strict=True):
+                out[i] = ids
+        return out
+
+    def together(self, chunks: list[str], lead: str) -> list[bytes]:
         mark = self.apart + lead
         (got,) = self.tokenizer.encode_batch_fast([mark + mark.join(chunks)], add_special_tokens=False)
         ids = np.asarray(got.ids, np.uint32)

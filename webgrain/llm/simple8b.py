@@ -28,17 +28,21 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first selector whose values all fit is taken; an id of more than 30 bits goes into a
     word of its own behind an escape. A word never crosses a block's end.
     """
-    ids = np.asarray(ids, np.uint64)
     n = len(ids)
-    best = np.full(n, len(COUNTS) - 1, np.int64)
-    room = np.minimum(BLOCK - np.arange(n) % BLOCK, n - np.arange(n))
+    best = np.full(n, len(COUNTS) - 1, np.int8)
+    room = (BLOCK - np.arange(n) % BLOCK).astype(np.int16)
     for s in range(len(COUNTS) - 2, -1, -1):
         c = int(COUNTS[s])
         if c > n:
             continue
-        big = np.concatenate([[0], np.cumsum(ids >= np.uint64(1 << int(BITS[s])))])
-        ok = np.flatnonzero(big[c:] == big[: n - c + 1])
-        best[ok[room[ok] >= c]] = s
+        fit, wide = ids < ids.dtype.type(1 << int(BITS[s])), 1
+        # Whether the next c ids all fit: windows grow by doubling.
+        while wide < c:
+            more = min(wide, c - wide)
+            fit = fit[:-more] & fit[more:]
+            wide += more
+        np.copyto(best[: len(fit)], s, where=fit & (room[: len(fit)] >= c))
+    ids = np.asarray(ids, np.uint64)
     step = COUNTS[best].tolist()
     at, i = [], 0
     while i < n:
