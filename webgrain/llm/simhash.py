@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webgrain.llm.common import arrow_schema, map_rows, pick, stored
@@ -22,7 +22,7 @@ from webgrain.llm.components import components
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-#: Members of a variant up to which they are joined in pairs; more are linked by a forest, in blocks of at most so many.
+#: Members of a variant up to which all their pairs are compared; more are linked by a forest, in blocks of at most so many.
 FEW, BLOCK = 12, 4096
 
 
@@ -78,12 +78,26 @@ def variants(segments: int, words: int) -> list[tuple[int, int, int]]:
     return [(w, int(a), int(b - a)) for w in range(words) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def variant_index(unique: DataFrame, parts: list[tuple[int, int, int]]) -> DataFrame:
-    """``key, id, fp`` of all one-wildcard variants: segment number and wildcard place in the top bits, then the segment without that bit."""
+def segments_of(unique: DataFrame, parts: list[tuple[int, int, int]]) -> DataFrame:
+    """The rows once for each segment, with its number, width and value in ``c``."""
     cut = [F.struct(F.lit(s).alias("s"), F.lit(width).alias("width"), F.shiftrightunsigned(F.col("fp")[word], low).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for s, (word, low, width) in enumerate(parts)]
-    by_segment = unique.select("id", "fp", F.explode(F.array(*cut)).alias("c"))
-    by_bit = by_segment.select("id", "fp", "c.s", "c.value", F.explode(F.sequence(F.lit(0), F.col("c.width") - 1)).alias("i"))
-    return by_bit.select(F.expr("(value & ~shiftleft(1L, i)) | shiftleft(s * 64L + i, 48)").alias("key"), "id", "fp")
+    return unique.select("*", F.explode(F.array(*cut)).alias("c"))
+
+
+def with_variants(by_segment: DataFrame, *columns: str) -> DataFrame:
+    """``key`` and the columns, once for each bit of the segment ``c`` left out: segment number and place in the top bits, then the segment without that bit."""
+    by_bit = by_segment.select(*columns, "c.s", "c.value", F.explode(F.sequence(F.lit(0), F.col("c.width") - 1)).alias("i"))
+    return by_bit.select(F.expr("(value & ~shiftleft(1L, i)) | shiftleft(s * 64L + i, 48)").alias("key"), *columns)
+
+
+def near_pairs(group: np.ndarray, ids: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of all pairs of one group (rows lie by group) at ``most`` or fewer bits: neighbours first, then the next but one, and so on."""
+    for step in range(1, len(group)):
+        same = np.flatnonzero(group[step:] == group[:-step])
+        if not len(same):
+            return
+        hit = same[np.bitwise_count(fps[same] ^ fps[same + step]).sum(1) <= most]
+        yield ids[hit], ids[hit + step]
 
 
 def forest(fps: np.ndarray, near: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -100,42 +114,39 @@ def forest(fps: np.ndarray, near: Callable[[np.ndarray], np.ndarray]) -> Iterato
             left = left[~hit]
 
 
-def distance(a: str, b: str, words: int) -> Column:
-    total = F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0]))
-    for w in range(1, words):
-        total = total + F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w]))
-    return total
-
-
 def links(unique: DataFrame, parts: list[tuple[int, int, int]], most: int, words: int) -> DataFrame:
     """Links ``u, v`` between rows ``id, fp`` (distinct fingerprints) at ``most`` or fewer bits that share a variant.
 
-    The pairs themselves where few share a variant; where many do, a forest that
-    connects the same rows. A variant that very many share is dealt out in pairs of
+    The index is shuffled by variant once. The pairs themselves where few share a
+    variant; where many do, a forest that connects the same rows. A variant that very
+    many share, which counts of the segments' values tell, is dealt out in pairs of
     blocks, so that no task holds more than two blocks.
     """
-    index = variant_index(unique, parts).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    index = stored(index, "variants")
-    few = index.where(F.col("n") <= FEW)
-    left, right = few.select("key", F.col("id").alias("u"), F.col("fp").alias("a")), few.select("key", F.col("id").alias("v"), F.col("fp").alias("b"))
-    pairs = left.join(right, "key").where((F.col("u") < F.col("v")) & (distance("a", "b", words) <= most)).select("u", "v")
-
     arrow = arrow_schema(unique.sparkSession, "u bigint, v bigint")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    many = index.where(F.col("n") > FEW).withColumn("own", F.pmod(F.xxhash64("id"), blocks))
-    # A block meets every block once: itself, those before it and those after it.
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "fp")
+    by_segment = segments_of(unique, parts)
+    counts = with_variants(by_segment.groupBy("c").agg(F.count("*").alias("n")), "n").groupBy("key").agg(F.sum("n").alias("n"))
+    crowded = stored(counts.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "crowded")
+    index = with_variants(by_segment, "id", "fp")
+    if crowded.isEmpty():
+        many = index.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "fp")
+    else:
+        many = index.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        many = many.withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+        # A block meets every block once: itself, those before it and those after it.
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "fp")
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, fps = [np.empty((0, 3), np.int64)], [np.empty(0, np.int64)], [np.empty((0, words), np.uint64)]
 
         def linked(key: np.ndarray, id_: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            found: list[tuple[int, int]] = []
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-            for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
-                own = id_[a:b]
-                found += [(int(own[x]), int(own[y])) for x, y in forest(fp[a:b], lambda d: d <= most)]
-            u, v = zip(*found, strict=True) if found else ((), ())
+            sizes = np.diff(np.append(starts, len(key)))
+            small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
+            found = list(near_pairs(np.repeat(starts, sizes)[small], id_[small], fp[small], most))
+            for a, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+                tree = np.array(list(forest(fp[a : a + n], lambda d: d <= most)), int).reshape(-1, 2)
+                found.append((id_[a + tree[:, 0]], id_[a + tree[:, 1]]))
+            u, v = (np.concatenate([f[side] for f in found]) if found else np.empty(0, np.int64) for side in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=arrow)
 
         for batch in batches:
@@ -155,8 +166,7 @@ def links(unique: DataFrame, parts: list[tuple[int, int, int]], most: int, words
         if len(key):
             yield linked(key, id_, fp)
 
-    trees = many.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(grouped, "u bigint, v bigint")
-    return pairs.union(trees)
+    return many.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(grouped, "u bigint, v bigint")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 4, most: int = 4, seeds: tuple[int, ...] = (42,), segments: int | None = None) -> DataFrame:
