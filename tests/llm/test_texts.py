@@ -221,6 +221,58 @@ def test_drop_near_duplicates(spark, real):
     assert len([d for d in kept if d and 1000 <= d < 2000]) <= 1
 
 
+def edited(rng, words, alike, vocab):
+    """A text whose set of five-word shingles has about this similarity to that of the words: five shingles go with each far edit."""
+    size = len(words) - 4
+    out = list(words)
+    for at in range(2, 5 * round(size * (1 - alike) / (1 + alike) / 5), 5):
+        out[at] = rng.choice(vocab)
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("few", [12, 1])
+def test_similar_is_exact(spark, few, monkeypatch):
+    """Against brute force: pairs at 0.8 or more are found, none below is dropped; a common line many times over makes no copies."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "BLOCK", 4096 if few > 1 else 8)
+    rng = random.Random(17)
+    vocab = [f"w{i}" for i in range(20000)]
+    rows, near, far = [], set(), set()
+    for i in range(400):
+        a = [rng.choice(vocab) for _ in range(304)]
+        b = edited(rng, a, (0.6, 0.65, 0.7, 0.75, 0.82, 0.85, 0.9)[i % 7], vocab)
+        rows += [(i, " ".join(a)), (1000 + i, " ".join(b))]
+        (near if jaccard(a, b) >= 0.8 else far).add(1000 + i)
+    short = "one two three four five six seven eight"
+    rows += [(3000, short), (3001, short[:-5] + "nine")]  # three of four shingles in common: 0.6
+    line = "all rights are reserved by us"
+    rows += [(4000 + k, " ".join([line] * 40 + [rng.choice(vocab) for _ in range(30)])) for k in range(3)]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(near) > 150 and len(far) > 200
+    assert far | set(range(400)) | {3000, 3001, 4000, 4001, 4002} <= kept
+    assert len(near & kept) <= 0.02 * len(near)
+
+
+def test_nearest_forest():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 12, (80, 4)).astype(np.uint64)
+    for most in (8, 14, 18):
+        pairs = [(i, j) for i in range(80) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= most]
+        groups = []
+        for links in (pairs, simhash.nearest_forest(fps, most).tolist()):
+            root = list(range(80))
+            for i, j in links:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+            groups.append(root)
+        assert groups[0] == groups[1]
+
+
 def test_prefix_hash():
     rng = random.Random(5)
     texts = ["", "a", "ab" * 30] + ["".join(rng.choice("abé😀") for _ in range(rng.randint(0, 80))) for _ in range(60)]
