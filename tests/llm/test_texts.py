@@ -258,6 +258,27 @@ def test_similar_is_exact(spark, few, monkeypatch):
     assert len(near & kept) <= 0.02 * len(near)
 
 
+def test_drop_near_duplicates_by_row(spark):
+    """Repeated rows, rows without an id and ids with two texts, each with and without copies."""
+    rng = random.Random(23)
+    made = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(120))
+    a, b, c, d, e, f = (made() for _ in range(6))
+    rows = [(5, a), (5, a), (5, a), (9, a)]  # repeated, and a copy of it
+    rows += [(None, b), (None, b), (None, b + " more")]  # near-copies without an id
+    rows += [(3, c), (7, c), (7, d)]  # 7 has a copy of 3 and a clean text
+    rows += [(None, e), (8, e)]  # a copy with an id
+    rows += [(6, f), (6, f + " more")]  # one id, two near-copies
+    rows += [(20, ""), (20, ""), (21, ""), (None, " "), (None, " "), (22, None)]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, other int")
+    got = simhash.drop_near_duplicates(frame)
+    assert got.columns == frame.columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    near_b, near_f = {(None, b), (None, b + " more")} & set(kept), {(6, f), (6, f + " more")} & set(kept)
+    assert len(near_b) == len(near_f) == 1
+    want = [(5, a), (3, c), (7, d), (8, e), *near_b, *near_f, (20, ""), (21, ""), (None, " "), (None, " "), (22, None)]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
+
+
 def test_nearest_forest():
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 1 << 12, (80, 4)).astype(np.uint64)

@@ -318,12 +318,25 @@ def similar(df: DataFrame, text: str = "text", key: str = "doc_id", size: int =
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each group of near-copies the row of the smallest id stays.
+    """The rows of ``df`` without near-duplicates: of each group of near-copies one row stays, that of the smallest id.
 
-    Rows whose id is null stay, and so do rows without words (they aren't alike). Rows
-    of one id that are repeated are one document: the one of the smallest text stays.
+    Each row is judged by its id and text. Of rows repeated with both one stays. Where
+    one id has several texts, each is judged by itself; if they are near-copies, the one
+    of the smallest hash stays. Rows without an id are grouped like any other and give
+    way to those with one. Rows without words aren't alike: only those repeated with
+    their id go.
     """
     found = similar(df, text, key, **(STAGE | settings))
-    least = found.groupBy("root").agg(F.min("id").alias("least"))
-    gone = found.join(least, "root").where("id <> least").select(F.col("id").alias("gone")).distinct()
-    return df.join(gone, df[key] == gone["gone"], "left_anti")
+    row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "hash")
+    keys = found.groupBy("root", "id", "hash").agg(F.count("*").alias("n")).withColumn("row", row)
+    judged = keys.join(keys.groupBy("root").agg(F.min("row").alias("stays")), "root")
+    gone = F.col("row") != F.col("stays")
+    # A null id makes no difference to which row a struct is: structs are equal where both fields are null.
+    judged = stored(judged.where(gone | (F.col("n") > 1)).select(F.col("id").alias("i"), F.col("hash").alias("h"), gone.alias("gone")), "judged")
+    rows = df.withColumn("_id", F.col(key).cast("long")).withColumn("_hash", F.xxhash64(text)).withColumn("_words", F.coalesce(F.col(text).rlike(HAS_WORDS), F.lit(False)))
+    same = F.col("_id").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h"))
+    single = rows.where("_words").join(judged, same, "left_anti")
+    several = rows.where("_words").join(judged.where("not gone"), same, "left_semi").dropDuplicates(["_id", "_hash"])
+    blank = rows.where("not _words")
+    blank = blank.where("_id is null").unionAll(blank.where("_id is not null").dropDuplicates(["_id", text]))
+    return single.unionAll(several).unionAll(blank).select(*df.columns)
