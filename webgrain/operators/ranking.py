@@ -164,12 +164,19 @@ def expand_terms(base: list[str], clusters: list[list[str]]) -> list[str]:
     return out[: len(have)]
 
 
-def running_document_frequency(fetched: DataFrame, term: str = "term", order: str = "seq", least: int = 3) -> DataFrame:
+def running_document_frequency(fetched: DataFrame, term: str = "term", order: str = "seq", least: int = 3, block: int = 65_536) -> DataFrame:
     """``order, term, df, n, idf`` as of each fetch: documents so far with the term; idf is flat until ``least`` documents.
 
     ``fetched`` has one row for each distinct term of each fetched page, within one crawl.
+    Rows are counted by blocks of ``block`` numbers, and what earlier blocks hold is
+    added, so that no task gets all rows of a frequent term.
     """
-    so_far = Window.partitionBy(term).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = F.count("*").over(so_far)
-    n = F.col(order) + 1
-    return fetched.select(order, term, df.alias("df"), n.alias("n"), F.when(n < least, 1.0).otherwise(F.log(1 + (n - df + 0.5) / (df + 0.5))).alias("idf"))
+    rows = fetched.select(F.col(order).alias("_o"), F.col(term).alias("_t"), F.floor(F.col(order) / block).alias("_b"))
+    earlier = Window.partitionBy("_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_t", "_b").agg(F.count("*").alias("c"))
+    before = counts.select(F.col("_t").alias("_u"), F.col("_b").alias("_k"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("_t", "_b").orderBy("_o"))
+    counted = rows.withColumn("inside", inside).join(before, F.col("_t").eqNullSafe(F.col("_u")) & F.col("_b").eqNullSafe(F.col("_k")))
+    df = (F.col("before") + F.col("inside")).cast("long")
+    n = F.col("_o") + 1
+    return counted.select(F.col("_o").alias(order), F.col("_t").alias(term), df.alias("df"), n.alias("n"), F.when(n < least, 1.0).otherwise(F.log(1 + (n - df + 0.5) / (df + 0.5))).alias("idf"))
