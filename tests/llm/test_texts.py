@@ -371,6 +371,36 @@ def test_field_adds_other_spellings_only_beside_a_base_span():
     assert not pii.added_spans(clean, pii.base_spans(clean), model)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        # Two mentions side by side are over nineteen digits together.
+        ("card 4111 1111 1111 1111 again as 4111.1111.1111.1111, 555.123.4567 end", {"4111.1111.1111.1111"}),
+        ("card 4111 1111 1111 1111 again as 4111.1111.1111.1111 12/2027 end", {"4111.1111.1111.1111"}),
+        ("card 4111 1111 1111 1111, 4111.1111.1111.1111, 20240101 end", {"4111.1111.1111.1111"}),
+        # Addresses of fewer than seven digits, also beside their plain form.
+        ("host 10.0.0.1 is the same as 10[.]0[.]0[.]1 here", {"10[.]0[.]0[.]1"}),
+        ("host 10.0.0.1 (10[.]0[.]0[.]1) here", {"10[.]0[.]0[.]1"}),
+        ("hosts 8.8.8.8 and then 10[.]0[.]0[.]1, 8[.]8[.]8[.]8 here", {"8[.]8[.]8[.]8"}),
+    ],
+)
+def test_mentions_side_by_side(text, want):
+    base = pii.base_spans(text)
+    assert {text[a:b] for a, b, _ in pii.added_spans(text, base, pii.trained())} == want
+
+
+def test_mentions_are_parts():
+    rng = random.Random(12)
+    for _ in range(3000):
+        text = "".join(rng.choice("0123456789 ., .-()[]/+@a") for _ in range(rng.randint(0, 90)))
+        spans = pii.mentions(text, pii.base_spans(text))
+        assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    assert pii.mentions("10[.]0[.]0[.]1, 1, 2, 3, 4") == [(0, 14)]
+    assert pii.mentions("1 2 " * 30) == []
+    text = "4111.1111.1111.1111, 555.123.4567"
+    assert [text[a:b] for a, b in pii.mentions(text)] == text.split(", ")
+
+
 def test_personal_data(docs, empty, spark):
     got = pii.find_personal_data(docs).collect()
     assert len(got) == docs.count() and pii.find_personal_data(empty).count() == 0

@@ -1,7 +1,7 @@
 """Personal data: patterns find the plain mentions, a skip-chain conditional random field the ones like them.
 
-Mentions of a document are the nodes of a graph: number groups of seven digits or more
-and tokens with an at sign. Neighbours in the text share a chain potential; mentions
+Mentions of a document are the nodes of a graph: number groups of seven digits or more,
+dotted groups of four numbers, and tokens with an at sign. Neighbours in the text share a chain potential; mentions
 with the same digits or the same letters, however far apart, share a skip potential.
 Loopy belief propagation makes labels agree across the document, so an entity that a
 pattern finds once is also found where it is written another way.
@@ -75,9 +75,65 @@ _NUMBER = re.compile(r"[+(]*[0-9](?:[ ().,/\[\]_-]{0,3}[0-9])+")
 _TOKEN = re.compile(r"[^\s<>\"',;|]*")
 
 
-def mentions(text: str) -> list[tuple[int, int]]:
-    """Number groups of seven to nineteen digits and tokens with an at sign, in order and not overlapping."""
-    out = [m.span() for m in _NUMBER.finditer(text) if 7 <= len(digits_of(m[0])) <= 19] if any(c in text for c in "0123456789") else []
+#: Four numbers of up to three digits with the same separator, which has a dot.
+_QUAD = re.compile(r"(?<![0-9])([0-9]{1,3})([ (\[]?\.[ )\]]?)([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})(?![0-9])(?!\2[0-9])")
+_GAP = re.compile(r"[^0-9]+")
+
+
+def _gap_rank(gap: str) -> tuple[int, int]:
+    """Which separators part mentions first: the wider, of equal ones a comma, then a space, then a slash."""
+    return len(gap), 3 * ("," in gap) or 2 * (" " in gap) or int("/" in gap)
+
+
+def _numbers(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """Number groups of seven to nineteen digits, and dotted quads of any number of them.
+
+    Groups are cut at the edges of base spans and of dotted quads. One with more digits is
+    cut at all its widest separators, and again while a part has too many.
+    """
+    quads = [m.span() for m in _QUAD.finditer(text) if all(int(m[g]) <= 255 for g in (1, 3, 4, 5))] if "." in text else []
+    whole = set(quads)
+    edges_ = sorted({at for a, b in quads for at in (a, b)} | {at for a, b, _ in base for at in (a, b)})
+    out, k = [], 0
+    for m in _NUMBER.finditer(text):
+        while k < len(edges_) and edges_[k] <= m.start():
+            k += 1
+        cuts = [m.start()]
+        while k < len(edges_) and edges_[k] < m.end():
+            # An edge between two digits parts no number.
+            if not (text[edges_[k] - 1].isdigit() and text[edges_[k]].isdigit()):
+                cuts.append(edges_[k])
+            k += 1
+        todo = list(zip(cuts, [*cuts[1:], m.end()], strict=True))[::-1]
+        while todo:
+            a, b = todo.pop()
+            if (a, b) in whole:
+                out.append((a, b))
+                continue
+            if (a, b) != m.span():
+                # A part begins with a digit, or the plus and brackets before it, and ends with a digit.
+                found = re.search(r"[+(]*[0-9]", text[a:b])
+                if not found:
+                    continue
+                a += found.start()
+                while not text[b - 1].isdigit():
+                    b -= 1
+            n = len(digits_of(text[a:b]))
+            if 7 <= n <= 19:
+                out.append((a, b))
+            elif n > 19:
+                gaps = [(a + g.start(), a + g.end(), _gap_rank(g[0])) for g in _GAP.finditer(text[a:b]) if g.start()]
+                if gaps:
+                    top = max(g[2] for g in gaps)
+                    wide = [g for g in gaps if g[2] == top]
+                    # Brackets and plus signs of the separator stay with the number after it.
+                    todo += list(zip([a, *(g[0] for g in wide)], [*(g[0] for g in wide), b], strict=True))[::-1]
+    return out
+
+
+def mentions(text: str, base: list[Span] = ()) -> list[tuple[int, int]]:
+    """Number groups and tokens with an at sign, in order and not overlapping; ``base`` are the text's base spans."""
+    out = _numbers(text, base) if any(c in text for c in "0123456789") else []
     at = text.find("@")
     while at >= 0:
         start = at
@@ -183,7 +239,7 @@ def _example(rng: np.random.Generator) -> tuple[str, list[tuple[str, str]]]:
             parts += [(f"{a}@{b}.org", kind), (f"{a}@[{b}.org]", kind)]
         elif kind == "ip":
             q = [str(v) for v in rng.integers(0, 256, 4)]
-            parts += [(".".join(q), kind)] + ([("[.]".join(q), kind)] if len("".join(q)) >= 7 else [])
+            parts += [(".".join(q), kind), ("[.]".join(q), kind)]
         elif kind == "card":
             body = "4" + d(14)
             body += next(c for c in "0123456789" if luhn(body + c))
@@ -212,7 +268,8 @@ def trained() -> SkipChain:
     xs, ys, near = [], [], []
     for _ in range(900):
         text, parts = _example(rng)
-        found, base = mentions(text), base_spans(text)
+        base = base_spans(text)
+        found = mentions(text, base)
         if not found:
             continue
         wanted, at = [], 0
@@ -253,7 +310,7 @@ def trained() -> SkipChain:
 
 def added_spans(text: str, base: list[Span], model: SkipChain, sure: float = 0.9) -> list[Span]:
     """Mentions that the field labels with at least this probability and that no base span overlaps."""
-    found = mentions(text)
+    found = mentions(text, base)
     if not found:
         return []
     covered, i = [], 0
