@@ -143,3 +143,24 @@ def test_pipeline(spark, sf):
         before = spark.createDataFrame(rows, docs.schema)
     packed = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in before.collect()}
+
+
+def test_archives_over_several_row_groups(spark):
+    """Members of one archive that lie in several row groups, each read as a split of its own, still make one file."""
+    frame = spark.range(1500).selectExpr("id AS page_id", "concat('http://a/', id) AS url", "concat_ws(' ', transform(sequence(1, 30), i -> sha2(concat(id, '-', i), 256))) AS html").coalesce(1)
+    conf, hadoop = "spark.sql.files.maxPartitionBytes", spark._jsc.hadoopConfiguration()
+    was = spark.conf.get(conf)
+    path = shared_path(spark, "split")
+    warc.write_archives(warc.with_revisits(frame, "page_id", "html", "url").coalesce(1), f"{path}/whole")
+    try:
+        spark.conf.set(conf, "64k")
+        hadoop.set("parquet.block.size", "65536")
+        warc.normalise(spark, f"{path}/whole", f"{path}/out")
+    finally:
+        spark.conf.set(conf, was)
+        hadoop.unset("parquet.block.size")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/out/archives").selectExpr("regexp_extract(path, '/archive=([^/]+)/', 1) AS archive")
+    assert files.count() == files.distinct().count()
+    got = warc.read_archives(spark, f"{path}/out").select(warc.page_of("record_id").alias("page_id"), "payload_digest")
+    want = frame.selectExpr("page_id", "sha2(html, 256) AS payload_digest")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()

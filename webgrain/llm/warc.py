@@ -165,7 +165,8 @@ def normalise(spark, path: str, out: str) -> None:
     members = spark.read.parquet(f"{out}/members")
     _delete(spark, path)
     lines = members.select(F.col("member").cast("string").alias("value"), "archive", "seq")
-    lines.sortWithinPartitions("archive", "seq").drop("seq").write.option("lineSep", "\0").partitionBy("archive").text(f"{out}/archives")
+    # A task's members are read again by splits, so an archive is brought together first: one archive, one task, one file.
+    lines.repartition("archive").sortWithinPartitions("archive", "seq").drop("seq").write.option("lineSep", "\0").partitionBy("archive").text(f"{out}/archives")
     members.drop("member").write.parquet(f"{out}/index")
     _delete(spark, f"{out}/members")
 
