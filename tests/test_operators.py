@@ -6,7 +6,19 @@ from collections import Counter
 import duckdb
 import pytest
 
-from webgrain.operators import ranking
+from webgrain.operators import html, ranking
+
+
+def test_markdown_keeps_whole_tables(spark):
+    rows = [[f"r{i}", f"v{i}"] for i in range(700)]
+    article = "é word " * 2000
+    page = "<body><table><tr><th>k</th><th>v</th></tr>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in rows) + f"</table><table><tr><td>{article}</td></tr></table></body>"
+    got = html.inspect(spark.createDataFrame([(1, page)], "page_id long, html string"), "page_id", "html").first()["markdown"]
+    want = "\n".join(["| k | v |", "| --- | --- |", *(f"| {a} | {b} |" for a, b in rows)]) + f"\n\n|  |\n| --- |\n| {article.strip()} |"
+    assert got == want
+    # The table extraction keeps the reference's caps.
+    first, second = html.tables(spark.createDataFrame([(1, page)], "page_id long, html string"), "page_id", "html").orderBy("table_no").collect()
+    assert len(first["rows"]) == 499 and len(second["rows"][0][0].encode()) <= 1000
 
 
 @pytest.mark.parametrize("block", [7, 100, 65_536])

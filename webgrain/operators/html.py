@@ -105,8 +105,8 @@ def strip_hidden(node: Node) -> int:
     return removed
 
 
-def grid(table: Node, most: int = 500) -> tuple[list[str], list[list[str]], str | None]:
-    """Headers, rows and caption of a table; cells covered by spans are empty, rows are padded, 500 rows at most with the header."""
+def grid(table: Node, most: int | None = 500, cell: int | None = 1000) -> tuple[list[str], list[list[str]], str | None]:
+    """Headers, rows and caption of a table; cells covered by spans are empty, rows are padded, ``most`` rows at most with the header, ``cell`` bytes of a cell; None is all."""
     rows: list[Node] = []
     caption = None
     for k in table.kids:
@@ -121,17 +121,20 @@ def grid(table: Node, most: int = 500) -> tuple[list[str], list[list[str]], str
         return min(int(value), 1000) if value.isdigit() and int(value) > 0 else 1
 
     header = False
-    for y, row in enumerate(rows[:most]):
+    rows = rows[:most]
+    for y, row in enumerate(rows):
         cells: list[str] = []
         for c in (k for k in row.kids if isinstance(k, Node) and k.tag in ("td", "th")):
             while (y, len(cells)) in covered:
                 cells.append("")
             header = header or (y == 0 and c.tag == "th")
             wide, high = span(c.attrs.get("colspan", "1")), span(c.attrs.get("rowspan", "1"))
-            for dy in range(1, min(high, most)):
+            for dy in range(1, min(high, len(rows))):
                 for dx in range(wide):
                     covered[y + dy, len(cells) + dx] = True
-            value = " ".join(c.text().split()).encode()[:1000].decode("utf-8", "ignore")
+            value = " ".join(c.text().split())
+            if cell is not None:
+                value = value.encode()[:cell].decode("utf-8", "ignore")
             cells += [value, *[""] * (wide - 1)]
         while (y, len(cells)) in covered:
             cells.append("")
@@ -184,7 +187,7 @@ def markdown(node: Node) -> str:
                 items = [x for x in k.kids if isinstance(x, Node) and x.tag == "li"]
                 out.append("\n".join("  " * depth + (f"{i}. " if k.tag == "ol" else "- ") + " ".join(inline(x).split()) for i, x in enumerate(items, 1)))
             elif k.tag == "table":
-                head, rows, _ = grid(k)
+                head, rows, _ = grid(k, None, None)
                 head = head or [""] * max(map(len, rows), default=0)
                 if head:
                     line = lambda cells: "| " + " | ".join(c.replace("|", "\\|") for c in cells) + " |"
