@@ -307,7 +307,35 @@ def test_prefix_hash():
             want = next((k for k in range(min(i, j)) if a[i - 1 - k] != b[j - 1 - k]), min(i, j))
             assert ha.backward(i, hb, j) == want
             assert (ha.fingerprint() == hb.fingerprint()) == (a == b)
-            assert 0 <= ha.likeness(hb) <= 1 and (ha.likeness(hb) == 1) == (a == b)
+
+    for a in texts:
+        for width in (1, 5, 12, 100):
+            want = {sum((ord(c) + 1) * pow(prefix_hash.BASES[0], j, prefix_hash.MODULI[0]) for j, c in enumerate(w)) % prefix_hash.MODULI[0] for w in plain_windows(a, width)}
+            assert set(prefix_hash.PrefixHash(a).windows(width).tolist()) == want
+
+
+def plain_windows(t, width):
+    return {t[i : i + width] for i in range(max(1, len(t) - width + 1))} if t else set()
+
+
+def test_likeness_is_near_the_shared_spans():
+    """Against brute force over all spans, with moved, inserted and replaced passages; the fingerprints alone decide."""
+    rng = random.Random(15)
+    off = []
+    for n in (5, 60, 700, 6000):
+        for _ in range(25):
+            a, b = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for _ in "ab")
+            i = rng.randint(0, n)
+            for c in (a[:i] + b[i:], a[i:] + a[:i], a[:i] + b[: n // 5] + a[i:], b, a + a):
+                x, y = plain_windows(a, prefix_hash.WIDTH), plain_windows(c, prefix_hash.WIDTH)
+                j = len(x & y) / len(x | y)
+                got = prefix_hash.likeness(*(prefix_hash.PrefixHash(t).fingerprint() for t in (a, c)))
+                assert 0 <= got <= 1 and (a != c or got == 1)
+                off.append(abs(got - 2 * j / (1 + j)))
+    assert max(off) < 0.3 and sum(off) / len(off) < 0.04
+    # Repeats: few distinct spans in a long text.
+    assert prefix_hash.likeness(*(prefix_hash.PrefixHash(t).fingerprint() for t in ("ab" * 9000, "ab" * 8000))) == 1
+    assert prefix_hash.likeness(*(prefix_hash.PrefixHash(t).fingerprint() for t in ("", "abc"))) == 0
 
 
 def test_neighbours(spark):
@@ -320,14 +348,16 @@ def test_neighbours(spark):
 
 
 def plain_edits(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    bits = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) >> 48
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), bits(r[1]), r[1] or ""))
     out = []
     for i, (d, t) in enumerate(rows):
         t, n = t or "", rows[(i + 1) % len(rows)][1] or ""
         half = len(t) // 2
         e = t[: len(t) - half] + n[:half]
-        h = [prefix_hash.PrefixHash(x) for x in (t, e, n)]
-        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), h[0].fingerprint(), h[1].fingerprint(), h[0].likeness(h[1]), h[0].likeness(h[2])))
+        f = [prefix_hash.PrefixHash(x).fingerprint() for x in (t, e, n)]
+        same = next((k for k in range(len(t)) if t[k] != e[k : k + 1]), len(t))
+        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), f[0], f[1], prefix_hash.likeness(f[0], f[1]), prefix_hash.likeness(f[0], f[2]), min(same, len(e))))
     return out
 
 
@@ -340,6 +370,26 @@ def test_edit_fingerprints(spark, real, docs, empty):
     assert prefix_hash.edit_fingerprints(empty).count() == 0
 
 
+def test_repeated_and_null_keys_are_parted(spark):
+    """One key and null each hold a third of the rows: their blocks are many parts, and the order is still that of one list."""
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 30)))) for k in [7] * 60 + [None] * 60 + list(range(-30, 30))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ordered = prefix_hash.in_order(frame, crowd=20)
+    lists = ordered.withColumn("p", F.spark_partition_id()).collect()
+    after = {}
+    for a, b in zip(lists, lists[1:]):
+        if a["p"] == b["p"] and not a["extra"]:
+            after.setdefault((a["key"], a["text"]), []).append((b["key"], b["text"]))
+    bits = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) >> 48
+    want = {}
+    line = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), bits(r[1]), r[1]))
+    for a, b in zip(line, [*line[1:], line[0]]):
+        want.setdefault(a, []).append(b)
+    assert {k: sorted(v, key=str) for k, v in after.items()} == {k: sorted(v, key=str) for k, v in want.items()}
+    assert sum(r["extra"] for r in lists) > 60
+
+
 EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD, PHONE = r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
 
