@@ -54,15 +54,44 @@ def test_archives(spark, few, monkeypatch):
 
 def test_normalised_archives_are_one_member_a_record(spark):
     path = shared_path(spark, "test-warc")
-    warc.write_archives(warc.with_revisits(pages(spark).repartition(2)), f"{path}/whole")
+    frame = pages(spark)
+    assert warc.largest_payload(frame) == 3_000_000
+    warc.write_archives(warc.with_revisits(frame.repartition(2)), f"{path}/whole", 3_000_000)
     warc.normalise(spark, f"{path}/whole", f"{path}/out")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/out/archives").select("path", "content").collect()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/out/archives").select("path", "content").collect()
     index = spark.read.parquet(f"{path}/out/index").collect()
     assert sum(len(list(warc.parse(iter([gzip.decompress(f["content"])])))) for f in files) == len(index) == 11
     for line in index:
         content = next(f["content"] for f in files if f"archive={line['archive']}/" in f["path"].replace("%3D", "="))
         record = gzip.GzipFile(fileobj=io.BytesIO(content[line["start"] : line["start"] + line["size"]])).read()
         assert [h["warc-record-id"] for h, _ in warc.parse(iter([record]))] == [line["record_id"]]
+    # Of some records only, by the index.
+    asked = spark.createDataFrame([("<urn:page:9>",), ("<urn:page:7>",), ("<urn:page:404>",), ("<urn:page:7>",)], "id string")
+    got = sorted((r["record_id"], bytes(r["payload"])) for r in warc.read_records(spark, f"{path}/out", asked).collect())
+    text = ("é" * 60 + "\r\n\r\nWARC/1.1\r\n").encode()
+    assert got == [("<urn:page:7>", text), ("<urn:page:7>", text), ("<urn:page:9>", b"y" * 3_000_000)]
+
+
+def test_members_are_found_by_their_lengths():
+    records = [b"", b"a" * 70_000, bytes(range(256)) * 9]
+    made = [warc.member(r) for r in records]
+    assert [gzip.decompress(m) for m in made] == records
+    found = list(warc.members(b"".join(made) + b"\0"))
+    assert found == [(0, len(made[0])), (len(made[0]), len(made[1])), (len(made[0]) + len(made[1]), len(made[2]))]
+    untold = [m[:16] + bytes(8) + m[24:] for m in made]  # as of members over 32 bits
+    assert list(warc.members(b"".join(untold))) == found
+    with pytest.raises(ValueError):
+        list(warc.members(gzip.compress(b"other")))
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    """With records of all classes in one partition, no archive holds over 64 MiB of payloads unless one record does."""
+    path = shared_path(spark, "test-bounds")
+    frame = spark.range(4200).selectExpr("id AS page_id", "'u' AS url", "concat(id, repeat('x', CASE WHEN id % 60 = 0 THEN 1500000 WHEN id % 40 = 1 THEN 70000 ELSE 50 END)) AS html").coalesce(1)
+    warc.write_archives(warc.with_revisits(frame), f"{path}/whole", warc.largest_payload(frame))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{path}/whole").select("content")
+    sizes = [sum(map(len, warc.inflate(r["content"]))) for r in files.toLocalIterator()]
+    assert max(sizes) < 65 << 20 and len(sizes) == 4 + 2 + 9
 
 
 def test_parse_in_small_pieces():
@@ -151,7 +180,7 @@ def test_archives_over_several_row_groups(spark):
     conf, hadoop = "spark.sql.files.maxPartitionBytes", spark._jsc.hadoopConfiguration()
     was = spark.conf.get(conf)
     path = shared_path(spark, "split")
-    warc.write_archives(warc.with_revisits(frame, "page_id", "html", "url").coalesce(1), f"{path}/whole")
+    warc.write_archives(warc.with_revisits(frame, "page_id", "html", "url").coalesce(1), f"{path}/whole", 4096)
     try:
         spark.conf.set(conf, "64k")
         hadoop.set("parquet.block.size", "65536")
