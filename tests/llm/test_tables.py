@@ -127,6 +127,23 @@ def test_top_k(spark, cell, monkeypatch):
     assert topk.top_k(frame.where("1 = 0")).count() == 0
 
 
+def test_top_k_of_large_components_several_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(9e7, 9.5e7, 6).tolist()) for i in range(60)]  # scores over 2**53
+    rows += [(100 + i, rng.integers(-(1 << 40), 1 << 40, 3).tolist()) for i in range(60)]  # over 2**63
+    rows += [(300 + i % 3, rng.integers(-5, 5, 2).tolist()) for i in range(9)]  # repeated ids
+    frame = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(frame).collect())
+    whole = [(i, [int(np.floor(256 * (x / 256))) for x in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        own = min(v for i, v in whole if i == q)
+        score = lambda v: min(max(sum(a * b for a, b in zip(own, v)), -(1 << 63)), (1 << 63) - 1)
+        best = sorted((-score(v), i) for i, v in whole if i != q and len(v) == len(own))[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == want
+
+
 def plain_chat(rows):
     by = {}
     for c, t, r, x in rows:
@@ -150,6 +167,27 @@ def test_conversations(spark, sf):
     assert chat.format_conversations(frame.where("1 = 0")).count() == 0
 
 
+def test_long_conversations_are_rendered_in_blocks():
+    """The same spans as from all prefixes, in linear work; templates that count or number turns go the long way."""
+    turns = [("user" if k % 2 == 0 else "assistant", f"said {k} " * (k % 5)) for k in range(700)]
+    assert chat.spans(turns, chat.instruct) == chat.prefixes(turns, chat.instruct)
+    sizes = []
+
+    def counted(t):
+        sizes.append(len(t))
+        return chat.instruct(t)
+
+    chat.spans(turns * 6, counted)
+    assert sum(sizes) < 2 * 35 * len(turns) * 6 + 2 * len(turns) * 6
+
+    def numbered(t):
+        return "<<" + "".join(f"{k}. {r}: {x}\n" for k, (r, x) in enumerate(t))
+
+    assert chat.spans(turns, numbered) == chat.prefixes(turns, numbered)
+    with pytest.raises(chat.HistoryRewritten):
+        chat.spans(turns, lambda t: f"{len(t)}" + chat.instruct(t))
+
+
 def test_templates_that_rewrite_history():
     def counting(turns):
         return f"{len(turns)} turns\n" + "".join(f"{r}: {x}\n" for r, x in turns)

@@ -104,7 +104,8 @@ def test_ids_round_trip(docs, empty):
     tok = library("word_bpe_49k.json")
     got = sorted(map(tuple, simple8b.ids_round_trip(docs).collect()), key=lambda r: r[1])
     want, start = [], 0
-    for r in sorted(docs.collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    bits = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + 2**63) % 2**64
+    for r in sorted(docs.collect(), key=lambda r: (r[0] is not None, r[0] or 0, bits(r[1]), r[1] or "")):
         ids = [*tok.encode(r[1] or "", add_special_tokens=False).ids, 1]
         want.append((r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -474,3 +475,65 @@ def test_quality(spark, sf, docs, empty):
     assert quality.score_quality(empty, labels).count() == 0
     assert quality.score_quality(docs, labels.where("1 = 0")).count() == docs.count()
     assert quality.keep_quality(frame, labels).count() == sum(r["predicted"] for r in rows)
+
+
+def test_quality_scores_are_the_networks(spark, sf):
+    """Against the network spelled out: bucket vectors averaged over all words and n-grams, then a softmax; also on a text too long to be learned from."""
+    frame, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    long = spark.createDataFrame([(-5, "some words of a long text " * 2000)], "doc_id bigint, text string")
+    texts = {r["doc_id"]: r["text"] or "" for r in frame.select("doc_id", "text").unionByName(long).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    ids = [d for d in truth if d in texts and len(texts[d]) <= quality.TRAIN_CHARS]
+    by_hash = lambda d: (xxhash.xxh64_intdigest(np.int64(d).tobytes(), 42) + 2**63) % 2**64
+    ids.sort(key=by_hash)
+    vectors, weights, bias = quality.train([texts[d] for d in ids], [truth[d] for d in ids])
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(frame.select("doc_id", "text").unionByName(long), labels).collect()}
+    for d, t in texts.items():
+        found = []
+        for w in t.split() or [""]:
+            raw = f"<{w}>".encode()
+            found += [zlib.crc32(raw) % quality.BUCKETS] + [zlib.crc32(raw[i : i + n], n) % quality.BUCKETS for n in quality.GRAMS for i in range(len(raw) - n + 1)]
+        z = vectors[found].mean(0) @ weights + bias
+        assert abs(got[d] - np.exp(z[1]) / np.exp(z).sum()) < 1e-4
+
+
+def test_quality_learns_from_one_text_an_id(spark, sf):
+    """Repeated rows of an id are one text to learn from; an id with both labels is none; order and repeats of rows change no score."""
+    frame, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    plain = {r["doc_id"]: r["score"] for r in quality.score_quality(frame, labels).collect()}
+    again = frame.unionAll(frame).unionAll(frame).repartition(7)
+    both = labels.unionAll(labels).unionAll(spark.createDataFrame([(-9, 0), (-9, 1)], "doc_id bigint, quality int"))
+    contrary = again.unionAll(spark.createDataFrame([(-9, "with both labels " * 50)], "doc_id bigint, text string"))
+    got = quality.score_quality(contrary, both.repartition(5)).where("doc_id >= 0").distinct().collect()
+    assert {r["doc_id"]: r["score"] for r in got} == plain and len(got) == len(plain)
+
+
+@pytest.mark.parametrize("name", ["quality classifier", "simhash near-dedup", "personal data"])
+def test_stages_keep_clashing_columns_repeats_and_empty_tables(spark, sf, docs, empty, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, docs, sf)
+    assert got.columns == docs.columns
+    kept, had = got.toDF(*"abcdef").collect(), docs.toDF(*"abcdef").collect()
+    assert {r[0] for r in kept} <= {r[0] for r in had} and all(r[2] in ("clash", None) for r in kept)
+    if name == "personal data":
+        assert len(kept) == len(had)
+    if name == "simhash near-dedup":
+        # Texts without words and one of each other group; id 6 and 7 say the same, id 3 says "a" and once more under its own id.
+        assert {r[0] for r in kept} == set(range(len(ODD))) - {7} | {None}
+    again = stage(spark, docs.unionAll(docs), sf).count()
+    assert again == (len(kept) if name == "simhash near-dedup" else 2 * len(kept))
+    assert stage(spark, empty, sf).count() == 0 and stage(spark, empty, sf).columns == docs.columns
+
+
+def test_a_key_of_many_rows_is_many_parts_of_the_written_ids(spark):
+    rows = [(7, f"text {i}") for i in range(400)]
+    path = common.shared_path(spark, "ids-test")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # the table is small
+    try:
+        simple8b.write_ids(spark.createDataFrame(rows, "doc_id bigint, text string"), path)
+    finally:
+        spark.conf.unset(coalesce)
+    assert spark.read.parquet(path).select("part").distinct().count() > 1

@@ -59,9 +59,34 @@ def read_turn(span: str) -> Turn:
     return unescape(found[1]), unescape(found[2])
 
 
-def spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int, int, int]]]:
+def spans(turns: list[Turn], template: Template, block: int = 64) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The output, and of each turn where its span and, inside it, its text begin and end.
 
+    Conversations of over four blocks are first rendered block by block, each behind the
+    turn before it alone, so the work is linear. If what the blocks add is not the
+    output of the whole conversation, its prefixes are rendered from the first turn on.
+    """
+    if len(turns) > 4 * block:
+        parts, places, size = [], [], 0
+        try:
+            for s in range(0, len(turns), block):
+                lead = turns[max(0, s - 1) : s]
+                whole, found = prefixes(turns[max(0, s - 1) : s + block], template)
+                skip = found[len(lead)][0]
+                parts.append(whole[skip:])
+                places += [tuple(x - skip + size for x in p) for p in found[len(lead) :]]
+                size += len(whole) - skip
+            out = "".join(parts)
+            if out == template(turns):
+                return out, places
+        except HistoryRewritten:
+            pass
+    return prefixes(turns, template)
+
+
+def prefixes(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """As ``spans``, by the prefixes of all turns.
+
     Renders the prefixes of one turn, two turns and so on; what a prefix adds to the one
     before is the new turn's span. An output that doesn't begin with the one before
     raises ``HistoryRewritten``. The text's place is found with a probe character

@@ -52,6 +52,15 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*(F.col(f"c{i}").alias(out) for out, i in at.items()))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """The table with its columns named by position, and the new name of a column (of equal names the first).
+
+    For operators that keep all columns: ``out.toDF(*df.columns)`` gives the names back,
+    and no name clashes in between.
+    """
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), lambda name: f"c{df.columns.index(name)}"
+
+
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """Apply a function of column lists to each Arrow batch; ``start`` makes it once a task."""
     arrow = arrow_schema(df.sparkSession, schema)

@@ -56,6 +56,12 @@ class PieceCodec:
                 self.rank[piece] = model.get_score(i)
                 self.matches.add_word(piece, (len(piece), i))
         self.matches.make_automaton()
+        # What this class assumes of a model: no normalisation but the dummy space, and all pieces made by merges.
+        for probe in ("ﬁ x  y ", " A\u00a0e\u0301 ", "\t①\n"):
+            if model.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+                raise ValueError(f"{path}: models that normalise texts are not supported")
+        if any(model.is_unused(i) for i in range(model.get_piece_size())):
+            raise ValueError(f"{path}: models with unused pieces are not supported")
         #: Neighbouring characters that some token holds; no token crosses between any others.
         self.held = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.parts: dict[str, tuple[int, str, str]] = {}

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from webgrain.llm.common import map_rows, pick
+from webgrain.llm.common import map_rows, numbered, pick
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -393,6 +393,9 @@ def redact(df: DataFrame, text: str = "text", key: str = "doc_id", sure: float =
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    # Changed texts only; the udf is not asked twice for one text.
-    done = df.withColumn(text, F.pandas_udf(clean, StringType()).asNondeterministic()(F.col(text)))
-    return done.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else done
+    plain, at = numbered(df)
+    # The udf is not asked twice for one text.
+    done = plain.withColumn(at(text), F.pandas_udf(clean, StringType()).asNondeterministic()(F.col(at(text))))
+    if "n_chars" in df.columns:
+        done = done.withColumn(at("n_chars"), F.length(at(text)).cast(plain.schema[at("n_chars")].dataType))
+    return done.toDF(*df.columns)

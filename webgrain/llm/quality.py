@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import map_rows, pick
+from webgrain.llm.common import map_rows, numbered, pick
 
 #: Hashed vectors and their width; character n-gram sizes; words remembered a worker.
 BUCKETS, DIM, GRAMS, KEPT, LONG = 1 << 16, 16, (3, 4), 200_000, 48
@@ -106,19 +106,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Learn from at most ``TRAIN_ROWS`` labelled rows of each class, those of the smallest hash of their id.
 
     Texts longer than ``TRAIN_CHARS`` are scored but not learned from, so what reaches
-    the driver is bounded. Held-out rows, and rows with nulls or other labels, are not
-    learned from.
+    the driver is bounded; of rows of one id the least text counts, chosen before they
+    meet. Held-out rows, rows with nulls or other labels, and ids with both labels are
+    not learned from.
     """
-    marked = pick(labels, key=key, label=label).where(F.col("label").isin(0, 1) & F.col("key").isNotNull())
-    marked = marked.where(~held_out("key")).withColumn("order", F.xxhash64("key"))
+    marked = pick(labels, key=key, label=label).where(F.col("label").isin(0, 1) & F.col("key").isNotNull() & ~held_out("key"))
+    marked = marked.groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
+    marked = marked.select("key", "label", F.xxhash64("key").alias("order"))
     chosen = None
     for k in (0, 1):
         part = marked.where(F.col("label") == k).orderBy("order", "key").limit(TRAIN_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = pick(docs, key=key, text=text).where(F.length("text") <= TRAIN_CHARS)
-    got = rows.join(F.broadcast(chosen.dropDuplicates(["key"])), "key").select("order", "key", "text", "label").collect()
-    got.sort(key=lambda r: (r["order"], r["key"], r["text"]))
-    got = [r for i, r in enumerate(got) if not i or r["key"] != got[i - 1]["key"]]
+    got = rows.join(F.broadcast(chosen), "key").groupBy("order", "key", "label").agg(F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: (r["order"], r["key"]))
     vectors, weights, bias = train([r["text"] for r in got], [int(r["label"]) for r in got])
     return Scorer((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
@@ -147,7 +148,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", keep: float = 0.7) -> DataFrame:
-    """The rows whose whole text scores ``keep`` or more, with all their columns and no shuffle."""
+    """The rows whose whole text scores ``keep`` or more, with all their columns and no shuffle.
+
+    Null texts count as empty; repeated rows stay or go together; other columns, whatever
+    their names, are left as they are.
+    """
     model = fit(docs, labels, text, key, label)
     weights, bias = model.by_bucket, model.bias
 
@@ -163,4 +168,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
     import pandas as pd
 
     accepted.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.where(F.pandas_udf(accepted, "boolean")(F.col(text)))
+    plain, at = numbered(docs)
+    return plain.where(F.pandas_udf(accepted, "boolean")(F.col(at(text)))).toDF(*docs.columns)

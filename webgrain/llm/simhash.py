@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webgrain.llm.common import arrow_schema, map_rows, pick, stored
+from webgrain.llm.common import arrow_schema, map_rows, numbered, pick, stored
 from webgrain.llm.components import components
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -333,10 +333,11 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id",
     gone = F.col("row") != F.col("stays")
     # A null id makes no difference to which row a struct is: structs are equal where both fields are null.
     judged = stored(judged.where(gone | (F.col("n") > 1)).select(F.col("id").alias("i"), F.col("hash").alias("h"), gone.alias("gone")), "judged")
-    rows = df.withColumn("_id", F.col(key).cast("long")).withColumn("_hash", F.xxhash64(text)).withColumn("_words", F.coalesce(F.col(text).rlike(HAS_WORDS), F.lit(False)))
+    plain, at = numbered(df)
+    rows = plain.withColumn("_id", F.col(at(key)).cast("long")).withColumn("_hash", F.xxhash64(at(text))).withColumn("_words", F.coalesce(F.col(at(text)).rlike(HAS_WORDS), F.lit(False)))
     same = F.col("_id").eqNullSafe(F.col("i")) & (F.col("_hash") == F.col("h"))
     single = rows.where("_words").join(judged, same, "left_anti")
     several = rows.where("_words").join(judged.where("not gone"), same, "left_semi").dropDuplicates(["_id", "_hash"])
     blank = rows.where("not _words")
-    blank = blank.where("_id is null").unionAll(blank.where("_id is not null").dropDuplicates(["_id", text]))
-    return single.unionAll(several).unionAll(blank).select(*df.columns)
+    blank = blank.where("_id is null").unionAll(blank.where("_id is not null").dropDuplicates(["_id", at(text)]))
+    return single.unionAll(several).unionAll(blank).select(*plain.columns).toDF(*df.columns)

@@ -103,10 +103,11 @@ FILE = "part int, row int, n_ids bigint, words binary, block_offsets array<int>,
 def write_ids(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", tokenizer: str = "word_bpe_49k.json", end: int = 1) -> None:
     """Encode every whole text, append ``end``, and write the ids in ascending key order.
 
-    The texts are dealt by ranges of the key and sorted; each partition writes rows of
+    The texts are dealt by ranges of the key, and of a hash of the text where a key has
+    many rows, and sorted; each partition writes rows of
     Simple-8b words for whole documents (about ``ROW`` ids, more for a longer document),
     with the word offset of each block and the ids' number of each document. Null texts
-    have the end id alone; null keys come first; rows of equal key are ordered by text.
+    have the end id alone; null keys come first; rows of equal key are ordered by their text's XXH64 and by text.
     """
     arrow = arrow_schema(df.sparkSession, FILE)
 
@@ -138,8 +139,9 @@ def write_ids(df: DataFrame, path: str, text: str = "text", key: str = "doc_id",
             yield written()
 
     rows = pick(df, key=key, text=text).select(F.col("key").cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    dealt.mapInArrow(run, FILE).write.option("compression", "zstd").parquet(path)
+    rows = rows.withColumn("bits", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("key", "bits").sortWithinPartitions("key", "bits", "text")
+    dealt.select("key", "text").mapInArrow(run, FILE).write.option("compression", "zstd").parquet(path)
 
 
 def read_ids(spark, path: str) -> DataFrame:

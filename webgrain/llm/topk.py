@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webgrain.llm.common import pick, stored
 
 #: Vectors and queries that meet in one cell of the grid at most (on average, by hash).
-CELL, QUERIES = 16_384, 2048
+CELL, QUERIES = 16_384, 8192
 #: Segments of each level of the bounds, from coarse to fine.
 LEVELS = (4, 8, 16)
 
@@ -29,18 +29,33 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, dev], 1)
 
 
+def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole-number rows with ``q``, exact; those beyond a long are its least or largest number."""
+    if not x.size:
+        return np.zeros(len(x), np.int64)
+    most = float(np.abs(x.astype(np.float64)).max()) * float(np.abs(q.astype(np.float64)).max()) * x.shape[1]
+    if most < 2.0**53:
+        # All sums are whole numbers that a double holds exactly.
+        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    if most < 2.0**62:
+        return x @ q
+    ends = np.iinfo(np.int64)
+    return np.array([min(max(v, ends.min), ends.max) for v in x.astype(object) @ q.astype(object)], np.int64)
+
+
 def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best vectors of each query among these: exact, by bounds first.
+    """The k best vectors of each query among these (whole numbers): exact, by bounds first.
 
     The k coarse-best candidates give a threshold; a candidate whose bound is below it
     at some level can't be among the best and goes. Survivors are scored exactly.
     """
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
     q, x = queries.astype(np.float64), vectors.astype(np.float64)
     levels = [(statistics(q, s), statistics(x, s)) for s in LEVELS if s < x.shape[1]]
+    # Scores are whole numbers; one half, and more where they are large, covers the rounding of bounds.
+    slack = 0.5 + 1e-14 * (x.shape[1] + 8) * np.sqrt((q * q).sum(1) * (x * x).sum(1).max())
     out_q, out_v, out_s = [], [], []
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    levels = [(a, b[order]) for a, b in levels]
     for start in range(0, len(q), 256):
         at = slice(start, start + 256)
         bound = levels[0][0][at] @ levels[0][1].T if levels else np.full((len(q[at]), len(x)), np.inf)
@@ -51,14 +66,13 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
             probe = np.argpartition(-own, few)[: few + 1] if few < len(x) - 1 else np.arange(len(x))
             probe = probe[others[probe]]
             score = x[probe] @ q[qi]
-            least = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
-            # Scores are whole numbers; one half covers the rounding of the bounds.
-            left = np.flatnonzero((own >= least - 0.5) & others)
+            least = (np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf) - slack[qi]
+            left = np.flatnonzero((own >= least) & others)
             for a, b in levels[1:]:
-                left = left[b[left] @ a[qi] >= least - 0.5]
-            score = np.rint(x[left] @ q[qi]).astype(np.int64)
+                left = left[b[left] @ a[qi] >= least]
+            score = exact(vectors[left], queries[qi])
             # Ids ascend, so a stable sort by score breaks ties to the smaller id.
-            top = np.argsort(-score, kind="stable")[:k]
+            top = np.argsort(~score, kind="stable")[:k]
             out_q.append(np.full(len(top), query_ids[qi]))
             out_v.append(ids[left[top]])
             out_s.append(score[top])
@@ -98,7 +112,7 @@ def top_k(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
     def cell(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(candidates) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        return best_of(asked["id"].to_numpy(np.int64), np.stack(asked["v"].to_numpy()), candidates["id"].to_numpy(np.int64), np.stack(candidates["v"].to_numpy()), k)
+        return best_of(asked["id"].to_numpy(np.int64), np.stack(asked["v"].to_numpy()).astype(np.int64), candidates["id"].to_numpy(np.int64), np.stack(candidates["v"].to_numpy()).astype(np.int64), k)
 
     on = ("a", "b", "dim")
     found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(cell, "query_id bigint, vec_id bigint, score bigint")
