@@ -14,8 +14,7 @@ CJK = "[぀-ヿ一-鿿가-힯]+"
 def terms(text: Column) -> Column:
     """Terms for ranking: lower-case runs of ASCII letters and digits longer than one and no stopwords, then bigrams of CJK runs."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    stop = F.array(*map(F.lit, fixed.STOPWORDS))
-    plain = F.filter(F.regexp_extract_all(lower, F.lit("([a-z0-9]+)"), 1), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    plain = F.filter(F.regexp_extract_all(lower, F.lit("([a-z0-9]+)"), 1), lambda t: (F.length(t) > 1) & ~t.isin(*fixed.STOPWORDS))
     runs = F.regexp_extract_all(lower, F.lit(f"({CJK})"), 1)
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))))
     return F.concat(plain, pairs)
@@ -135,12 +134,15 @@ def safe_name(base: Column, ending: Column | None = None) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """A number of bytes with one decimal and a unit of 1024."""
+    """A number of bytes with one decimal, rounded half to even, and a unit of 1024."""
     out = None
-    for k, unit in enumerate(("B", "KB", "MB", "GB")):
-        value = F.format_string("%.1f " + unit, size / F.lit(float(1024**k)))
-        out = F.when(size < 1024 ** (k + 1), value) if out is None else out.when(size < 1024 ** (k + 1), value)
-    return out.otherwise(F.format_string("%.1f TB", size / F.lit(float(1024**4))))
+    for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
+        # Divisions by powers of two are exact, and so is the decimal that is rounded.
+        exact = (size.cast("double") / F.lit(float(1024**k))).cast("decimal(38,18)")
+        value = F.concat(F.format_string("%.1f", F.bround(exact, 1).cast("double")), F.lit(f" {unit}"))
+        last = F.lit(True) if unit == "TB" else size < 1024 ** (k + 1)
+        out = F.when(last, value) if out is None else out.when(last, value)
+    return out
 
 
 def image_ending(content_type: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ def part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, _PARTS, n)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often the expression names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def trimmed(raw: Column) -> Column:
     """Without white space, quotes and angle brackets around."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"""^["']+|["']+$""", ""), r"^[<>]+|[<>]+$", ""))
@@ -52,7 +58,10 @@ def normalize_url(raw: Column, base: Column | None = None) -> Column:
     has_scheme = s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
     if base is not None:
         s = F.when(~has_scheme & ~s.startswith("//") & (s != ""), _joined(s, base)).otherwise(s)
-    s = F.when(s.startswith("//"), F.concat(F.lit("https:"), s)).otherwise(s)
+    return let(F.when(s.startswith("//"), F.concat(F.lit("https:"), s)).otherwise(s), _judged)
+
+
+def _judged(s: Column) -> Column:
     has_scheme = s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:(//|[^0-9]|$)")
     host = F.regexp_extract(s, r"^[^/?]*", 0)
     endings = "|".join(fixed.DOCUMENT_ENDINGS)
@@ -68,7 +77,7 @@ def normalize_url(raw: Column, base: Column | None = None) -> Column:
         error,
         F.when(~F.lower(full).rlike(r"^https?:"), "scheme").when(F.regexp_extract(full, r"^[A-Za-z]+://(?:[^/?#]*@)?([^/?#:]*|\[[^\]]*\])", 1) == "", "no host"),
     )
-    return F.struct(F.when(error.isNull(), full).alias("url"), error.alias("error"))
+    return let(F.struct(full.alias("url"), error.alias("error")), lambda x: F.struct(F.when(x["error"].isNull(), x["url"]).alias("url"), x["error"].alias("error")))
 
 
 def _encoded(text: Column) -> Column:
@@ -95,18 +104,19 @@ def canonical_query(query: Column, tracking: bool) -> Column:
 def canonical_url(url: Column, query: str = "keep") -> Column:
     """Identity of a page: lower-case scheme and host, one ``www.`` less, no default port, user, fragment, parameters or
     closing slash. ``query``: ``keep`` (sorted), ``drop``, or ``drop-tracking``. Null where the URL isn't one."""
-    u = normalize_url(url)["url"]
-    scheme = F.lower(part(u, 1))
+    return let(normalize_url(url)["url"], lambda u: _identity(u, query))
+
+
+def _identity(u: Column, query: str) -> Column:
+    def out(x: Column) -> Column:
+        port = F.when((x["port"] == "") | (x["port"] == F.when(x["scheme"] == "http", "80").otherwise("443")), "").otherwise(F.concat(F.lit(":"), x["port"]))
+        head = F.concat(x["scheme"], F.lit("://"), x["host"], port, F.when(x["path"] == "", "/").otherwise(x["path"]))
+        return head if query == "drop" else let(canonical_query(part(u, 4), query != "drop-tracking"), lambda q: F.when(q == "", head).otherwise(F.concat(head, F.lit("?"), q)))
+
     authority = F.regexp_replace(part(u, 2), r"^.*@", "")
     host = F.regexp_replace(F.lower(F.regexp_replace(authority, r":[0-9]*$", "")), r"^www\.", "")
-    port = F.regexp_extract(authority, r":([0-9]+)$", 1)
-    port = F.when((port == "") | (port == F.when(scheme == "http", "80").otherwise("443")), "").otherwise(F.concat(F.lit(":"), port))
     path = F.regexp_replace(F.substring_index(part(u, 3), ";", 1), "/+$", "")
-    out = F.concat(scheme, F.lit("://"), host, port, F.when(path == "", "/").otherwise(path))
-    if query == "drop":
-        return out
-    q = canonical_query(part(u, 4), query != "drop-tracking")
-    return F.when(q == "", out).otherwise(F.concat(out, F.lit("?"), q))
+    return let(F.struct(F.lower(part(u, 1)).alias("scheme"), host.alias("host"), F.regexp_extract(authority, r":([0-9]+)$", 1).alias("port"), path.alias("path")), out)
 
 
 def content_hash(text: Column) -> Column:

@@ -2,27 +2,53 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webgrain.functions import fixed
 from webgrain.functions.text import terms
 
-#: Query terms up to which they are sent to every task; more are joined.
-MANY_TERMS = 10_000
+
+def counted(df: DataFrame, key: str, words: Column, most: int | None = None) -> DataFrame:
+    """``key, word, n`` of each row's distinct words, the ``most`` frequent ones (ties by word) with their ``rank``.
+
+    Each Arrow batch of rows is counted by itself, so nothing is shuffled and a long
+    text costs no more than its length.
+    """
+    rows = df.select(F.col(key).alias("key"), words.alias("words"))
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, word string, n bigint, rank int"
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lists = batch.column("words")
+            each = pa.table({"row": pc.list_parent_indices(lists), "word": pc.list_flatten(lists)}).group_by(["row", "word"]).aggregate([([], "count_all")])
+            each = each.sort_by([("row", "ascending"), ("count_all", "descending"), ("word", "ascending")])
+            row = each.column("row").to_numpy()
+            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+            rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row)))) + 1
+            out = pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), each.column("word").combine_chunks(), each.column("count_all").combine_chunks().cast(pa.int64()), pa.array(rank, pa.int32())], names=["key", "word", "n", "rank"])
+            yield out if most is None else out.filter(pa.array(rank <= most))
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf`` of every document: terms are counted inside the document's row, so nothing is shuffled."""
-    found = df.select(key, terms(F.col(text)).alias("terms"))
-    each = found.select(key, F.explode(F.array_distinct("terms")).alias("term"), "terms")
-    return each.select(key, "term", (F.size("terms") - F.size(F.array_remove("terms", F.col("term")))).cast("long").alias("tf"))
+    """``key, term, tf`` of every document, counted without a shuffle."""
+    return counted(df, key, terms(F.col(text))).select(key, F.col("word").alias("term"), F.col("n").alias("tf"))
 
 
 def document_frequencies(df: DataFrame, text: str) -> DataFrame:
-    """``term, df, cf`` over the corpus; counted per task before the shuffle."""
-    each = df.select(F.explode(F.transform(F.array_distinct(terms(F.col(text))), lambda t: t)).alias("term"))
-    return each.groupBy("term").agg(F.count("*").alias("df"))
+    """``term, df`` over the corpus; counted per task before the shuffle."""
+    return df.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -53,31 +79,44 @@ def top_ranked(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return scored.orderBy(F.col("score").desc(), F.col(key)).limit(k)
 
 
+#: A title behind number signs, a line under a title, and what may end a line besides its line feed.
+_ATX = re.compile(r"#{1,6}[ \t]+([^\n\r\x85\u2028\u2029]+?)(?:[ \t]+#+)?[ \t]*[\r\x85\u2028\u2029]?\Z")
+_UNDER = re.compile(r"[ \t]*[=-]{2,}[ \t]*[\r\x85\u2028\u2029]?\Z")
+_RULE, _ITEM = re.compile(r"[-=]+[\r\x85\u2028\u2029]?\Z"), re.compile(r"[-*+][ \t]")
+_MAY_HEAD = re.compile(r"^(?:#|[ \t]*[=-]{2})", re.MULTILINE)
+
+
+def _headings(text: str) -> Iterator[tuple[int, str]]:
+    """Start and title of each heading, as ``split_sections`` says."""
+    if not _MAY_HEAD.search(text):
+        return
+    at, lines = 0, text.split("\n")
+    for i, line in enumerate(lines):
+        if found := _ATX.match(line):
+            yield at, found[1].strip(" ")
+        elif i + 1 < len(lines) and _UNDER.match(lines[i + 1]):
+            plain = line.strip(" \t")
+            if plain and not _RULE.match(plain) and not _ITEM.match(line):
+                yield at, plain
+        at += len(line) + 1
+
+
 def split_sections(df: DataFrame, key: str, markdown: str) -> DataFrame:
     """``key, idx, anchor, text, offset`` of each section of a Markdown text.
 
     A heading is a line of one to six number signs and a title, or a title line above a
     line of two or more equal signs or dashes (unless the title is blank, a rule or a
     list item). Text before the first heading is ``(intro)`` unless blank; without any
-    heading all is; blank texts have no section. Offsets are in code points. Lines are
-    read once, inside the row.
+    heading all is; blank texts have no section. Offsets are in code points. Each text's
+    lines are read once; texts stay where they are.
     """
-    lines = F.split(F.col(markdown), "\n")
-    n = F.size(lines)
-    at = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(lines, i))
-    ends = F.aggregate(at, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x) + 1)))
-    atx = r"^#{1,6}[ \t]+(.+?)(?:[ \t]+#+)?[ \t]*$"
-    rows = df.where(F.col(markdown).rlike(r"[^\s]")).select(key, F.col(markdown).alias("md"), lines.alias("lines"), ends.alias("starts"))
-
-    def heading(i: Column) -> Column:
-        line, below = F.get(F.col("lines"), i), F.get(F.col("lines"), i + 1)
-        title = F.regexp_extract(line, atx, 1)
-        is_atx = line.rlike(atx)
-        plain = F.regexp_replace(line, r"^[ \t]+|[ \t]+$", "")
-        is_setext = below.rlike(r"^[ \t]*([=-]){2,}[ \t]*$") & (plain != "") & ~plain.rlike("^[-=]+$") & ~line.rlike(r"^[-*+][ \t]") & ~is_atx
-        return F.struct(F.get(F.col("starts"), i).alias("start"), F.when(is_atx, F.trim(title)).when(is_setext, plain).alias("anchor"))
-
-    marks = F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), heading), lambda h: h["anchor"].isNotNull())
+    rows = df.where(F.col(markdown).rlike(r"[^\s]")).select(key, F.col(markdown).alias("md"))
+
+    @F.pandas_udf("array<struct<start:int,anchor:string>>")
+    def headings(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(_headings(t)))
+
+    marks = headings("md")
     marked = rows.select(key, "md", marks.alias("marks"))
     first = F.coalesce(F.get(F.col("marks"), 0)["start"], F.length("md"))
     intro = F.struct(F.lit(0).alias("start"), F.lit("(intro)").alias("anchor"))
@@ -121,19 +160,17 @@ def category(text: Column) -> Column:
     lower = F.lower(F.coalesce(text, F.lit("")))
     scored = []
     for i, (name, words) in enumerate(fixed.CATEGORIES.items()):
-        quoted = [w.replace("-", r"\-") for w in words]
-        hits = sum((lower.rlike(rf"(?U)\b{w}\b").cast("int") for w in quoted[1:]), lower.rlike(rf"(?U)\b{quoted[0]}\b").cast("int"))
-        scored.append(F.struct(hits.alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
+        # Most words are in no text, which a plain search tells sooner than a pattern.
+        found = [(lower.contains(w) & lower.rlike(rf"(?U)\b{w.replace('-', chr(92) + '-')}\b")).cast("int") for w in words]
+        scored.append(F.struct(sum(found[1:], found[0]).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
     best = F.array_max(F.array(*scored))
     return F.when(best["hits"] > 0, best["name"]).otherwise("general")
 
 
 def topic_words(df: DataFrame, key: str, text: str, most: int = 40) -> DataFrame:
-    """``key, word, tf, rank``: the most frequent words of each page, ties by word; counted and ranked inside the row."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([a-z0-9]+)"), 1), lambda t: ~F.array_contains(F.array(*map(F.lit, fixed.CRAWL_STOPWORDS)), t))
-    each = df.select(key, words.alias("w")).select(key, F.explode("w").alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("tf").desc(), F.col("word")))
-    return each.withColumn("rank", rank).where(F.col("rank") <= most)
+    """``key, word, tf, rank``: the most frequent words of each page, ties by word; counted without a shuffle."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([a-z0-9]+)"), 1), lambda t: ~t.isin(*fixed.CRAWL_STOPWORDS))
+    return counted(df, key, words, most).select(key, "word", F.col("n").alias("tf"), "rank")
 
 
 def term_hits(text: Column, words: list[str]) -> Column:
@@ -145,10 +182,10 @@ def term_hits(text: Column, words: list[str]) -> Column:
 def anchor_context(text: Column, anchor: Column, around: int = 50, most: int = 8) -> Column:
     """The most frequent words around the first place of an anchor in a text; empty if it isn't there."""
     lower, needle = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.trim(F.coalesce(anchor, F.lit(""))))
-    at = F.locate_in(lower, needle) if hasattr(F, "locate_in") else F.position(needle, lower)
+    at = F.position(needle, lower)
     start = F.greatest(at - around, F.lit(1))
     part = F.substring(lower, start, at + F.length(needle) + around - start)
-    words = F.filter(F.regexp_extract_all(part, F.lit("([a-z0-9]+)"), 1), lambda t: ~F.array_contains(F.array(*map(F.lit, fixed.CRAWL_STOPWORDS)), t))
+    words = F.filter(F.regexp_extract_all(part, F.lit("([a-z0-9]+)"), 1), lambda t: ~t.isin(*fixed.CRAWL_STOPWORDS))
     counted = F.transform(F.array_distinct(words), lambda w: F.struct((-(F.size(words) - F.size(F.array_remove(words, w)))).alias("n"), w.alias("w")))
     best = F.transform(F.slice(F.array_sort(counted), 1, most), lambda s: s["w"])
     return F.when((needle != "") & (at > 0), best).otherwise(F.array().cast("array<string>"))

@@ -85,14 +85,14 @@ def cache_stats(spark, sf_dir):
 
 
 @register("running_idf", """
-WITH t AS (SELECT DISTINCT event_id AS seq, event_type AS term FROM events WHERE event_id < 500),
+WITH t AS (SELECT DISTINCT event_id AS seq, event_type AS term FROM events),
 d AS (SELECT seq, term, count(*) OVER (PARTITION BY term ORDER BY seq ROWS UNBOUNDED PRECEDING) AS df, seq + 1 AS n FROM t)
 SELECT seq, term, df, n, round(CASE WHEN n < 3 THEN 1.0 ELSE ln(1 + (n - df + 0.5) / (df + 0.5)) END, 9) AS idf FROM d
 """)
 def running_idf(spark, sf_dir):
     from webgrain.operators.ranking import running_document_frequency
 
-    fetched = table(spark, sf_dir, "events").where("event_id < 500").select(F.col("event_id").alias("seq"), F.col("event_type").alias("term"))
+    fetched = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("term"))
     out = running_document_frequency(fetched)
     return out.withColumn("idf", F.round("idf", 9))
 
