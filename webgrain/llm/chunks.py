@@ -10,8 +10,8 @@ import numpy as np
 
 from webgrain.llm.common import tokenizer_path
 
-#: So many chunks a generation, of which there are two, are remembered a worker (about 120 MB each); longer ones are encoded anew each time.
-KEPT, LONG = 600_000, 64
+#: So many chunks a generation, of which there are two, are remembered a worker (about 80 MB each); longer ones are encoded anew each time.
+KEPT, LONG = 400_000, 64
 
 _LOADED: dict[str, ChunkEncoder] = {}
 

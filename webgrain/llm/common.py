@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+#: Bytes of a batch that are Python objects at a time.
+PART = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,13 +64,15 @@ def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
 
 
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
-    """Apply a function of column lists to each Arrow batch; ``start`` makes it once a task."""
+    """Apply a function of column lists to parts of each Arrow batch of about 8 MB; ``start`` makes it once a task."""
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = start()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            step = max(1, PART * whole.num_rows // max(1, whole.nbytes))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 out = apply({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
