@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -10,29 +10,82 @@ from pyspark.sql import functions as F
 
 from webgrain.llm.common import map_rows, numbered, pick
 
-#: Hashed vectors and their width; character n-gram sizes; words remembered a worker.
-BUCKETS, DIM, GRAMS, KEPT, LONG = 1 << 16, 16, (3, 4), 200_000, 48
+#: Hashed vectors and their width; character n-gram sizes in bytes; bytes of texts that are scored at a time.
+BUCKETS, DIM, GRAMS, AT_ONCE = 1 << 16, 16, (3, 4), 1 << 20
 #: Bounds of what is learned from: labelled rows of each class, and characters of a text.
 TRAIN_ROWS, TRAIN_CHARS = 1500, 20_000
-EPOCHS, RATE, SEED = 12, 0.5, 7
+#: Steps of gradient descent, one row each: the rows are gone through as often as that takes.
+STEPS, RATE, SEED = 9000, 0.5, 7
 
 
-def features(word: str) -> np.ndarray:
-    """Buckets of a word and of its character n-grams, with marks at both ends."""
-    raw = f"<{word}>".encode()
-    found = [zlib.crc32(raw)]
+#: An odd number whose powers modulo 2**64 weigh the bytes of a word, and its inverse.
+WEIGHT = 0x9E3779B97F4A7C15
+_INVERSE = pow(WEIGHT, -1, 1 << 64)
+
+
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(base: int, which: int, n: int) -> np.ndarray:
+    """A base to the powers 0 to n at least, modulo 2**64; remembered up to a size."""
+    have = _POWERS[which]
+    if len(have) <= n:
+        have = np.full(max(n + 1, 2 * len(have)), base, np.uint64)
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        if len(have) <= 4 * AT_ONCE:
+            _POWERS[which] = have
+    return have
+
+
+def bucket(values: np.ndarray, kind: int) -> np.ndarray:
+    """Buckets of 64-bit values; each kind of feature is hashed its own way."""
+    return ((values + np.uint64(kind)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(48)).astype(np.int64)
+
+
+def spaced(text: str | None) -> bytes:
+    """The words of a text, a space before and behind each; an empty text is one empty word."""
+    return f" {' '.join((text or '').split())} ".encode()
+
+
+def features(raw: bytes, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and buckets of spaced words, pairs of words, and n-grams of words with the spaces at both ends as marks.
+
+    All words at once: n-grams are numbers of their bytes, words differences of weighted
+    prefix sums. An n-gram with a space inside it is none, nor is what lies before the
+    ``first`` bytes of texts.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    space = b == 32
+    wide = b.astype(np.uint64)
     for n in GRAMS:
-        found += [zlib.crc32(raw[i : i + n], n) for i in range(len(raw) - n + 1)]
-    return np.array(found, np.uint32) % np.uint32(BUCKETS)
+        if len(b) >= n:
+            inside = space[1 : len(b) - n + 2].copy()
+            for i in range(2, n - 1):
+                inside |= space[i : len(b) - n + 1 + i][: len(inside)]
+            at = np.flatnonzero(~inside[: len(b) - n + 1])
+            value = wide[at]
+            for i in range(1, n):
+                value = value << np.uint64(8) | wide[at + i]
+            yield at, bucket(value, n)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((wide + np.uint64(1)) * powers(WEIGHT, 0, len(b))[: len(b)], out=sums[1:])
+    cuts = np.flatnonzero(space)
+    start, end = cuts[:-1] + 1, cuts[1:]
+    begins = np.zeros(len(b) + 1, bool)
+    begins[first] = True
+    own = ~begins[start]
+    start, end = start[own], end[own]
+    word = (sums[end] - sums[start]) * powers(_INVERSE, 1, len(b))[start]
+    yield start, bucket(word, 0)
+    # Two words in a row by the difference of their values: of all words said twice it is the same.
+    beside = np.flatnonzero(end[:-1] + 1 == start[1:])
+    yield start[beside], bucket(word[beside + 1] - word[beside], 1)
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and how often each occurs."""
-    words, counts = np.unique(np.array(text.split() or [""], object).astype(str), return_counts=True)
-    parts = [features(w) for w in words]
-    total = np.bincount(np.concatenate(parts), np.repeat(counts, [len(p) for p in parts]), BUCKETS)
-    at = np.flatnonzero(total)
-    return at, total[at]
+    return np.unique(np.concatenate([found for _, found in features(spaced(text), np.zeros(1, np.int64))]), return_counts=True)
 
 
 def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,8 +100,9 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray,
         return vectors, weights, bias
     bags = [bag(t) for t in texts]
     share = np.bincount(labels, minlength=2) / len(labels)
-    steps, step = EPOCHS * len(bags), 0
-    for _ in range(EPOCHS):
+    passes = -(-STEPS // len(bags))
+    steps, step = passes * len(bags), 0
+    for _ in range(passes):
         for i in rng.permutation(len(bags)):
             rate = RATE * (1 - step / steps)
             step += 1
@@ -69,32 +123,38 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray,
 
 
 class Scorer:
-    """Scores texts with a trained model: the average over features is linear, so each word adds a sum and a count."""
+    """Scores texts with a trained model: the average over features is linear, so each bucket adds a number."""
 
     def __init__(self, by_bucket: np.ndarray, bias: float):
-        self.by_bucket, self.bias = by_bucket, bias
-        self.known: dict[str, tuple[float, int]] = {}
-
-    def word(self, word: str) -> tuple[float, int]:
-        found = self.known.get(word)
-        if found is None:
-            at = features(word)
-            found = float(self.by_bucket[at].sum()), len(at)
-            if len(word) <= LONG:
-                if len(self.known) >= KEPT:
-                    self.known.clear()
-                self.known[word] = found
-        return found
-
-    def score(self, text: str | None) -> float:
-        """Probability of label 1 for the whole text; an empty text is one empty word."""
-        total, n = 0.0, 0
-        for word in (text or "").split() or [""]:
-            s, k = self.word(word)
-            total += s
-            n += k
-        z = total / n + self.bias
-        return float(1 / (1 + np.exp(-z))) if z > -500 else 0.0
+        self.by_bucket, self.bias = by_bucket.astype(np.float64), bias
+
+    def scores(self, texts: Iterable[str | None]) -> list[float]:
+        """Probability of label 1 for each whole text, about ``AT_ONCE`` bytes or one longer text at a time."""
+        out: list[float] = []
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            held.append(spaced(text))
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                out += self._scored(held)
+                held, size = [], 0
+        return out + self._scored(held) if held else out
+
+    def _scored(self, raw: list[bytes]) -> list[float]:
+        size = np.array([len(r) for r in raw])
+        first = np.cumsum(size) - size
+        total, n = np.zeros(len(raw)), np.zeros(len(raw))
+        for at, found in features(b"".join(raw), first):
+            # Each text adds up its own features in their order, so its score doesn't depend on the texts beside it.
+            cut = np.searchsorted(at, first)
+            count = np.diff(np.append(cut, len(at)))
+            some = count > 0
+            n += count
+            if len(at):
+                total[some] += np.add.reduceat(self.by_bucket[found], cut[some])
+        z = np.clip(total / n + self.bias, -700, 700)
+        return (1 / (1 + np.exp(-z))).tolist()
 
 
 def held_out(key: str = "doc_id"):
@@ -137,7 +197,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
         scorer = Scorer(weights, bias)
 
         def apply(x: dict[str, list]) -> dict[str, list]:
-            scores = [scorer.score(t) for t in x["text"]]
+            scores = scorer.scores(x["text"])
             return {"key": x["key"], "score": scores, "held_out": x["held_out"], "predicted": [int(s >= keep) for s in scores]}
 
         return apply
@@ -161,9 +221,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: st
 
         scorer = Scorer(weights, bias)
         for texts in batches:
-            yield pd.Series([scorer.score(t) >= keep for t in texts], dtype=bool)
-
-    from collections.abc import Iterator
+            yield pd.Series([s >= keep for s in scorer.scores(texts)], dtype=bool)
 
     import pandas as pd
 
