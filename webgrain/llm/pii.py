@@ -1,8 +1,10 @@
 """Personal data: patterns find the plain mentions, a skip-chain conditional random field the ones like them.
 
 Mentions of a document are the nodes of a graph: number groups of seven digits or more,
-dotted groups of four numbers, and tokens with an at sign. Neighbours in the text share a chain potential; mentions
-with the same digits or the same letters, however far apart, share a skip potential.
+dotted groups of four numbers, and tokens with an at sign or a bracketed "at". Neighbours
+in the text share a chain potential; mentions with the same digits or letters, however far
+apart, share a skip potential, and mentions alike in part (the last digits, the name before
+the at sign, the network of an address) share another.
 Loopy belief propagation makes labels agree across the document, so an entity that a
 pattern finds once is also found where it is written another way.
 """
@@ -43,6 +45,12 @@ def digits_of(text: str) -> str:
     return re.sub(r"[^0-9]+", "", text)
 
 
+def _byte(part: str) -> bool:
+    """Whether digits, zeros in front or not, are at most 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
 def emails(text: str) -> list[Span]:
     """Matches of the e-mail pattern, found from their at signs: each run of local characters is read once."""
     out, free, at = [], 0, text.find("@")
@@ -62,7 +70,7 @@ def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches per kind, by start and then kind; failing matches are dropped."""
     out = emails(text)
     if any(c in text for c in "0123456789"):
-        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p) < 300 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(_byte(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
                 out.append((m.start(), m.end(), "card"))
@@ -131,18 +139,50 @@ def _numbers(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
-def mentions(text: str, base: list[Span] = ()) -> list[tuple[int, int]]:
-    """Number groups and tokens with an at sign, in order and not overlapping; ``base`` are the text's base spans."""
-    out = _numbers(text, base) if any(c in text for c in "0123456789") else []
-    at = text.find("@")
+#: "at" and "dot" written out in brackets, and what may stand behind such an "at".
+_AT = re.compile(r"[\[({<] ?at ?[\])}>]", re.IGNORECASE)
+_DOT = re.compile(r" ?[\[({<] ?(?:dot|\.) ?[\])}>] ?", re.IGNORECASE)
+_HOST = re.compile(r" ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({<] ?(?:dot|\.) ?[\])}>] ?)[A-Za-z0-9-]+)*", re.IGNORECASE)
+_BREAKS = frozenset("<>\"',;|")
+
+
+def _at_tokens(text: str) -> list[tuple[int, int]]:
+    """Tokens around at signs and around bracketed "at"s, each read once."""
+    out, free, at = [], 0, text.find("@")
     while at >= 0:
         start = at
-        while start and not text[start - 1].isspace() and text[start - 1] not in "<>\"',;|" and at - start < 80:
+        while start > free and not text[start - 1].isspace() and text[start - 1] not in _BREAKS:
             start -= 1
-        end = min(_TOKEN.match(text, at).end(), at + 80)
+        free = _TOKEN.match(text, at).end()
+        tail = _DOT.match(text, free)
+        while tail and (host := _HOST.match(text, tail.end())):
+            free = host.end()
+            tail = _DOT.match(text, free)
+        # Brackets and stops that close what stands around the token are not of it.
+        end = free
+        while end > at + 1 and not text[end - 1].isalnum():
+            end -= 1
         out.append((start, end))
-        at = text.find("@", max(end, at + 1))
-    out.sort()
+        at = text.find("@", max(free, at + 1))
+    free = 0
+    for m in _AT.finditer(text):
+        start = m.start() - (m.start() > 0 and text[m.start() - 1] == " ")
+        stop = start
+        while start > free and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        host = _HOST.match(text, m.end())
+        if host and start < stop:
+            free = host.end()
+            out.append((start, free))
+    return out
+
+
+def mentions(text: str, base: list[Span] = ()) -> list[tuple[int, int]]:
+    """Number groups and tokens with an at, in order and not overlapping; ``base`` are the text's base spans."""
+    out = _numbers(text, base) if any(c in text for c in "0123456789") else []
+    if "@" in text or _AT.search(text):
+        out += _at_tokens(text)
+    out.sort(key=lambda s: (s[0], -s[1]))
     kept: list[tuple[int, int]] = []
     for s in out:
         if not kept or s[0] >= kept[-1][1]:
@@ -151,66 +191,85 @@ def mentions(text: str, base: list[Span] = ()) -> list[tuple[int, int]]:
 
 
 #: Names of a mention's features; the last len(KINDS) say which pattern covers it.
-FEATURES = ("bias", "at", "letters", "plus", "parens", "dots", "four parts", "luhn", "7-9", "10-13", "14-19", "plain digits", *KINDS)
+FEATURES = ("bias", "at", "spelled", "letters", "plus", "parens", "dots", "four parts", "luhn", "7", "8-9", "10", "11-13", "14-19", "plain digits", *KINDS)
+
+
+def _quad(mention: str) -> tuple[int, ...] | None:
+    parts = [p for p in re.split(r"[^0-9]+", mention) if p]
+    return tuple(map(int, parts)) if len(parts) == 4 and all(map(_byte, parts)) else None
 
 
 def node_features(mention: str, covered: str | None) -> np.ndarray:
     d = digits_of(mention)
-    parts = [p for p in re.split(r"[^0-9]+", mention) if p]
+    spelled = bool(_AT.search(mention))
+    named = "@" in mention or spelled
+    n = 0 if named else len(d)
     found = {
         "bias": True,
         "at": "@" in mention,
+        "spelled": spelled or bool(_DOT.search(mention)),
         "letters": any(c.isalpha() for c in mention),
         "plus": mention[:1] == "+",
         "parens": "(" in mention,
         "dots": "." in mention,
-        "four parts": len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts),
-        "luhn": 14 <= len(d) <= 19 and luhn(d),
-        "7-9": 7 <= len(d) <= 9,
-        "10-13": 10 <= len(d) <= 13,
-        "14-19": 14 <= len(d) <= 19,
+        "four parts": not named and _quad(mention) is not None,
+        "luhn": 14 <= n <= 19 and luhn(d),
+        "7": n == 7,
+        "8-9": 8 <= n <= 9,
+        "10": n == 10,
+        "11-13": 11 <= n <= 13,
+        "14-19": 14 <= n,
         "plain digits": mention == d,
     }
     return np.array([float(found.get(f, f == covered)) for f in FEATURES])
 
 
-def alike(mention: str) -> str:
-    """Mentions of one key are alike: the same letters and digits with an at sign, else the same last ten digits and count class."""
-    if "@" in mention:
-        return "@" + re.sub(r"[^a-z0-9]+", "", mention.lower())
+def alike(mention: str) -> tuple[str, str | None]:
+    """Two keys: mentions of the same first one say the same, those of the same second one are alike in part."""
+    plain = _DOT.sub(".", re.sub(rf" ?{_AT.pattern} ?", "@", mention, flags=re.IGNORECASE)).lower()
+    if "@" in plain:
+        name = re.sub(r"[^a-z0-9]+", "", plain.partition("@")[0])
+        return "@" + re.sub(r"[^a-z0-9]+", "", plain), "@" + name + "@" if name else None
+    if (quad := _quad(mention)) is not None:
+        return "." + ".".join(map(str, quad)), "." + ".".join(map(str, quad[:3])) + "."
     d = digits_of(mention)
-    parts = tuple(p for p in re.split(r"[^0-9]+", mention) if p)
-    if len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts):
-        return "." + ".".join(str(int(p)) for p in parts)
-    return ("#" if len(d) < 14 else "##" + d[:-10]) + d[-10:]
+    return ("#" if len(d) < 14 else "##" + d[:-10]) + d[-10:], ("7#" if len(d) < 14 else "8#") + d[-7 - (len(d) > 13) :]
 
 
-def edges(text: str, found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Chain edges of mentions within 40 characters, and skip edges from each mention to the next alike; linear in number."""
+def edges(text: str, found: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chain edges of mentions within 40 characters, and skip edges from each mention to the last one that says the same, and to the last one alike in part; linear in number."""
     chain = [(i - 1, i) for i in range(1, len(found)) if found[i][0] - found[i - 1][1] <= 40]
     last: dict[str, int] = {}
-    skip = []
+    same, part = [], []
     for i, (a, b) in enumerate(found):
-        key = alike(text[a:b])
-        if key in last:
-            skip.append((last[key], i))
-        last[key] = i
-    return np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 2)
+        whole, half = alike(text[a:b])
+        if whole in last:
+            same.append((last[whole], i))
+        if half is not None:
+            # What says the same is linked already.
+            if half in last and last.get(whole) != last[half]:
+                part.append((last[half], i))
+            last[half] = i
+        last[whole] = i
+    return tuple(np.array(e, int).reshape(-1, 2) for e in (chain, same, part))
 
 
 class SkipChain:
-    """Log potentials: features by label, and label pairs of chain and of skip edges."""
+    """Log potentials: features by label, and label pairs of each kind of edge (chain, same, alike in part)."""
+
+    def __init__(self, unary: np.ndarray, *pair: np.ndarray):
+        self.unary, self.pair = unary, pair
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.unary, self.pair = unary, (chain, skip)
+    def marginals(self, x: np.ndarray, *ends_by_kind: np.ndarray, rounds: int = 200, still: float = 1e-5) -> np.ndarray:
+        """Label probabilities of each mention by damped loopy message passing, until messages stand still.
 
-    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 12) -> np.ndarray:
-        """Label probabilities of each mention by damped loopy message passing."""
-        n, k = len(x), len(LABELS)
+        Exact where the graph has no loop.
+        """
+        k = len(LABELS)
         node = x @ self.unary
-        ends = np.concatenate([chain, skip])
+        ends = np.concatenate(ends_by_kind)
         if len(ends):
-            tables = np.concatenate([np.repeat(p[None], len(e), 0) for p, e in zip(self.pair, (chain, skip), strict=True)])
+            tables = np.concatenate([np.repeat(p[None], len(e), 0) for p, e in zip(self.pair, ends_by_kind, strict=True)])
             source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
             tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(ends)) + len(ends), np.arange(len(ends))])
@@ -221,40 +280,56 @@ class SkipChain:
                 out = (belief[source] - messages[back])[:, :, None] + tables
                 top = out.max(1)
                 new = top + np.log(np.exp(out - top[:, None]).sum(1))
-                new -= new.max(1, keepdims=True)
-                messages = 0.5 * messages + 0.5 * new
+                new = 0.5 * messages + 0.5 * (new - new.max(1, keepdims=True))
+                moved = np.abs(new - messages).max()
+                messages = new
+                if moved < still:
+                    break
             np.add.at(node, target, messages)
         p = np.exp(node - node.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
 
+def _entity(rng: np.random.Generator, kind: str) -> list[str]:
+    """Spellings of a made entity: first those that a pattern finds, one of them, then others."""
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    one = lambda *s: s[rng.integers(len(s))]
+    if kind == "email":
+        a, b, c = f"{one('ann', 'bo', 'c.d', 'eve')}{one('', '.', '_')}{d(2)}", f"host{d(1)}", one("org", "com", "net")
+        l, r = one("[]", "()", "{}", "<>")
+        dot = one(".", f"{l}.{r}", f" {l}dot{r} ")
+        return [f"{a}@{b}.{c}", one(f"{a}@{b}{l}.{r}{c}", f"{a} {l}at{r} {b}{dot}{c}", f"{a}{l}at{r}{b}{dot}{c}", f"{a}@{b} {l}dot{r} {c}")]
+    if kind == "ip":
+        q = [str(v) for v in rng.integers(0, 256, 4)]
+        return [".".join(q), one("[.]", "(.)", " . ", ". ").join(q)]
+    if kind == "card":
+        body = "4" + d(14)
+        body += next(c for c in "0123456789" if luhn(body + c))
+        quarters = [body[i : i + 4] for i in range(0, 16, 4)]
+        return [one(" ", "", "-").join(quarters), one(".", "/", "_", ", ", " / ").join(quarters)]
+    a, b, c = d(3), d(3), d(4)
+    return [one(f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"+1.{a}.{b}.{c}"), one(f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}", f"001 {a} {b} {c}", f"{a}/{b}/{c}", f"{b}-{c}")]
+
+
 def _example(rng: np.random.Generator) -> tuple[str, list[tuple[str, str]]]:
-    """A made document: mentions in plain patterns, the same ones written otherwise, and numbers that mean nothing."""
+    """A made document: entities in plain spellings and others, entities in other spellings alone, and numbers that mean nothing."""
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     parts: list[tuple[str, str]] = []
-    for _ in range(rng.integers(0, 3)):
+    for _ in range(rng.integers(0, 4)):
         kind = KINDS[rng.integers(4)]
-        if kind == "email":
-            a, b = f"{'abcdefgh'[rng.integers(8)]}{d(3)}", f"host{d(1)}"
-            parts += [(f"{a}@{b}.org", kind), (f"{a}@[{b}.org]", kind)]
-        elif kind == "ip":
-            q = [str(v) for v in rng.integers(0, 256, 4)]
-            parts += [(".".join(q), kind), ("[.]".join(q), kind)]
-        elif kind == "card":
-            body = "4" + d(14)
-            body += next(c for c in "0123456789" if luhn(body + c))
-            cut = [body[i : i + 4] for i in range(0, 16, 4)]
-            parts += [(" ".join(cut), kind), (".".join(cut), kind)]
-        else:
-            a, b, c = d(3), "555", d(4)
-            parts += [(f"+1 ({a}) {b}-{c}", kind), (f"({a}) {b}-{c}" if rng.random() < 0.5 else f"{a}.{b}.{c}", kind)]
+        plain, other = _entity(rng, kind)
+        parts += [(plain, kind)] * rng.integers(1, 3)
+        parts += [(other, kind)] * (rng.random() < 0.8)
+        if kind == "ip" and rng.random() < 0.2:  # of the same network
+            parts.append((plain.rpartition(".")[0] + f".{rng.integers(0, 256)}", kind))
     for _ in range(rng.integers(0, 5)):
-        noise = rng.integers(7)
-        body = "4" + d(14)
-        dotted = body + next(c for c in "0123456789" if luhn(body + c))
-        parts.append(((d(8), d(16), f"20{d(2)}-0{1 + rng.integers(9)}-1{d(1)}", f"{d(3)}.{d(3)}.{d(4)}", f"@{d(2)}x", f"({d(3)}) {d(3)}-{d(4)}", ".".join(dotted[i : i + 4] for i in range(0, 16, 4)))[noise], "none"))
+        # What only looks like an entity, and has no plain spelling in this document, is none.
+        alone = _entity(rng, KINDS[rng.integers(4)])[1]
+        noise = (d(8), d(16), d(7), d(10), f"20{d(2)}-0{1 + rng.integers(9)}-1{d(1)}", f"{d(3)}.{d(3)}.{d(4)}", f"@{d(2)}x", alone, alone, alone)
+        parts.append((noise[rng.integers(len(noise))], "none"))
     parts = [parts[i] for i in rng.permutation(len(parts))]
-    return "".join(f"{p} words between {'and more of the same kind here ' * int(rng.integers(1, 3))}" for p, _ in parts), parts
+    fill = ("words between", "and more of the same kind here", "then", "no. of the")
+    return "".join(f"{p} {' '.join(fill[i] for i in rng.integers(0, len(fill), rng.integers(1, 4)))} " for p, _ in parts), parts
 
 
 @lru_cache(maxsize=1)
@@ -266,26 +341,21 @@ def trained() -> SkipChain:
     """
     rng = np.random.default_rng(11)
     xs, ys, near = [], [], []
-    for _ in range(900):
+    for _ in range(1000):
         text, parts = _example(rng)
         base = base_spans(text)
         found = mentions(text, base)
         if not found:
             continue
-        wanted, at = [], 0
-        starts: list[tuple[int, str]] = []
+        at, places = 0, []
         for p, kind in parts:
             at = text.index(p, at)
-            starts.append((at, kind))
+            places.append((at, at + len(p), kind))
             at += len(p)
-        for a, b in found:
-            wanted.append(LABELS.index(next((k for s, k in reversed(starts) if s <= a), "none")))
-        y = np.array(wanted)
-        covered = [next((k for s, e, k in base if s <= a < e or a <= s < b), None) for a, b in found]
-        y = np.array([LABELS.index(c) if c else v for c, v in zip(covered, y, strict=True)])
-        chain, skip = edges(text, found)
-        around = np.zeros((len(found), 2, len(LABELS)))
-        for which, pairs in enumerate((chain, skip)):
+        covered = covers(found, base)
+        y = np.array([LABELS.index(c or next((k for s, e, k in places if s < b and e > a), "none")) for (a, b), c in zip(found, covered, strict=True)])
+        around = np.zeros((len(found), 3, len(LABELS)))
+        for which, pairs in enumerate(edges(text, found)):
             for i, j in pairs:
                 around[i, which, y[j]] += 1
                 around[j, which, y[i]] += 1
@@ -294,18 +364,30 @@ def trained() -> SkipChain:
         near.append(around)
     x, y, around = np.concatenate(xs), np.concatenate(ys), np.concatenate(near)
     k = len(LABELS)
-    unary, chain, skip = np.zeros((x.shape[1], k)), np.zeros((k, k)), np.zeros((k, k))
+    unary, pair = np.zeros((x.shape[1], k)), np.zeros((3, k, k))
     want = np.eye(k)[y]
-    for step in range(1500):
-        z = x @ unary + around[:, 0] @ chain + around[:, 1] @ skip
+    for step in range(1000):
+        z = x @ unary + sum(around[:, side] @ pair[side] for side in range(3))
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g, rate = (p - want) / len(x), 4.0 / (1 + step / 500)
         unary -= rate * (x.T @ g + 1e-4 * unary)
-        for table, side in ((chain, 0), (skip, 1)):
-            half = around[:, side].T @ g + 1e-4 * table
-            table -= rate * (half + half.T) / 2
-    return SkipChain(unary, chain, skip)
+        for side in range(3):
+            half = around[:, side].T @ g + 1e-4 * pair[side]
+            pair[side] -= rate * (half + half.T) / 2
+    return SkipChain(unary, *pair)
+
+
+def covers(found: list[tuple[int, int]], base: list[Span]) -> list[str | None]:
+    """For each mention the kind of the first base span that it overlaps; both lists ascend."""
+    ends = np.maximum.accumulate(np.array([e for _, e, _ in base], int)) if base else np.empty(0, int)
+    out = []
+    for a, b in found:
+        k = int(np.searchsorted(ends, a, side="right"))
+        while k < len(base) and base[k][0] < b and base[k][1] <= a:
+            k += 1
+        out.append(base[k][2] if k < len(base) and base[k][0] < b else None)
+    return out
 
 
 def added_spans(text: str, base: list[Span], model: SkipChain, sure: float = 0.9) -> list[Span]:
@@ -313,26 +395,15 @@ def added_spans(text: str, base: list[Span], model: SkipChain, sure: float = 0.9
     found = mentions(text, base)
     if not found:
         return []
-    covered, i = [], 0
-    for a, b in found:
-        while i < len(base) and max(s[1] for s in base[i : i + 1]) <= a:
-            i += 1
-        covered.append(next((k for s, e, k in base[i : i + 8] if s < b and e > a), None))
-    chain, skip = edges(text, found)
+    covered = covers(found, base)
     x = np.array([node_features(text[a:b], c) for (a, b), c in zip(found, covered, strict=True)])
-    p = model.marginals(x, chain, skip)
+    p = model.marginals(x, *edges(text, found))
     out = []
     for (a, b), c, row in zip(found, covered, p, strict=True):
         best = int(row.argmax())
         if c is None and best and row[best] >= sure:
             out.append((a, b, LABELS[best]))
-    return [s for s in out if not any(s[0] < e and b < s[1] for b, e, _ in base)] if len(out) * len(base) < 1_000_000 else _apart(out, base)
-
-
-def _apart(spans: list[Span], base: list[Span]) -> list[Span]:
-    starts = np.array([s for s, _, _ in base])
-    ends = np.maximum.accumulate(np.array([e for _, e, _ in base]))
-    return [s for s in spans if not (k := int(np.searchsorted(starts, s[1]))) or ends[k - 1] <= s[0]]
+    return out
 
 
 def joined(spans: list[Span]) -> str:
