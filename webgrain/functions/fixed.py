@@ -72,6 +72,13 @@ PRIVATE_V4 = (
     "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4", "255.255.255.255/32",
 )
 PUBLIC_IN_PRIVATE_V4 = ("192.0.0.9/32", "192.0.0.10/32")
+# The same for IPv6, private and reserved networks (IANA special registries).
+PRIVATE_V6 = (
+    "::1/128", "::/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10",
+    "::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5",
+    "f800::/6", "fe00::/9",
+)
+PUBLIC_IN_PRIVATE_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
 # Host name endings that are never public.
 INTERNAL_HOSTS = (".local", ".internal", ".localhost")
 

@@ -29,7 +29,7 @@ def trimmed(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"""^["']+|["']+$""", ""), r"^[<>]+|[<>]+$", ""))
 
 
-def _joined(raw: Column, base: Column) -> Column:
+def joined_url(raw: Column, base: Column) -> Column:
     """A relative reference resolved against a base; the rare dot segments go through Python's resolver."""
 
     @F.pandas_udf("string")
@@ -38,7 +38,7 @@ def _joined(raw: Column, base: Column) -> Column:
 
         def one(x, y):
             try:
-                return urljoin(y, x)
+                return urljoin(y, x) if x is not None else None
             except ValueError:
                 return None
 
@@ -57,7 +57,7 @@ def normalize_url(raw: Column, base: Column | None = None) -> Column:
     s = trimmed(raw)
     has_scheme = s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
     if base is not None:
-        s = F.when(~has_scheme & ~s.startswith("//") & (s != ""), _joined(s, base)).otherwise(s)
+        s = F.when(~has_scheme & ~s.startswith("//") & (s != ""), joined_url(s, base)).otherwise(s)
     return let(F.when(s.startswith("//"), F.concat(F.lit("https:"), s)).otherwise(s), _judged)
 
 
@@ -178,6 +178,8 @@ def private_ip(ip: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def six(values: pd.Series) -> pd.Series:
+        private, public = (tuple(map(ipaddress.ip_network, nets)) for nets in (fixed.PRIVATE_V6, fixed.PUBLIC_IN_PRIVATE_V6))
+
         def one(v):
             try:
                 a = ipaddress.IPv6Address(v)
@@ -186,7 +188,7 @@ def private_ip(ip: Column) -> Column:
             if a.ipv4_mapped:
                 m = a.ipv4_mapped
                 return any(m in ipaddress.ip_network(n) for n in fixed.PRIVATE_V4) and not any(m in ipaddress.ip_network(n) for n in fixed.PUBLIC_IN_PRIVATE_V4)
-            return a.is_private or a.is_reserved or a.is_loopback or a.is_unspecified
+            return any(a in n for n in private) and not any(a in n for n in public)
 
         return values.map(one).astype(object)
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webgrain.functions.urls import classify_link, domain_of, part
+from webgrain.functions.urls import classify_link, domain_of, joined_url, part
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
@@ -247,7 +247,7 @@ def links(df: DataFrame, key: str, url: str, html: str, most: int = 500) -> Data
     """``key, pos, href, label``: links of each page, made absolute, each once, at most ``most``; all in the JVM.
 
     Fragments, scripts, mail and phone links are left out. Relative paths are joined
-    with the page's folder; dot segments stay.
+    with the page's folder; the rare ones with dot segments go through Python's resolver.
     """
     tag = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?[^\"'\s>]+[^>]*>.*?</a>"
     found = df.select(key, F.col(url).alias("_url"), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(tag), F.lit(0))).alias("p", "a"))
@@ -258,6 +258,8 @@ def links(df: DataFrame, key: str, url: str, html: str, most: int = 500) -> Data
     folder = F.regexp_extract(F.regexp_replace("_url", "[?#].*$", ""), r"^([A-Za-z]+://[^/]*(?:/.*)?/)", 1)
     folder = F.when(F.length(folder) > F.length(part(F.col("_url"), 1)) + 3, folder).otherwise(F.concat(origin, F.lit("/")))
     full = F.when(F.col("h").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("h")).when(F.col("h").startswith("//"), F.concat(part(F.col("_url"), 1), F.lit(":"), F.col("h"))).when(F.col("h").startswith("/"), F.concat(origin, F.col("h"))).otherwise(F.concat(folder, F.col("h")))
+    dotted = ~F.col("h").rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & F.col("h").rlike(r"(^|/)\.\.?(/|[?#]|$)")
+    full = F.when(dotted, joined_url(F.when(dotted, F.col("h")), F.col("_url"))).otherwise(full)
     each = rows.select(key, "p", full.alias("href"), "label").where(F.lower("href").rlike("^https?://"))
     first = each.groupBy(key, "href").agg(F.min_by("label", "p").alias("label"), F.min("p").alias("p"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("p")) - 1

@@ -127,7 +127,16 @@ def feed_links(spark, sf_dir):
 @register("sitemap_urls", typed(rows_sql("root, pos, url", ("s", 0, "http://h/1"), ("s", 1, "http://h/2"), ("s", 2, "http://h/3")), pos="INTEGER"))
 def sitemap_urls(spark, sf_dir):
     maps = made(spark, "url string, body string", ("s", "<sitemapindex><sitemap><loc> a </loc></sitemap><sitemap><loc>b</loc></sitemap></sitemapindex>"), ("a", "<urlset><url><loc>http://h/1</loc></url><url><loc>http://h/2</loc></url></urlset>"), ("b", "<urlset><url><loc>http://h/2</loc></url><url><loc>http://h/3</loc></url></urlset>"))
-    return web.sitemap_urls(maps, made(spark, "url string", ("s",)))
+    return web.sitemap_urls(maps, made(spark, "url string", ("s",))).drop("truncated")
+
+
+@register("sitemaps_in_depth", typed(rows_sql("root, pos, url, truncated", ("http://h/s.xml", 0, "http://h/late", False), ("http://h/s.xml", 1, "http://h/deep.xml", False), ("http://h/s.xml", 2, "http://h/p1", False), ("http://m/s.xml", 0, "http://m/1", True), ("http://m/s.xml", 1, "http://m/2", True)), pos="INTEGER"))
+def sitemaps_in_depth(spark, sf_dir):
+    """Three hops of index files, the last one's entries being pages, in the order read; relative addresses, a loop, and a cut list."""
+    index = lambda *locs: "<?xml version='1.0'?>\n<sitemapindex xmlns='x'>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in locs) + "</sitemapindex>"
+    urls_ = lambda *locs: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in locs) + "</urlset>"
+    maps = [("http://h/s.xml", index("a.xml", "http://h/b.xml", "/s.xml")), ("http://h/a.xml", index("a2.xml")), ("http://h/b.xml", urls_("late")), ("http://h/a2.xml", index("a3.xml", "u.xml")), ("http://h/u.xml", urls_("p1", "late")), ("http://h/a3.xml", index("deep.xml")), ("http://m/s.xml", urls_(*(f"{i}" for i in (1, 1, 2, 3))))]
+    return web.sitemap_urls(made(spark, "url string, body string", *maps), made(spark, "url string", ("http://h/s.xml",), ("http://m/s.xml",)), each=3)
 
 
 TABLE = "<table><caption>Cap</caption><tr><th>A</th><th colspan=2>B</th></tr><tr><td rowspan=2>1</td><td>2</td><td>3</td></tr><tr><td>4</td></tr></table><table></table><table><tr><td>x<table><tr><td>in</td></tr></table></td></tr></table>"
@@ -331,3 +340,9 @@ def selected_sections(spark, sf_dir):
 def download_kinds(spark, sf_dir):
     df = made(spark, "head string, size long, ctype string", ("%PDF-1.7", 5000, None), ("%PDF-1.7", 10, None), ("<html>Attention required", 5000, "text/html"), ("<html>x", 5000, None), ("zip", 5000, None))
     return df.select(text.download_kind(F.encode("head", "UTF-8"), F.col("size"), F.col("ctype")).alias("kind"))
+
+
+@register("dotted_links", typed(rows_sql("pos, href", (0, "http://h/b"), (1, "http://h/a/d/e"), (2, "http://h/c?x=../y"), (3, "http://h/a/x..y")), pos="INTEGER"))
+def dotted_links(spark, sf_dir):
+    page = "<a href='../b'>1</a><a href='./d/e'>2</a><a href='/q/../c?x=../y'>3</a><a href='x..y'>4</a>"
+    return html.links(made(spark, "page_id long, url string, html string", (1, "http://h/a/p", page)), "page_id", "url", "html").select("pos", "href")

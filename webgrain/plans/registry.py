@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     # Each module registers its queries when it is first imported.
-    from webgrain.plans import answers, documents, logs, made, pages  # noqa: F401
+    from webgrain.plans import answers, documents, logs, made, pages, reading  # noqa: F401
 
     return dict(_QUERIES)
 

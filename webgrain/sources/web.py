@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webgrain.functions.urls import path_of, robots_pattern
+from webgrain.functions.urls import joined_url, path_of, robots_pattern
+from webgrain.session import saved
 
 
 def robots_rules(files: DataFrame, agent: str, host: str = "host", body: str = "body") -> DataFrame:
@@ -58,26 +62,46 @@ def feed_items(feeds: DataFrame, key: str = "url", body: str = "body", most: int
 
 
 def sitemap_urls(pages: DataFrame, roots: DataFrame, url: str = "url", body: str = "body", hops: int = 3, fetches: int = 10, each: int = 500, total: int = 1000) -> DataFrame:
-    """``root, pos, url`` of the pages that sitemaps list, through index files up to ``hops`` deep.
-
-    ``pages`` holds the sitemaps by address. At most ``fetches`` sitemaps a root, ``each``
-    addresses of one and ``total`` of a root; every address once, in the order found.
-    All roots go level by level together, so the number of jobs is that of the levels.
+    """``root, pos, url, truncated`` of the pages that sitemaps list, through index files up to ``hops`` behind the root.
+
+    ``pages`` holds the sitemaps by address. Sitemaps are read in the order found, level
+    by level, each once, at most ``fetches`` a root whether or not they are there;
+    ``each`` addresses of one and ``total`` of a root count, relative ones joined with
+    the sitemap's. What an index at the last hop lists are pages. ``truncated`` tells that
+    one of the last two bounds cut something. All roots go level by level together, so
+    the number of jobs is that of the levels.
     """
-    locs = F.transform(F.regexp_extract_all(_bare(F.coalesce(F.col(body), F.lit(""))), F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
-    parsed = pages.select(F.col(url).alias("_at"), F.coalesce(F.col(body), F.lit("")).contains("<sitemapindex").alias("_index"), F.slice(locs, 1, each).alias("_locs"))
+    text = _bare(F.coalesce(F.col(body), F.lit("")))
+    kind = F.regexp_extract(text, r"(?s)^\s*(?:<!--.*?-->\s*)*<(urlset|sitemapindex)\b", 1)
+    locs = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&"))), lambda x: x != "")
+    parsed = pages.select(F.col(url).alias("_at"), (kind == "sitemapindex").alias("_index"), locs.alias("_locs")).where(kind != "")
     level = roots.select(F.col(url).alias("root"), F.col(url).alias("_at"), F.array(F.lit(0)).alias("_path"))
-    found = None
-    for _ in range(hops):
-        read = level.join(parsed, "_at").select("root", "_index", "_path", F.posexplode("_locs").alias("_p", "loc"))
-        step = read.select("root", "_index", "loc", F.concat("_path", F.array("_p")).alias("_path"))
-        leaves = step.where("not _index").select("root", "loc", "_path")
-        found = leaves if found is None else found.union(leaves)
+    read = found = cuts = None
+    for hop in range(hops + 1):
         n = F.row_number().over(Window.partitionBy("root").orderBy("_path"))
-        level = step.where("_index").withColumn("_n", n).where(F.col("_n") < fetches).select("root", F.col("loc").alias("_at"), "_path")
-    first = found.groupBy("root", "loc").agg(F.min("_path").alias("_path"))
-    place = F.row_number().over(Window.partitionBy("root").orderBy("_path")) - 1
-    return first.select("root", place.alias("pos"), F.col("loc").alias("url")).where(F.col("pos") < total)
+        if read is None:
+            now = level.withColumn("_n", n)
+        else:
+            used = read.groupBy("root").agg(F.count("*").alias("_used"))
+            fresh = level.join(read.select("root", "_at"), ["root", "_at"], "left_anti")
+            now = fresh.withColumn("_n", n).join(used, "root").where(F.col("_n") + F.col("_used") <= fetches).drop("_used")
+        now = saved(now.where(F.col("_n") <= fetches).select("root", "_at", "_path"))
+        read = now if read is None else read.unionAll(now)
+        opened = now.join(parsed, "_at")
+        over = opened.where(F.size("_locs") > each).select("root")
+        cuts = over if cuts is None else cuts.unionAll(over)
+        step = opened.select("root", "_index", "_at", "_path", F.posexplode(F.slice("_locs", 1, each)).alias("_p", "loc"))
+        absolute = F.when(F.col("loc").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("loc")).otherwise(joined_url(F.col("loc"), F.col("_at")))
+        step = step.select("root", "_index", absolute.alias("loc"), F.concat("_path", F.array("_p")).alias("_path"))
+        leaf = ~F.col("_index") if hop < hops else F.lit(True)
+        leaves = step.where(leaf).select("root", "loc", F.lit(hop).alias("_hop"), "_path")
+        found = leaves if found is None else found.union(leaves)
+        level = step.where(F.col("_index")).groupBy("root", "loc").agg(F.min("_path").alias("_path")).select("root", F.col("loc").alias("_at"), "_path")
+    first = found.groupBy("root", "loc").agg(F.min(F.struct("_hop", "_path")).alias("_place"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("_place")) - 1
+    placed = first.select("root", place.alias("pos"), F.col("loc").alias("url"))
+    cut = placed.where(F.col("pos") >= total).select("root").unionAll(cuts).distinct().withColumn("truncated", F.lit(True))
+    return placed.where(F.col("pos") < total).join(cut, "root", "left").select("root", "pos", "url", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
 def plain_text(files: DataFrame, content: str = "content") -> Column:
@@ -87,5 +111,15 @@ def plain_text(files: DataFrame, content: str = "content") -> Column:
 
 def pretty_json(text: Column) -> Column:
     """JSON written anew on several lines, or the text itself where it isn't JSON."""
-    v = F.try_parse_json(text)
-    return F.coalesce(F.to_json(v, {"pretty": "true"}), text)
+
+    @F.pandas_udf("string")
+    def written(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return json.dumps(json.loads(t), indent=2, ensure_ascii=False)
+            except (TypeError, ValueError):
+                return t
+
+        return texts.map(one)
+
+    return written(text)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from webgrain.session import shared
+
 
 def politeness(stream: DataFrame, gap: int) -> DataFrame:
     """``event_id, user_id, start`` of requests ``event_id, user_id, arrival``: the state of a key is its last start.
@@ -53,12 +55,7 @@ def daily_counts(stream: DataFrame, late: str = "2 days") -> DataFrame:
 def run_once(query: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there, in the shared folder, and return what it wrote."""
     spark = query.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="webgrain-")
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         query.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(query.schema).parquet(f"{path}/out")
