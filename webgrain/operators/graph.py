@@ -23,6 +23,29 @@ def link_score(label: Column, query: Column, topic: Column) -> Column:
     return QUERY_WEIGHT * asked + CONTEXT_WEIGHT * near
 
 
+def expanded(base: Column, clusters: list[list[str]]) -> Column:
+    """The terms of a query (an array) and words of the clusters that hold one of them, in the order of sorted terms and clusters, at most doubling the query."""
+    groups = F.array(*(F.array(*map(F.lit, c)) for c in clusters))
+    found = F.flatten(F.transform(F.array_sort(F.array_distinct(base)), lambda t: F.flatten(F.filter(groups, lambda c: F.array_contains(c, t)))))
+    return F.concat(base, F.slice(F.array_except(found, base), F.lit(1), F.size(base)))
+
+
+def weighted_link_score(url: Column, label: Column, query: Column, base: Column, topic: Column, idf: Column, read: Column) -> Column:
+    """A link's score with weights: ``idf`` maps words to their weight after ``read`` pages (1 for all before the third).
+
+    ``label`` are the words of anchor, path and anchor context; words of ``query`` that
+    are not in ``base`` weigh half. From the third page on, paths of documentation count
+    more and those of shops less.
+    """
+    flat = F.log(1 + (read + 0.5) / 0.5)
+    weight = lambda w: F.when(read < FLAT_UNTIL, F.lit(1.0)).otherwise(F.coalesce(F.element_at(idf, w), flat))
+    asked = lambda w: weight(w) * F.when(F.array_contains(base, w), 1.0).otherwise(0.5)
+    total = lambda ws, of: F.aggregate(ws, F.lit(0.0), lambda a, w: a + of(w))
+    share = lambda part, whole, of: F.coalesce(total(part, of) / F.nullif(total(whole, of), F.lit(0.0)), F.lit(0.0))
+    score = QUERY_WEIGHT * share(F.array_intersect(label, query), F.array_distinct(query), asked) + CONTEXT_WEIGHT * share(F.array_intersect(label, topic), F.array_distinct(label), weight)
+    return score * F.when(read >= FLAT_UNTIL, urls.path_prior(url)).otherwise(1.0)
+
+
 def words(text: str | None) -> list[str]:
     return [t for t in re.findall(r"[a-z0-9]+", (text or "").lower()) if t not in _STOP]
 

@@ -35,6 +35,26 @@ def merged(chunks: DataFrame, key: str, threshold: float = 0.7) -> DataFrame:
     return out.withColumn("risk", F.when(F.col("score") >= 0.9, "high").when(F.col("score") >= threshold, "medium").otherwise("low"))
 
 
+def merged_reports(reports: DataFrame, key: str, order: str) -> DataFrame:
+    """One report for each key of those of its scopes: ``scopes, max_score, risk, flagged, chunks_scanned, elapsed_ms, action``.
+
+    ``reports`` has ``scope, max_score, risk, flagged`` (structs that begin with their
+    offset), ``chunks_scanned, elapsed_ms, action``. The risk is that of the highest
+    score, the first of equals; without a score above zero it is ``None``. Scopes and the action go by the first report.
+    """
+    first = F.struct(F.col("max_score"), (-F.col(order)).alias("o"))
+    out = reports.groupBy(key).agg(
+        F.sort_array(F.collect_set(F.struct(F.col(order), "scope"))).alias("s"),
+        F.round(F.greatest(F.max("max_score"), F.lit(0.0)), 4).alias("max_score"),
+        F.when(F.max("max_score") > 0, F.max_by("risk", first)).otherwise("None").alias("risk"),
+        F.sort_array(F.flatten(F.collect_list("flagged"))).alias("flagged"),
+        F.sum("chunks_scanned").alias("chunks_scanned"),
+        F.round(F.sum("elapsed_ms"), 1).alias("elapsed_ms"),
+        F.min_by("action", order).alias("action"),
+    )
+    return out.withColumn("scopes", F.array_distinct(F.transform("s", lambda x: x["scope"]))).drop("s")
+
+
 def scan(df: DataFrame, key: str, text: str, detector: Callable[[Column], Column], threshold: float = 0.7, **sizes: int) -> DataFrame:
     return merged(scored_chunks(df, key, text, detector, **sizes), key, threshold)
 

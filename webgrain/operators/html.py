@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -315,3 +316,62 @@ def feed_links(df: DataFrame, key: str, html: str) -> DataFrame:
     kind = F.lower(attr("type"))
     fine = F.lower(attr("rel")).rlike(r"(^|\s)alternate(\s|$)") & kind.rlike(r"^application/(rss|atom|rdf)\+xml|^application/feed\+json|^text/xml") & (attr("hreflang") == "")
     return found.where(fine).select(key, "pos", attr("href").alias("href"), kind.alias("type"))
+
+
+def embeds(df: DataFrame, key: str, html: str) -> DataFrame:
+    """``key, manifest, oembed``: the address of a page's manifest, and its embedding services as ``href, format, title``; by expressions."""
+    rels = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?is)<link\s[^>]*>"), F.lit(0))
+    attr = lambda t, name: _unescaped(F.regexp_extract(t, rf"(?is)\s{name}\s*=\s*[\"']?([^\"'>]*)", 1))
+    kind = lambda t: F.regexp_extract(F.lower(attr(t, "type")), r"^(?:application|text)/(json|xml)\+oembed", 1)
+    services = F.transform(F.filter(rels, lambda t: (kind(t) != "") & (attr(t, "href") != "")), lambda t: F.struct(attr(t, "href").alias("href"), kind(t).alias("format"), F.nullif(attr(t, "title"), F.lit("")).alias("title")))
+    manifest = F.get(F.filter(rels, lambda t: F.lower(attr(t, "rel")) == "manifest"), F.lit(0))
+    return df.select(key, F.nullif(attr(manifest, "href"), F.lit("")).alias("manifest"), services.alias("oembed"))
+
+
+def _value(node: Node) -> str:
+    """What an element says as a property: its machine-readable attribute, or its text."""
+    for name in ("content", "href", "src", "datetime", "value"):
+        if node.attrs.get(name):
+            return node.attrs[name]
+    return " ".join(node.text().split())
+
+
+def _items(node: Node, kind: Callable[[Node], list[str]], named: Callable[[Node], list[str]], kinds: str) -> list[dict]:
+    """Items of a page, outermost first: ``kind`` names an item's types, ``named`` the properties that an element is of the item around it."""
+    out: list[dict] = []
+    stack: list[tuple[Node, dict | None]] = [(node, None)]
+    while stack:
+        at, item = stack.pop()
+        names, types = named(at), kind(at)
+        own = {kinds: types, "properties": {}} if types else None
+        for name in names if item is not None else ():
+            item["properties"].setdefault(name, []).append(own if own else _value(at))
+        if own and not (names and item is not None):
+            out.append(own)
+        stack += [(k, own or item) for k in reversed(at.kids) if isinstance(k, Node)]
+    return out
+
+
+def _microformats(node: Node, starts: tuple[str, ...]) -> list[str]:
+    return [c.partition("-")[2] if len(starts) > 1 else c for c in node.attrs.get("class", "").split() if c.startswith(starts)]
+
+
+def structured(df: DataFrame, key: str, html: str) -> DataFrame:
+    """``key, microdata, microformats, rdfa``: items with their types and properties as JSON; null where a page has none."""
+
+    @F.pandas_udf("struct<microdata:string,microformats:string,rdfa:string>")
+    def read(pages: pd.Series) -> pd.DataFrame:
+        out = []
+        for page in pages:
+            found: list = [[], [], []]
+            if page and re.search(r"(?i)itemscope|typeof|class\s*=\s*[\"']?[^\"'>]*\bh-", page):
+                root = Tree(page).root
+                found = [
+                    _items(root, lambda n: (n.attrs.get("itemtype") or "").split() or [""] * ("itemscope" in n.attrs), lambda n: n.attrs.get("itemprop", "").split(), "type"),
+                    _items(root, lambda n: _microformats(n, ("h-",)), lambda n: _microformats(n, ("p-", "u-", "dt-", "e-")), "type"),
+                    _items(root, lambda n: n.attrs.get("typeof", "").split(), lambda n: n.attrs.get("property", "").split(), "type"),
+                ]
+            out.append([json.dumps(f, ensure_ascii=False, separators=(",", ":")) if f else None for f in found])
+        return pd.DataFrame(out, columns=["microdata", "microformats", "rdfa"])
+
+    return df.select(key, read(html).alias("r")).select(key, "r.*")

@@ -163,18 +163,23 @@ def json_fit_limit(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", schedule.fitting_limit(F.col("text"), 4000, 900).alias("char_limit"))
 
 
-@register("guard_scan", f"""
+def _detector(chunk):
+    return F.least(F.lit(1.0), ranking.term_hits(chunk, list(SUSPECTS)) / F.lit(20.0))
+
+
+GUARD_SQL = f"""
 WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
 w AS (SELECT doc_id, text, unnest(range(0, CASE WHEN n <= 900 THEN 1 ELSE CAST(ceil((n - 900) / 780.0) AS BIGINT) + 1 END)) * 780 AS s FROM d),
 c AS (SELECT doc_id, s, len(list_filter(regexp_extract_all(lower(substr(text, s + 1, 900)), '[a-z0-9]+'), lambda t: t IN ({_quoted(SUSPECTS)}))) AS hits FROM w),
 f AS (SELECT doc_id, s, least(1.0::DOUBLE, hits / 20.0::DOUBLE) AS score FROM c)
-SELECT doc_id, count(*) AS chunks, count(*) FILTER (score >= 0.7) AS flags, max(score) AS score FROM f GROUP BY doc_id
-""")
+"""
+
+
+@register("guard_scan", GUARD_SQL + "SELECT doc_id, count(*) AS chunks, count(*) FILTER (score >= 0.7) AS flags, max(score) AS score FROM f GROUP BY doc_id")
 def guard_scan(spark, sf_dir):
     from webgrain.operators.guard import scan
 
-    detector = lambda chunk: F.least(F.lit(1.0), ranking.term_hits(chunk, list(SUSPECTS)) / F.lit(20.0))
-    return scan(table(spark, sf_dir, "documents"), "doc_id", "text", detector).select("doc_id", "chunks", "flags", "score")
+    return scan(table(spark, sf_dir, "documents"), "doc_id", "text", _detector).select("doc_id", "chunks", "flags", "score")
 
 
 @register("wrap_untrusted", f"SELECT doc_id, md5('<untrusted-web-content source=\"' || source || '\">' || chr(10) || '{fixed.UNTRUSTED_DIRECTIVE}' || chr(10) || text || chr(10) || '</untrusted-web-content>') AS wrapped_md5 FROM documents")
@@ -207,3 +212,33 @@ SELECT doc_id, 0 AS idx, '(intro)' AS anchor, md5(text) AS text_md5, 0 AS "offse
 """)
 def split_sections(spark, sf_dir):
     return ranking.split_sections(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "idx", "anchor", F.md5("text").alias("text_md5"), "offset")
+
+
+@register("guard_scan_once", GUARD_SQL + "SELECT doc_id, count(*) AS chunks, count(*) FILTER (score >= 0.7) AS flags, max(score) AS score FROM f GROUP BY doc_id")
+def guard_scan_once(spark, sf_dir):
+    """As ``guard_scan``, with each distinct chunk scored once."""
+    from webgrain.operators.guard import merged, scored_once
+
+    return merged(scored_once(table(spark, sf_dir, "documents"), "doc_id", "text", _detector), "doc_id").select("doc_id", "chunks", "flags", "score")
+
+
+@register("guarded_texts", GUARD_SQL + """, r AS (SELECT doc_id, count(*) FILTER (score >= 0.7) > 0 AS hit, max(score) AS guard_score FROM f GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN r.hit THEN NULL ELSE md5(d.text) END AS text_md5, r.guard_score FROM documents d LEFT JOIN r USING (doc_id)""")
+def guarded_texts(spark, sf_dir):
+    from webgrain.operators.guard import guarded, scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = guarded(docs, scan(docs, "doc_id", "text", _detector), "doc_id", "text", mode="block")
+    return out.select("doc_id", F.md5("text").alias("text_md5"), "guard_score")
+
+
+@register("redacted_texts", GUARD_SQL + """, m AS (SELECT doc_id, min(s) AS s, min_by(score, s) AS score FROM f WHERE score >= 0.7 GROUP BY doc_id HAVING count(*) = 1)
+SELECT doc_id, md5(concat(substr(text, 1, s), '""" + fixed.REDACTION + """', printf('%.2f', score), ']', substr(text, s + 901))) AS text_md5 FROM m JOIN documents USING (doc_id)""")
+def redacted_texts(spark, sf_dir):
+    """Texts with one flagged chunk, the chunk replaced by a mark."""
+    from webgrain.operators.guard import guarded, scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    report = scan(docs, "doc_id", "text", _detector)
+    out = guarded(docs.join(report.where("flags = 1").select("doc_id"), "doc_id", "left_semi"), report, "doc_id", "text")
+    return out.select("doc_id", F.md5("text").alias("text_md5"))

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from webgrain.operators import html, reading
+from webgrain.functions.text import looks_like_text
+from webgrain.operators import graph, guard, html, ranking, reading
 from webgrain.plans.made import made, rows_sql, typed
 from webgrain.plans.registry import register, table
 from webgrain.session import shared
@@ -157,3 +158,82 @@ def inspected_made_page(spark, sf_dir):
     rows = ((1, "http://h/d/", "<html><head><title>T</title></head><body><h1>Other</h1><p>nothing</p><h1>Joins</h1><p>spark joins <a href='a'>a</a></p></body></html>"), (2, "http://h/d", "<html><head><title>U</title></head><body><p>x <a href='b.pdf'>b</a></body></html>"))
     out = reading.inspected(made(spark, "page_id long, url string, html string", *rows), "spark joins")
     return out.select("title", "markdown", "selected", "next_offset", "has_more", F.array_join(F.transform("follow_ups", lambda f: F.concat_ws(":", f["url"], f["type"])), ",").alias("follows"))
+
+
+META = """<html><head><link rel="manifest" href="/m.json"><link rel="alternate" type="application/json+oembed" href="http://o/?a=1&amp;b=2" title="T"><link type="text/xml+oembed" href="http://o/x"></head>
+<body><div itemscope itemtype="http://schema.org/Person"><span itemprop="name">Ann</span><div itemprop="address" itemscope><b itemprop="city">Rome</b></div></div>
+<div class="h-card x"><a class="p-name u-url" href="http://ann/">Ann</a><time class="dt-bday" datetime="2000-01-02">then</time></div>
+<p typeof="Product"><i property="price" content="5">five</i></p></body></html>"""
+
+
+@register("structured_metadata", typed(rows_sql("page_id, microdata, microformats, rdfa, manifest, oembed", (1, '[{"type":["http://schema.org/Person"],"properties":{"name":["Ann"],"address":[{"type":[""],"properties":{"city":["Rome"]}}]}}]', '[{"type":["h-card"],"properties":{"name":["http://ann/"],"url":["http://ann/"],"bday":["2000-01-02"]}}]', '[{"type":["Product"],"properties":{"price":["5"]}}]', "/m.json", "http://o/?a=1&b=2 json T,http://o/x xml"), (2, None, None, None, None, "")), page_id="BIGINT"))
+def structured_metadata(spark, sf_dir):
+    pages = made(spark, "page_id long, html string", (1, META), (2, None))
+    out = html.structured(pages, "page_id", "html").join(html.embeds(pages, "page_id", "html"), "page_id")
+    return out.withColumn("oembed", F.array_join(F.transform("oembed", lambda o: F.concat_ws(" ", o["href"], o["format"], o["title"])), ","))
+
+
+@register("page_metadata_row", typed(rows_sql("title, description, lang, charset, canonical, og, dc, rels, jsonld", ("A & B", "d", "en", "utf-8", "http://c/", "title=O;type=t", "creator=X", "canonical,icon", 1), (None, None, None, None, "http://v", "", "", "", 0)), jsonld="INTEGER"))
+def page_metadata_row(spark, sf_dir):
+    page = """<html lang="en"><head><meta charset="utf-8"><title>A &amp; B</title><meta name="description" content="d"><link rel="canonical" href="http://c/"><link rel="icon" href="i"><link rel="icon" href="j">
+<meta property="og:title" content="O"><meta property="og:type" content="t"><meta property="og:title" content="second"><meta name="DC.creator" content="X"><script type="application/ld+json">{"@type":"Article"}</script><script type="application/ld+json">{bad</script></head></html>"""
+    m = html.metadata(made(spark, "page_id long, url string, html string", (1, "http://u", page), (2, "http://v", None)), "page_id", "url", "html")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return m.select("title", "description", "lang", "charset", "canonical", joined("opengraph").alias("og"), joined("dublin_core").alias("dc"), F.array_join(F.array_sort(F.map_keys("rel_links")), ",").alias("rels"), F.size("jsonld").alias("jsonld"))
+
+
+@register("anchor_context_rows", rows_sql("anchor, context", ("Link", "spark,joins,link,words"), ("none", ""), ("", "")))
+def anchor_context_rows(spark, sf_dir):
+    rows = made(spark, "anchor string, text string", *((a, "far away " * 20 + "spark joins LINK words spark") for a in ("Link", "none", "")))
+    return rows.select("anchor", F.array_join(ranking.anchor_context(F.col("text"), F.col("anchor"), around=13), ",").alias("context"))
+
+
+@register("untrusted_rows", rows_sql("raw, clean", ("a\u200bb\x07c\td", "abc\td"), ("ﬁ①", "fi1"), (None, None)))
+def untrusted_rows(spark, sf_dir):
+    from webgrain.functions.text import untrusted
+
+    return made(spark, "raw string", ("a\u200bb\x07c\td",), ("ﬁ①",), (None,)).select("raw", untrusted(F.col("raw")).alias("clean"))
+
+
+@register("text_gate_rows", rows_sql("place, is_text", ("head", False), ("middle", False), ("tail", False), ("nowhere", True), ("between", True)))
+def text_gate_rows(spark, sf_dir):
+    """Control characters in the head, middle or tail window count; between the windows they don't."""
+    plain, bad = "word " * 4000, "\x01" * 300
+    put = lambda i: plain[:i] + bad + plain[i + 300 :]
+    rows = (("head", put(500)), ("middle", put(9900)), ("tail", put(19_000)), ("nowhere", plain), ("between", put(5000)))
+    return made(spark, "place string, text string", *rows).select("place", looks_like_text(F.col("text")).alias("is_text"))
+
+
+@register("merged_guard_reports", typed(rows_sql("page, scopes, max_score, risk, flagged, chunks_scanned, elapsed_ms, action", (1, "body,title", 0.9123, "high", "3,8,20", 6, 1.7, "redact"), (2, "body", 0.0, "None", "", 1, 0.1, "annotate")), chunks_scanned="BIGINT", max_score="DOUBLE", elapsed_ms="DOUBLE", page="BIGINT"))
+def merged_guard_reports(spark, sf_dir):
+    rows = ((1, 0, "body", 0.91234, "high", [(20, 0.9), (3, 0.8)], 4, 1.25, "redact"), (1, 1, "title", 0.91234, "medium", [(8, 0.9)], 1, 0.25, "annotate"), (1, 2, "body", 0.5, "low", [], 1, 0.2, "annotate"), (2, 0, "body", 0.0, "low", [], 1, 0.1, "annotate"))
+    reports = made(spark, "page long, n int, scope string, max_score double, risk string, flagged array<struct<offset:int,score:double>>, chunks_scanned long, elapsed_ms double, action string", *rows)
+    out = guard.merged_reports(reports, "page", "n")
+    return out.withColumn("scopes", F.array_join("scopes", ",")).withColumn("flagged", F.array_join(F.col("flagged.offset"), ","))
+
+
+CLUSTERS = [["deep", "learning", "neural"], ["join", "merge", "learning"]]
+
+
+@register("expanded_queries", rows_sql("base, query", ("learning", "learning,deep"), ("join,learning", "join,learning,merge,deep"), ("x", "x"), ("", "")))
+def expanded_queries(spark, sf_dir):
+    rows = made(spark, "base string", ("learning",), ("join,learning",), ("x",), ("",))
+    words = F.filter(F.split("base", ","), lambda w: w != "")
+    return rows.select("base", F.array_join(graph.expanded(words, CLUSTERS), ",").alias("query"))
+
+
+@register("link_scores", "SELECT * FROM (VALUES (1, 1, round(0.7 * 1.0 / 1.5 + 0.3 * 1 / 3, 9)), (2, 4, round((0.7 * 2.0 / 2.5 + 0.3 * 0.5 / (2.0 + 0.5 + ln(1 + 4.5 / 0.5))) * 1.15, 9)), (3, 1, 0.0)) AS t(id, read, score)")
+def link_scores(spark, sf_dir):
+    idf = {"spark": 2.0, "docs": 0.5, "join": 1.0}
+    rows = ((1, 1, "http://h/x", ["spark", "docs", "new"], ["spark", "join"], ["spark"], ["docs"], idf), (2, 4, "http://h/docs/x", ["spark", "docs", "new"], ["spark", "join"], ["spark"], ["docs"], idf), (3, 1, "http://h/x", [], [], [], [], idf))
+    df = made(spark, "id int, read int, url string, label array<string>, query array<string>, base array<string>, topic array<string>, idf map<string,double>", *rows)
+    score = graph.weighted_link_score(F.col("url"), F.col("label"), F.col("query"), F.col("base"), F.col("topic"), F.col("idf"), F.col("read"))
+    return df.select("id", "read", F.round(score, 9).alias("score"))
+
+
+@register("requests_by_key", "SELECT event_type, string_agg(concat(user_id, ':', n), ',' ORDER BY n DESC, user_id) AS counts FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
+def requests_by_key(spark, sf_dir):
+    """Requests of each kind by user, most first: one row a user before users meet."""
+    counts = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    ranked = counts.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "user_id"))).alias("c"))
+    return ranked.select("event_type", F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["user_id"].cast("string"), (-x["m"]).cast("string"))), ",").alias("counts"))
