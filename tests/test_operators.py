@@ -1,12 +1,15 @@
 """Operators outside the training-data subpackage, held against plain versions."""
 
 import os
+import random
+import time
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from webgrain.operators import html, ranking
+from webgrain.operators import html, ranking, records, schedule
 
 
 def test_markdown_keeps_whole_tables(spark):
@@ -38,3 +41,51 @@ def test_running_document_frequency_windows_are_by_block(spark):
     plan = ranking.running_document_frequency(rows)._jdf.queryExecution().optimizedPlan().toString()
     ranked = plan.split("row_number() windowspecdefinition(", 1)[1].split("ASC", 1)[0]
     assert "_t#" in ranked and "_b#" in ranked
+
+
+def test_greedy_dedupe_is_the_sequential_rule(spark):
+    """Chains of shared keys, rows without keys, and groups, against the plain rule."""
+    rng = random.Random(6)
+    key = lambda k: f"{k}{rng.randrange(25)}" if rng.random() < 0.6 else None
+    rows = [(i, key("10.1/d"), (lambda u: u and f"http://h/{u}")(key("u")), key("t"), None) for i in range(150)]
+    frame = spark.createDataFrame(rows, "ord int, doi string, url string, title string, snippet string").selectExpr("*", "null AS summary", "null AS description")
+    got = {r["ord"]: r["kept"] for r in records.greedy_dedupe(frame).collect()}
+    seen, want = set(), {}
+    for i, doi, url, title, _ in rows:
+        keys = {("doi", doi), ("url", url), ("title", title)}
+        keys = {k for k in keys if k[1] is not None}
+        want[i] = not keys & seen
+        if want[i]:
+            seen |= keys
+    assert got == want
+
+
+def test_evict_by_hours(spark):
+    rows = [(f"k{i}", i * 700, (i * 37) % 90 + 1) for i in range(300)]
+    frame = spark.createDataFrame(rows, "key string, s long, bytes long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    for cap in (0, 50, 3000, 10**6):
+        got = {r["key"] for r in schedule.evict(frame, F.timestamp_seconds(F.lit(300 * 700)), 150_000, cap).collect()}
+        want, total = set(), 0
+        for k, s, b in reversed(rows):
+            if 300 * 700 - s <= 150_000:
+                total += b
+                want |= {k} if total <= cap else set()
+        assert got == want
+
+
+def test_a_long_text_is_counted_in_a_batch(spark):
+    """Linear work: 40,000 words, most of them distinct."""
+    text = " ".join(f"w{i % 30000}" for i in range(40_000))
+    frame = spark.createDataFrame([(1, text), (2, None), (3, "spark Spark")], "k long, t string")
+    start = time.time()
+    got = {(r["k"], r["term"]): r["tf"] for r in ranking.term_frequencies(frame, "k", "t").collect()}
+    assert time.time() - start < 20
+    want = Counter((1, w) for w in text.split()) + Counter({(3, "spark"): 2})
+    assert got == dict(want)
+
+
+def test_headings_are_found_by_line(spark):
+    md = "intro\n# A #\ntext\r\nTitle\n---\nmore\n- item\n---\n---\n===\n#no\n## B\u2028"
+    rows = ranking.split_sections(spark.createDataFrame([(1, md), (2, "no heading"), (3, " ")], "k long, md string"), "k", "md").orderBy("k", "idx").collect()
+    assert [(r["k"], r["anchor"], r["offset"]) for r in rows] == [(1, "(intro)", 0), (1, "A", 6), (1, "Title", 18), (1, "B", md.index("## B")), (2, "(intro)", 0)]
+    assert "".join(r["text"] for r in rows if r["k"] == 1) == md

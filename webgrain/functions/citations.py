@@ -26,7 +26,7 @@ def author_list(authors: Column, is_text: bool) -> Column:
     if is_text:
         semi = authors.contains(";")
         authors = F.when(semi, F.split(authors, ";")).otherwise(F.split(authors, ","))
-    return F.coalesce(F.filter(F.transform(authors, F.trim), lambda a: a != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(authors, lambda a: F.trim(a)), lambda a: a != ""), F.array().cast("array<string>"))
 
 
 def family_given(author: Column) -> Column:

@@ -193,6 +193,13 @@ def download_kind(head: Column, size: Column, content_type: Column, least: int =
     return F.when(size < least, "too_small").when(sample.startswith("%pdf-"), "ok").when(html & wall, "bot_wall").when(html, "unexpected_content").otherwise("invalid_file")
 
 
+def content_range(header: Column) -> Column:
+    """Struct of ``first``, ``last`` and ``total`` of a partial answer's header; what it leaves open is null."""
+    pattern = r"(?i)^\s*bytes\s+(?:(\d+)-(\d+)|\*)/(\d+|\*)\s*$"
+    part = lambda i: F.regexp_extract(header, pattern, i).try_cast("long")
+    return F.struct(part(1).alias("first"), part(2).alias("last"), part(3).alias("total"))
+
+
 def retry(status: Column, retry_after: Column, longest: float = 60.0) -> Column:
     """``retry``, ``give up`` (told to wait too long) or ``no``; a null status is a transport error."""
     again = status.isNull() | status.isin(408, 425, 429) | status.between(500, 599)

@@ -305,7 +305,7 @@ def metadata(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
         section("twitter:").alias("twitter"),
         section("dc.").alias("dublin_core"),
         rel_map.alias("rel_links"),
-        F.slice(F.filter(F.transform(F.regexp_extract_all("_h", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), F.trim), lambda j: F.try_parse_json(j).isNotNull()), 1, 2).alias("jsonld"),
+        F.slice(F.filter(F.transform(F.regexp_extract_all("_h", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), lambda t: F.trim(t)), lambda j: F.try_parse_json(j).isNotNull()), 1, 2).alias("jsonld"),
     )
 
 

@@ -95,7 +95,7 @@ def merge_scholarly(df: DataFrame, order: str = "ord") -> DataFrame:
     values = values.where("value is not null and value <> ''").groupBy("_group", "field", "value").agg(F.min(F.struct(order, "provider")).alias("w"))
     lists = values.groupBy("_group", "field").agg(F.sort_array(F.collect_list(F.struct(F.col("w")[order].alias("ord"), F.col("w.provider").alias("provider"), "value"))).alias("v"), F.count("*").alias("n")).where("n > 1")
     conflicts = lists.groupBy("_group").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", F.transform("v", lambda x: F.struct(x["provider"].alias("provider"), x["value"].alias("value"))))))).alias("conflicts"))
-    return main.join(conflicts, "_group", "left").select("key", "canonical", "sources", "records", "conflicts").orderBy(f"canonical.{order}")
+    return main.join(conflicts, "_group", "left").select("key", "canonical", "sources", "records", "conflicts")
 
 
 def open_access_locations(works: DataFrame) -> DataFrame:
@@ -163,15 +163,3 @@ def status_summary(probes: DataFrame) -> DataFrame:
     counts = probes.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
     every = probes.sparkSession.createDataFrame([("blocked",), ("error",), ("ok",), ("unreachable",)], "status string")
     return every.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def sequential_dedupe(rows: pd.DataFrame, by: list[str]) -> list[bool]:
-    """The plain rule, for tests: keep a row unless one of its keys was claimed by a kept one."""
-    seen: set = set()
-    out = []
-    for r in rows.itertuples():
-        keys = {(f, getattr(r, f)) for f in by if getattr(r, f) is not None}
-        out.append(not keys & seen)
-        if out[-1]:
-            seen |= keys
-    return out

@@ -30,12 +30,18 @@ def evict(entries: DataFrame, now: Column, ttl: int, cap: int, group: str | None
     """Cache entries that stay: not older than ``ttl`` seconds, and the newest whose sizes fit ``cap`` bytes together.
 
     ``entries``: ``key, ts timestamp, bytes``. Entries of one time go by key. A cap holds
-    for a cache; with many caches, ``group`` names theirs, and tasks share the work.
+    for a cache; with many caches, ``group`` names theirs. Bytes are summed by hour first,
+    so that no task gets all entries of a cache.
     """
-    fresh = entries.where(now.cast("double") - F.col("ts").cast("double") <= ttl)
-    by = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(F.col("ts").desc(), F.col("key").desc())
-    total = F.sum("bytes").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return fresh.withColumn("_total", total).where(F.col("_total") <= cap).drop("_total")
+    own = F.col(group) if group else F.lit(0)
+    fresh = entries.where(now.cast("double") - F.col("ts").cast("double") <= ttl).withColumn("_g", own).withColumn("_h", F.date_trunc("hour", F.col("ts")))
+    hours = fresh.groupBy("_g", "_h").agg(F.sum("bytes").alias("_b"))
+    newer = Window.partitionBy("_g").orderBy(F.col("_h").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = hours.select("_g", "_h", F.coalesce(F.sum("_b").over(newer), F.lit(0)).alias("_before")).where(F.col("_before") <= cap)
+    by = Window.partitionBy("_g", "_h").orderBy(F.col("ts").desc(), F.col("key").desc())
+    inside = F.sum("bytes").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    kept = fresh.withColumn("_inside", inside).join(before.withColumnsRenamed({"_g": "_g2", "_h": "_h2"}), F.col("_g").eqNullSafe(F.col("_g2")) & F.col("_h").eqNullSafe(F.col("_h2")))
+    return kept.where(F.col("_before") + F.col("_inside") <= cap).select(*entries.columns)
 
 
 def newest(df: DataFrame, key: str, order: tuple[str, ...], most: int) -> DataFrame:

@@ -111,3 +111,10 @@ def streamed_daily_counts(spark, sf_dir):
     from webgrain.streaming.stateful import daily_counts_once
 
     return daily_counts_once(spark, f"{sf_dir}/events.parquet")
+
+
+@register("streamed_quota", "SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 2 AS admitted FROM events")
+def streamed_quota(spark, sf_dir):
+    from webgrain.streaming.stateful import quota_once
+
+    return quota_once(spark, f"{sf_dir}/events.parquet", 2)

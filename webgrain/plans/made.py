@@ -346,3 +346,39 @@ def download_kinds(spark, sf_dir):
 def dotted_links(spark, sf_dir):
     page = "<a href='../b'>1</a><a href='./d/e'>2</a><a href='/q/../c?x=../y'>3</a><a href='x..y'>4</a>"
     return html.links(made(spark, "page_id long, url string, html string", (1, "http://h/a/p", page)), "page_id", "url", "html").select("pos", "href")
+
+
+@register("redacted_overlaps", rows_sql("out", ("ab[redacted: possible prompt injection - score 0.90]ef",), ("abc[redacted: possible prompt injection - score 0.50]",)))
+def redacted_overlaps(spark, sf_dir):
+    """A span that begins inside one before it is passed over; ends beyond the text are cut."""
+    df = made(spark, "t string, s array<struct<start:int,end:int,score:double>>", ("abcdef", [(3, 9, 0.5), (2, 4, 0.9), (7, 9, 0.8)]), ("abcdef", [(3, 9, 0.5), (4, 5, 0.9)]))
+    return df.select(text.redacted(F.col("t"), F.col("s")).alias("out"))
+
+
+@register("record_parts", typed(rows_sql("published, year, month, day, authors", ("2024-03-01", "2024", "03", "01", "A B|C"), ("2024-3", "2024", "3", None, "A, B|C"), ("1999 spring", "1999", None, None, ""), (None, None, None, None, "")), published="VARCHAR", year="VARCHAR", month="VARCHAR", day="VARCHAR"))
+def record_parts(spark, sf_dir):
+    rows = made(spark, "published string, authors string", ("2024-03-01", "A B, C"), ("2024-3", "A, B; C;"), ("1999 spring", " ,"), (None, None))
+    d = citations.date_parts(F.col("published"))
+    return rows.select("published", d.alias("d"), F.array_join(citations.author_list(F.col("authors"), True), "|").alias("authors")).select("published", "d.year", "d.month", "d.day", "authors")
+
+
+@register("image_endings", typed(rows_sql("kind, ending", ("image/PNG; x=1", "png"), ("image/svg+xml", "svg"), ("text/html", None), (None, None)), ending="VARCHAR"))
+def image_endings(spark, sf_dir):
+    return made(spark, "kind string", ("image/PNG; x=1",), ("image/svg+xml",), ("text/html",), (None,)).select("kind", text.image_ending(F.col("kind")).alias("ending"))
+
+
+@register("path_priors", typed(rows_sql("url, weight", ("http://h/docs/a", 1.15), ("http://h/pricing", 0.85), ("http://h/x", 1.0)), weight="DOUBLE"))
+def path_priors(spark, sf_dir):
+    return made(spark, "url string", ("http://h/docs/a",), ("http://h/pricing",), ("http://h/x",)).select("url", urls.path_prior(F.col("url")).alias("weight"))
+
+
+@register("content_ranges", typed(rows_sql("raw, first, last, total", ("bytes 0-499/1234", 0, 499, 1234), ("bytes 500-999/*", 500, 999, None), ("bytes */1234", None, None, 1234), ("junk", None, None, None), (None, None, None, None)), first="BIGINT", last="BIGINT", total="BIGINT"))
+def content_ranges(spark, sf_dir):
+    raw = ("bytes 0-499/1234", "bytes 500-999/*", "bytes */1234", "junk", None)
+    return made(spark, "raw string", *((r,) for r in raw)).select("raw", text.content_range(F.col("raw")).alias("r")).select("raw", "r.*")
+
+
+@register("addresses_v6", rows_sql("ip, private", ("::1", True), ("4000::1", True), ("2606:4700::1111", False), ("2001:4:112::1", False), ("::ffff:8.8.8.8", False), ("::ffff:10.0.0.1", True), ("8.8.8.8", False), ("192.0.0.9", False)))
+def addresses_v6(spark, sf_dir):
+    ips = ("::1", "4000::1", "2606:4700::1111", "2001:4:112::1", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "8.8.8.8", "192.0.0.9")
+    return made(spark, "ip string", *((i,) for i in ips)).select("ip", urls.private_ip(F.col("ip")).alias("private"))

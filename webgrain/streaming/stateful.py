@@ -83,3 +83,8 @@ def daily_counts_once(spark: SparkSession, path: str) -> DataFrame:
     events = _events(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
     out = run_once(daily_counts(events), "complete")
     return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+def quota_once(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    events = _events(spark, path).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return run_once(quota(events, limit), "append")
