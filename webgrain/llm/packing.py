@@ -63,9 +63,9 @@ def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", token
     Each partition packs its own pieces (the texts are not shuffled) and closes bins
     with at most ``slack`` tokens of room. The others, a few a partition, are items of
     the next round: nodes of about ``NODE`` of them pack again, dealt anew each round,
-    until one node is left or a round saves under one bin in a hundred (bins over half
-    full that fit no other). What is open then stays as it is. Each round is written to
-    the shared folder once.
+    and bins with less room than the least bin needs fit no other and are closed. It ends
+    when one node packed all that was left, or a round saved no bin. Each round is written
+    to the shared folder once.
     """
     spark = df.sparkSession
     arrow = arrow_schema(spark, OPEN)
@@ -97,7 +97,7 @@ def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", token
         if held:
             yield packed()
 
-    def merge(round_: int):
+    def merge(round_: int, least: int):
         def node(rows: pd.DataFrame) -> pd.DataFrame:
             used = rows.groupby("sequence_id", sort=True)["length"].sum()
             bins, shifts, n = best_fit(used.to_numpy(np.int64), capacity)
@@ -106,7 +106,8 @@ def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", token
             out = rows.drop(columns=["node"])
             out["sequence_id"] = (round_ << 56) + (int(rows["node"].iloc[0]) << 28) + bins[at]
             out["offset"] = rows["offset"] + shifts[at]
-            out["open"] = total[bins[at]] < capacity - slack
+            # No bin of a later round is smaller than the least of this one.
+            out["open"] = capacity - total[bins[at]] >= max(slack + 1, least)
             return out
 
         return node
@@ -120,16 +121,16 @@ def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", token
         now = spark.read.schema(schema).parquet(f"{path}/{round_}")
         closed.append(now.where("not open").drop("open"))
         left = now.where("open")
-        n = left.select(F.count_distinct("sequence_id")).first()[0]
+        n, least = left.groupBy("sequence_id").agg(F.sum("length").alias("used")).agg(F.count("*"), F.min("used")).first()
         if not n:
             break
         nodes = -(-n // NODE)
-        if round_ and (alone or before - n < before / 100):
+        if alone or (round_ and now.select(F.count_distinct("sequence_id")).first()[0] == before):
             closed.append(left.drop("open"))
             break
         round_, before, alone = round_ + 1, n, nodes == 1
         spread = left.withColumn("node", F.pmod(F.xxhash64("sequence_id"), F.lit(nodes)))
-        spread.groupBy("node").applyInPandas(merge(round_), OPEN).write.parquet(f"{path}/{round_}")
+        spread.groupBy("node").applyInPandas(merge(round_, least), OPEN).write.parquet(f"{path}/{round_}")
     out = closed[0]
     for c in closed[1:]:
         out = out.unionByName(c)
