@@ -29,15 +29,15 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, dev], 1)
 
 
+def largest(x: np.ndarray) -> float:
+    return float(np.abs(x.astype(np.float64)).max())
+
+
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products of whole-number rows with ``q``, exact; those beyond a long are its least or largest number."""
     if not x.size:
         return np.zeros(len(x), np.int64)
-    most = float(np.abs(x.astype(np.float64)).max()) * float(np.abs(q.astype(np.float64)).max()) * x.shape[1]
-    if most < 2.0**53:
-        # All sums are whole numbers that a double holds exactly.
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    if most < 2.0**62:
+    if largest(x) * largest(q) * x.shape[1] < 2.0**62:
         return x @ q
     ends = np.iinfo(np.int64)
     return np.array([min(max(v, ends.min), ends.max) for v in x.astype(object) @ q.astype(object)], np.int64)
@@ -53,6 +53,8 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
     ids, vectors = ids[order], vectors[order]
     q, x = queries.astype(np.float64), vectors.astype(np.float64)
     levels = [(statistics(q, s), statistics(x, s)) for s in LEVELS if s < x.shape[1]]
+    # Sums of whole numbers up to 2**53 are exact in doubles.
+    plain = largest(x) * largest(q) * x.shape[1] < 2.0**53
     # Scores are whole numbers; one half, and more where they are large, covers the rounding of bounds.
     slack = 0.5 + 1e-14 * (x.shape[1] + 8) * np.sqrt((q * q).sum(1) * (x * x).sum(1).max())
     out_q, out_v, out_s = [], [], []
@@ -70,7 +72,7 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
             left = np.flatnonzero((own >= least) & others)
             for a, b in levels[1:]:
                 left = left[b[left] @ a[qi] >= least]
-            score = exact(vectors[left], queries[qi])
+            score = (x[left] @ q[qi]).astype(np.int64) if plain else exact(vectors[left], queries[qi])
             # Ids ascend, so a stable sort by score breaks ties to the smaller id.
             top = np.argsort(~score, kind="stable")[:k]
             out_q.append(np.full(len(top), query_ids[qi]))
