@@ -148,7 +148,10 @@ def test_packing(real, docs, empty):
 def test_packing_over_several_rounds(real, monkeypatch):
     monkeypatch.setattr(packing, "NODE", 16)
     got = packing.pack_documents(real.repartition(12)).collect()
-    check_packing(got, {r["doc_id"]: r["text"] for r in real.collect()})
+    n, least = check_packing(got, {r["doc_id"]: r["text"] for r in real.collect()})
+    # Near what one packing of all pieces makes, even if nodes see sixteen bins each.
+    lengths = np.array([r["length"] for r in got])
+    assert n <= max(least, packing.best_fit(lengths, 1024)[2]) * 1.06
 
 
 def plain_fingerprint(text):
@@ -627,3 +630,43 @@ def test_a_key_of_many_rows_is_many_parts_of_the_written_ids(spark):
     finally:
         spark.conf.unset(coalesce)
     assert spark.read.parquet(path).select("part").distinct().count() > 1
+
+
+def test_registered_queries_against_plain_versions(spark, sf, real):
+    """Each query as it is registered, on its whole table."""
+    from sentencepiece import SentencePieceProcessor
+
+    from webgrain.llm import queries
+
+    texts = {r["doc_id"]: r["text"] for r in real.select("doc_id", "text").collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    # op4
+    n, least = check_packing(queries.op4_best_fit_packing(spark, sf).collect(), texts)
+    assert n <= least * 1.03 + 1
+    # op5
+    fps = {d: plain_fingerprint(t) for d, t in texts.items()}
+    roots = plain_components(fps)
+    assert {tuple(r) for r in queries.op5_simhash_near_dedup(spark, sf).collect()} == {(d, f"{fps[d]:016x}", roots[d]) for d in texts}
+    # op7
+    for r in queries.op7_personal_data(spark, sf).collect():
+        base = plain_spans(texts[r["doc_id"]] or "")
+        said = [f"{k}:{a}:{b}" for a, b, k in base]
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(s[2] == k for s in base) for k in pii.KINDS]
+        assert r["base_sha256"] == sha(",".join(said)) and set(said) <= set(r["spans"].split(",") if r["spans"] else [])
+    # op8
+    tok, at = library("word_bpe_49k.json"), 0
+    got = {r["doc_id"]: tuple(r) for r in queries.op8_token_ids(spark, sf).collect()}
+    for d in sorted(texts):
+        ids = [*tok.encode(texts[d] or "", add_special_tokens=False).ids, 1]
+        assert got[d] == (d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    # op9
+    sp = SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    for r in queries.op9_sentencepiece(spark, sf).collect():
+        ids = sp.encode(texts[r["doc_id"]] or "")
+        assert tuple(r)[1:] == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
+    # op10
+    assert sorted(map(tuple, queries.op10_document_fingerprints(spark, sf).collect()), key=str) == sorted(plain_edits(list(texts.items())), key=str)
+    # op3
+    scored = queries.op3_quality_classifier(spark, sf).collect()
+    assert {r["doc_id"] for r in scored} == set(texts) and len(scored) == len(texts)
