@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from webgrain.functions.text import looks_like_text
-from webgrain.operators import graph, guard, html, ranking, reading
+from webgrain.operators import graph, guard, html, ranking, reading, research
 from webgrain.plans.made import made, rows_sql, typed
 from webgrain.plans.registry import register, table
 from webgrain.session import shared
@@ -237,3 +237,43 @@ def requests_by_key(spark, sf_dir):
     counts = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
     ranked = counts.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "user_id"))).alias("c"))
     return ranked.select("event_type", F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["user_id"].cast("string"), (-x["m"]).cast("string"))), ",").alias("counts"))
+
+
+_HITS = ((1, 0, 0, False, None, None), (1, 1, 0, True, "http://a/?x", "A"), (1, 1, 1, True, "http://a/?y", "again"), (1, 1, 2, True, "http://b/", "B"), (1, 2, 0, True, "http://c/", "C"), (2, 0, 0, True, "http://d/", "D"), (3, 0, 0, True, "http://e/", "E"))
+_OLD = ((2, 1, "http://old/", "Old", 100), (3, 1, "http://stale/", "Stale", 0))
+
+
+def _search(spark, merge: bool):
+    answers = made(spark, "query_id int, priority int, rank int, ok boolean, url string, title string", *_HITS)
+    old = made(spark, "query_id int, place int, url string, title string, put int", *_OLD).withColumn("put", F.timestamp_seconds("put"))
+    return research.searched(answers, old, merge=merge, now=F.timestamp_seconds(F.lit(150)), ttl=60.0)
+
+
+@register("searched_failover", rows_sql("query_id, place, url, title, origin", (1, 1, "http://a/?x", "A", "engine"), (1, 2, "http://b/", "B", "engine"), (2, 1, "http://old/", "Old", "cache"), (3, 1, "http://e/", "E", "engine")))
+def searched_failover(spark, sf_dir):
+    return _search(spark, False)
+
+
+@register("searched_merged", rows_sql("query_id, place, url, title, origin", (1, 1, "http://a/?x", "A", "engine"), (1, 2, "http://b/", "B", "engine"), (1, 3, "http://c/", "C", "engine"), (2, 1, "http://old/", "Old", "cache"), (3, 1, "http://e/", "E", "engine")))
+def searched_merged(spark, sf_dir):
+    return _search(spark, True)
+
+
+_OF = (("scholarly", 0, "openalex"), ("scholarly", 1, "crossref"), ("legal", 0, "courtlistener"), ("general", 0, "web"))
+
+
+@register("category_research", typed(rows_sql("id, category, provider, error, title", (1, "scholarly", "openalex", None, "one"), (1, "scholarly", "openalex", None, "two"), (2, "scholarly", "crossref", None, "c"), (3, "legal", "courtlistener", None, None), (4, "nothing", None, "unknown category", None), (5, None, None, "unknown provider", None), (6, "legal", None, "provider of another category", None), (7, "general", "web", None, None)), error="VARCHAR"))
+def category_research(spark, sf_dir):
+    asked = ((1, "a peer reviewed journal paper", None, None), (2, "anything", None, "crossref"), (3, "x", "legal", None), (4, "x", "nothing", None), (5, "x", None, "none"), (6, "x", "legal", "crossref"), (7, "hello", None, None))
+    found = ((1, "openalex", 0, "one"), (1, "openalex", 1, "two"), (1, "openalex", 2, "cut"), (1, "crossref", 0, "no"), (2, "crossref", 0, "c"), (6, "crossref", 0, "no"))
+    providers_ = made(spark, "category string, place int, provider string", *_OF)
+    out = research.by_category(made(spark, "id int, query string, category string, provider string", *asked), providers_, made(spark, "id int, provider string, pos int, title string", *found), most=2)
+    return out.select("id", "category", "provider", "error", "title")
+
+
+@register("categories_resolved", "WITH c AS (SELECT doc_id, lang FROM documents) SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'legal' ELSE 'scholarly' END AS category, CASE WHEN lang = 'en' THEN 'courtlistener' ELSE 'crossref' END AS provider FROM c")
+def categories_resolved(spark, sf_dir):
+    """Every document as a question: to a category by its language, or to a provider."""
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("query"), F.when(english, "legal").alias("category"), F.when(~english, "crossref").alias("provider"))
+    return research.resolved(asked, made(spark, "category string, place int, provider string", *_OF)).select("id", "category", "provider")
