@@ -89,3 +89,15 @@ def test_headings_are_found_by_line(spark):
     rows = ranking.split_sections(spark.createDataFrame([(1, md), (2, "no heading"), (3, " ")], "k long, md string"), "k", "md").orderBy("k", "idx").collect()
     assert [(r["k"], r["anchor"], r["offset"]) for r in rows] == [(1, "(intro)", 0), (1, "A", 6), (1, "Title", 18), (1, "B", md.index("## B")), (2, "(intro)", 0)]
     assert "".join(r["text"] for r in rows if r["k"] == 1) == md
+
+
+def test_bpe_counts_are_the_librarys(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from webgrain.functions import text
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("text", text.bpe_count(F.col("text"), path).alias("n")).collect()
+    tokenizer = Tokenizer.from_file(path)
+    assert [r["n"] for r in rows] == [len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows]

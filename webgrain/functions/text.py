@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -170,6 +172,20 @@ def token_count(text: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4).cast("int")))
 
 
+def bpe_count(text: Column, vocabulary: str) -> Column:
+    """Tokens of a text by a vocabulary file of the tokenizers library, without special tokens added; null texts have none."""
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(vocabulary)
+        for texts in batches:
+            yield pd.Series([len(e.ids) for e in tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)], dtype="int32")
+
+    return count(text)
+
+
 def truncate_tokens(text: Column, limit: int, ellipsis: str = fixed.TOKEN_ELLIPSIS) -> Column:
     """The text if it has at most ``limit`` tokens, else its head with the ellipsis, four characters a token."""
     return F.when(token_count(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(max(0, 4 * limit - len(ellipsis)))), F.lit(ellipsis)))

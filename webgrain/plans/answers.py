@@ -136,3 +136,20 @@ def sparse_cells(spark, sf_dir):
     body = {"id": ["time", "geo"], "size": [2, 60], "value": {"60": 1.5, "70": 2.5, "119": 3}, "dimension": {"time": {"category": {"index": {"t0": 0, "t1": 1}}}, "geo": {"category": {"index": {f"c{i}": i for i in range(60)}}}}}
     out = providers.cells(made(spark, "body string", (json.dumps(body),)), most=2)
     return out.select(F.col("index").cast("int").alias("index"), "value", F.element_at("coords", F.lit("geo")).alias("geo"))
+
+
+answer("google", {"items": [{"title": "T", "link": "http://l", "snippet": "s"}, {"link": None}]}, (N, "T", "http://l", N, N, N, "s"), (N,) * 7)
+answer("bing", {"webPages": {"value": [{"name": "T", "url": "http://u", "snippet": "s"}]}}, (N, "T", "http://u", N, N, N, "s"))
+answer("exa", {"results": [{"title": "T", "url": "http://u", "text": "body"}]}, (N, "T", "http://u", N, N, N, "body"))
+answer("duckduckgo", [{"title": "T", "href": "http://u", "body": "s"}, {"title": "U", "url": "http://v", "snippet": "t"}], (N, "T", "http://u", N, N, N, "s"), (N, "U", "http://v", N, N, N, "t"))
+
+
+@text_query("answers_source", "request, title", [(0, "a"), (1, "b"), (2, "c")], request="BIGINT", title="VARCHAR")
+def answers_source(spark, sf_dir):
+    """Bodies through a data source in two partitions, then as records."""
+    from webgrain.sources import answers
+
+    answers.register(spark)
+    bodies = json.dumps([json.dumps({"items": [{"title": t}]}) for t in "abc"])
+    read = spark.read.format("answers").option("bodies", bodies).option("partitions", "2").load()
+    return providers.records(read, "google").select("request", "title")

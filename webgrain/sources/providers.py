@@ -98,6 +98,11 @@ PROVIDERS: dict[str, Provider] = {
     "lens": Provider("$.data", {"id": ("$.lens_id",), "title": lambda h: F.coalesce(at(h, "$.biblio.invention_title[0].text", "$.title"), F.concat_ws(" ", at(h, "$.jurisdiction"), at(h, "$.doc_number"), at(h, "$.kind"))), "url": lambda h: F.concat(F.lit("https://www.lens.org/"), at(h, "$.lens_id")), "published": ("$.date_published",), "authors": lambda h: names(h, "$.biblio.parties.inventors", "$.extracted_name.value", "$.name"), "snippet": _text("$.abstract[0].text", "$.abstract")}, {"jurisdiction": ("$.jurisdiction",), "doc_number": ("$.doc_number",), "kind": ("$.kind",), "doc_key": ("$.doc_key",), "lens_id": ("$.lens_id",), "applicants": lambda h: names(h, "$.biblio.parties.applicants", "$.extracted_name.value", "$.name"), "legal_status": ("$.legal_status.patent_status",)}),
     "worldbank": Provider("$[1]", {"id": ("$.indicator.id",), "title": ("$.indicator.value",), "published": ("$.date",)}, {"value": ("$.value",), "country": ("$.country.value",)}),
     "fred": Provider("$.observations", {"id": ("$.date",), "published": ("$.date",)}, {"value": ("$.value",)}),
+    # Search engines.
+    "google": Provider("$.items", {"title": ("$.title",), "url": ("$.link",), "snippet": ("$.snippet",)}),
+    "bing": Provider("$.webPages.value", {"title": ("$.name",), "url": ("$.url",), "snippet": ("$.snippet",)}),
+    "exa": Provider("$.results", {"title": ("$.title",), "url": ("$.url",), "snippet": ("$.text", "$.summary")}),
+    "duckduckgo": Provider("$", {"title": ("$.title",), "url": ("$.href", "$.url"), "snippet": ("$.body", "$.snippet")}),
     "ecfr": Provider("$.children", {"id": ("$.identifier",), "title": ("$.label",), "snippet": _text("$.label_description")}, {"type": ("$.type",)}),
 }
 
