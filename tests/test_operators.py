@@ -1,7 +1,9 @@
 """Operators outside the training-data subpackage, held against plain versions."""
 
+import math
 import os
 import random
+import re
 import time
 from collections import Counter
 
@@ -9,7 +11,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from webgrain.operators import html, ranking, records, schedule
+from webgrain.functions import fixed
+from webgrain.operators import graph, html, ranking, records, schedule
 
 
 def test_markdown_keeps_whole_tables(spark):
@@ -101,3 +104,64 @@ def test_bpe_counts_are_the_librarys(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("text", text.bpe_count(F.col("text"), path).alias("n")).collect()
     tokenizer = Tokenizer.from_file(path)
     assert [r["n"] for r in rows] == [len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows]
+
+
+def plain_crawl(text, links, root, query, most, depth, least, clusters=()):
+    """One crawl by the rules, a page at a time."""
+    stop = set(fixed.CRAWL_STOPWORDS)
+    said = lambda t: [w for w in re.findall("[a-z0-9]+", (t or "").lower()) if w not in stop]
+    top = lambda ws, k: [w for w, _ in sorted(Counter(ws).items(), key=lambda x: (-x[1], x[0]))[:k]]
+    base = set(said(query))
+    added = [w for t in sorted(base) for c in clusters if t in c for w in c if w not in base]
+    asked = base | set(list(dict.fromkeys(added))[: len(base)])
+    queue, seen, df, out, papers, n, found = [(1.0, 0, 0, 1.0, root)], {root}, Counter(), [], {}, 0, 0
+    while queue and n < most:
+        queue.sort(key=lambda q: (-q[0], q[1]))
+        _, _, level, score, url = queue.pop(0)
+        if url not in text:
+            continue
+        out.append((n, url, level, round(score, 9)))
+        n += 1
+        df.update(set(said(text[url])))
+        if level >= depth:
+            continue
+        topic = set(top(said(text[url]), 40))
+        idf = lambda w: 1.0 if n < 3 else math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
+        half = lambda w: idf(w) * (1.0 if w in base else 0.5)
+        for dst, anchor in links.get(url, ()):
+            if dst in seen:
+                continue
+            path = re.sub("^[a-z]+://[^/]*", "", dst)
+            paper = dst.endswith(".pdf")
+            at = text[url].lower().find(anchor.lower().strip()) if anchor.strip() and not paper else -1
+            near = top(said(text[url].lower()[max(0, at - 50) : at + len(anchor.strip()) + 50]), 8) if at >= 0 else []
+            label = set(said(anchor)) | set(said(path)) | set(near)
+            share = lambda a, b, f: sum(map(f, a)) / t if (t := sum(map(f, b))) else 0.0
+            s = 0.7 * share(label & asked, asked, half) + 0.3 * share(label & topic, label, idf)
+            s *= (1.15 if path.startswith(fixed.LIKED_PATHS) else 0.85 if path.startswith(fixed.DISLIKED_PATHS) else 1.0) if n >= 3 else 1.0
+            if paper:
+                papers.setdefault(dst, round(s, 9))
+            elif not path.startswith(tuple(fixed.BOILERPLATE_PATHS)) and s >= least:
+                seen.add(dst)
+                found += 1
+                queue.append((s * 0.7 ** (level + 1), found, level + 1, s, dst))
+    return out, {u: s for u, s in papers.items() if s >= least}
+
+
+def test_focused_crawl_against_one_page_at_a_time(spark):
+    rng = random.Random(31)
+    vocab = [f"w{i}" for i in range(40)] + ["spark", "joins", "docs"]
+    names = [f"http://h/{rng.choice(('docs', 'x', 'pricing'))}/{rng.choice(vocab)}-{i}" for i in range(30)]
+    links = {u: [(rng.choice([*names, "http://h/gone", "http://h/p.pdf", "http://h/login/x"]), " ".join(rng.choices(vocab, k=2))) for _ in range(6)] for u in names}
+    text = {u: " ".join(rng.choices(vocab, k=40) + [a for _, a in links[u][:3]]) for u in names}
+    clusters = [["spark", "w1", "w2"], ["joins", "w3"]]
+    roots = [(names[0], "spark joins"), (names[1], "w5 docs spark"), ("http://h/gone", "spark")]
+    pages = spark.createDataFrame([("s", u, t) for u, t in text.items()], "site string, url string, text string")
+    edges = spark.createDataFrame([("s", u, d, a, i) for u, ls in links.items() for i, (d, a) in enumerate(ls)], "site string, src string, dst string, anchor string, pos int")
+    got = graph.focused_crawl(pages, edges, spark.createDataFrame([("s", *r) for r in roots], "site string, root string, query string"), most_pages=5, depth=3, clusters=clusters).collect()
+    for root, query in roots:
+        own = [r for r in got if r["root"] == root]
+        want, papers = plain_crawl(text, links, root, query, 5, 3, 0.05, clusters)
+        assert sorted((r["seq"], r["url"], r["depth"], round(r["score"], 9)) for r in own if r["kind"] == "page") == want
+        assert {r["url"]: round(r["score"], 9) for r in own if r["kind"] == "document"} == papers
+    assert sum(r["kind"] == "page" for r in got) == 10
