@@ -77,6 +77,8 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[dict[str,
                 batch = whole.slice(at, step)
                 out = apply({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        # Workers are used again by other stages, which need the memory.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from webgrain.llm.common import map_rows, numbered, pick
 
 #: Hashed vectors and their width; character n-gram sizes in bytes; bytes of texts that are scored at a time.
-BUCKETS, DIM, GRAMS, AT_ONCE = 1 << 16, 16, (3, 4), 1 << 20
+BUCKETS, DIM, GRAMS, AT_ONCE = 1 << 16, 16, (3, 4), 1 << 18
 #: Bounds of what is learned from: labelled rows of each class, and characters of a text.
 TRAIN_ROWS, TRAIN_CHARS = 1500, 20_000
 #: Steps of gradient descent, one row each: the rows are gone through as often as that takes.
