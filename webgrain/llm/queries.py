@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webgrain.llm import chat, packing, pieces, pii, prefix_hash, quality, simhash, simple8b, topk, warc
+from webgrain.llm import chat, divergence, lexical, packing, pieces, pii, prefix_hash, quality, shingle_join, simhash, simple8b, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,22 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    ops = (op1_warc_normaliser, op2_exact_top_k, op3_quality_classifier, op4_best_fit_packing, op5_simhash_near_dedup, op6_chat_formatting, op7_personal_data, op8_token_ids, op9_sentencepiece, op10_document_fingerprints)
+    ops = (op1_warc_normaliser, op2_exact_top_k, op3_quality_classifier, op4_best_fit_packing, op5_simhash_near_dedup, op6_chat_formatting, op7_personal_data, op8_token_ids, op9_sentencepiece, op10_document_fingerprints, op11_ranked_search, op12_source_divergence, op13_jaccard_join)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
@@ -88,8 +100,87 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+#: Terms with only A-Z in lower case, as RE2 and the operators cut them.
+ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, {ALPHABET}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), d AS (
+  SELECT r, doc_id, terms, len(terms) AS n FROM t WHERE len(terms) > 0
+), s AS (
+  SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM d
+), tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term, nd
+), q AS (
+  SELECT item_id, term, count(*) AS reps FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, {ALPHABET}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), f AS (
+  SELECT item_id, r, doc_id, CAST(sum(reps * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nd) // l)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term), s GROUP BY item_id, r, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f WHERE score > 0) WHERE rank <= 20
+"""
+
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), o AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, {ALPHABET}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), c AS (
+  SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), n AS (
+  SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT n.lang, n.source, k.term, coalesce(c, 0) AS c, CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 1)) // (n + v) AS HUGEINT) AS p
+  FROM n JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term
+), q AS (
+  SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (sum(c) + 1)) // (t + v) AS HUGEINT) AS q
+  FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS t FROM n GROUP BY lang) USING (lang) GROUP BY lang, term, t, v
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), term AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+), both_parts AS (
+  SELECT 'pair' AS part, * FROM pair UNION ALL SELECT 'term', * FROM term
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, item) AS rank FROM both_parts) WHERE part = 'pair' OR rank <= 200
+"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {ALPHABET}), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM d
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), l AS (
+  SELECT a.r AS u, b.r AS v FROM s a JOIN s b USING (shingle) JOIN n x ON x.r = a.r JOIN n y ON y.r = b.r
+  WHERE a.r <> b.r GROUP BY a.r, b.r, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT r AS u, r AS v FROM d UNION SELECT reach.u, l.v FROM reach JOIN l ON reach.v = l.u
+)
+SELECT x.doc_id, coalesce(n, 0) AS n_shingles, min(y.doc_id) AS component_id
+FROM d x JOIN reach ON reach.u = x.r JOIN d y ON y.r = reach.v LEFT JOIN n ON n.r = x.r GROUP BY x.r, x.doc_id, n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op1_warc_normaliser": OP1_SQL, "op2_exact_top_k": OP2_SQL}
+    found = {"op1_warc_normaliser": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op11_ranked_search": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_jaccard_join": OP13_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
