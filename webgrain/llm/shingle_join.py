@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webgrain.llm.common import arrow_schema, pick, stored
@@ -26,6 +26,8 @@ from webgrain.llm.terms import SPACED, gathered, words
 COUNTERS = 20
 #: Groups are first looked for by so many keys, each of so many least hashes.
 BANDS, LEAST = 4, 3
+#: Rows (of two numbers) that are sent to all executors at most; more are shuffled with the texts.
+FEW = 500_000
 #: Members of a group at most, and documents that are compared with a group in one task.
 MEMBERS, ASKING = 256, 2048
 
@@ -79,42 +81,44 @@ def needed(n: np.ndarray | int, alike: int) -> np.ndarray | int:
 
 
 def signed(rows: DataFrame, size: int) -> DataFrame:
-    """``id, hash, n, node`` of each row ``id, hash, text``, the node being a digest of its set, null if that is empty; and ``keys``, equal for sets whose least hashes are equal."""
-    text = "id bigint, hash bigint, n bigint, node bigint, keys array<bigint>"
+    """One pass over the rows ``id, hash, text``: a row ``id, hash, n, node, keys`` for each, and rows ``at, held`` that count tokens.
+
+    The node is a digest of the row's set, null if that is empty; ``keys`` are equal for
+    sets whose least hashes are equal. ``held`` says how often a task saw tokens with
+    the ``COUNTERS`` leading bits ``at``.
+    """
+    text = "id bigint, hash bigint, n bigint, node bigint, keys array<bigint>, at int, held bigint"
     schema = arrow_schema(rows.sparkSession, text)
 
+    def filled(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mixed(np.arange(1, BANDS * LEAST + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+        total = np.zeros(1 << COUNTERS, np.int64)
         for batch in gathered(batches, 2):
             sets = shingle_sets(batch.column(2), size)
+            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
             keys = []
             for s in sets:
-                least = [int(mixed(s * seed).min()) for seed in seeds] if len(s) else []
+                least = [int((s * seed).min()) for seed in seeds] if len(s) else []
                 keys.append([int(np.uint64(xxhash.xxh64_intdigest(repr((b, least[b * LEAST : (b + 1) * LEAST])))).view(np.int64)) for b in range(BANDS)] if len(s) else [])
             n = np.array([len(s) for s in sets], np.int64)
             node = pa.array([digest(s) for s in sets], pa.int64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), node, pa.array(keys, pa.list_(pa.int64())).cast(schema.field(4).type)], schema=schema)
+            yield filled(len(n), id=batch.column(0), hash=batch.column(1), n=pa.array(n), node=node, keys=pa.array(keys, pa.list_(pa.int64())))
+        at = np.flatnonzero(total)
+        for part in range(0, len(at), 50_000):
+            some = at[part : part + 50_000]
+            yield filled(len(some), at=pa.array(some), held=pa.array(total[some]))
 
     return rows.mapInArrow(run, text)
 
 
-def token_counts(rows: DataFrame, size: int) -> np.ndarray:
+def token_counts(found: DataFrame) -> np.ndarray:
     """In how many rows tokens are, by the leading ``COUNTERS`` bits of their hash: a table of fixed size over all documents."""
-    schema = arrow_schema(rows.sparkSession, "at int, n bigint")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTERS, np.int64)
-        for batch in gathered(batches, 2):
-            for s in shingle_sets(batch.column(2), size):
-                np.add.at(total, (s >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        for part in range(0, len(at), 50_000):
-            some = at[part : part + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], schema=schema)
-
-    found = rows.mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = found.where("at is not null").groupBy("at").agg(F.sum("held").alias("held")).toArrow()
     out = np.zeros(1 << COUNTERS, np.int64)
-    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    out[sums["at"].to_numpy()] = sums["held"].to_numpy()
     return out
 
 
@@ -146,7 +150,10 @@ def sets_of(rows: DataFrame, known: DataFrame, nodes: DataFrame, size: int) -> D
             sets = shingle_sets(batch.column(0), size)
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), listed(sets).cast(schema.field(1).type)], schema=schema)
 
-    asked = known.join(nodes, "node", "left_semi").select(F.col("id").alias("i"), F.col("hash").alias("h"))
+    # Written first: how large it is tells whether texts have to be shuffled to meet it.
+    asked = stored(known.join(nodes, "node", "left_semi").select(F.col("id").alias("i"), F.col("hash").alias("h")), "asked-rows")
+    if asked.count() <= FEW:
+        asked = F.broadcast(asked)
     texts = rows.join(asked, rows["id"].eqNullSafe(asked["i"]) & (rows["hash"] == asked["h"]), "left_semi").select("text")
     # Repeated rows give their set more than once.
     return texts.mapInArrow(run, "node bigint, tokens array<bigint>").dropDuplicates(["node"])
@@ -176,8 +183,38 @@ class Group:
         return self.nodes[100 * both >= alike * (self.sizes + len(tokens) - both)]
 
 
+def banded(known: DataFrame) -> DataFrame:
+    """``group, node``: blocks of about ``MEMBERS`` sets with an equal key, the least one of the key in each of them; equal blocks are told once."""
+    bands = known.select("node", F.explode("keys").alias("key"))
+    keys = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / MEMBERS))
+    each = bands.join(keys, "key").select("key", F.pmod(F.xxhash64("node", "key"), "blocks").alias("block"), "node")
+    heads = keys.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("head").alias("node"))
+    several = stored(each.union(heads).distinct(), "bands")
+    # Blocks of the same members have the same mark, by count and by a sum of hashes.
+    marks = several.groupBy("key", "block").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).cast("string").alias("sum")).where("n > 1")
+    marks = marks.select("key", "block", F.xxhash64("n", "sum").alias("group"))
+    return several.join(marks, ["key", "block"]).select("group", "node").distinct()
+
+
+def within(blocks: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
+    """Links ``u, v`` that connect the sets of each block (``group, node``) as all their links would."""
+    arrow = arrow_schema(blocks.sparkSession, "u bigint, v bigint")
+
+    def compare(own: pa.Table) -> pa.Table:
+        nodes, sets = own["node"].to_numpy(), [s.values.to_numpy().view(np.uint64) for s in own["tokens"]]
+        group, place = Group(np.arange(len(nodes)), sets), np.arange(len(nodes))
+        for i, tokens in enumerate(sets):
+            found = group.links(tokens, alike)
+            joined = np.isin(place, place[np.append(found, i)])
+            place[joined] = place[joined].min()
+        linked = np.flatnonzero(place != np.arange(len(nodes)))
+        return pa.table([pa.array(nodes[linked]), pa.array(nodes[place[linked]])], schema=arrow)
+
+    return blocks.join(sets, "node").groupBy("group").applyInArrow(compare, "u bigint, v bigint")
+
+
 def opened(asks: DataFrame, members: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
-    """Links ``u, v`` of the asked pairs (``node, group``) of sets and groups, exact; ``members`` (``group, member``) says who is in a group.
+    """A link ``u, v`` of each asked pair (``node, group``) that has one, exact; ``members`` (``group, member``) says who is in a group.
 
     A group meets its questions in parts of at most about ``ASKING``, each in one task.
     """
@@ -194,43 +231,55 @@ def opened(asks: DataFrame, members: DataFrame, sets: DataFrame, alike: int) ->
             spread = lambda column: [s.values.to_numpy().view(np.uint64) for s in column]
             group = Group(own["member"].to_numpy(), spread(own["own"]))
             for node, tokens in zip(asking["node"].to_numpy(), spread(asking["tokens"]), strict=True):
-                found = group.links(tokens, alike)
-                v.append(found[found != node])
+                # A group's members are of one family, so one link stands for all.
+                v.append(group.links(tokens, alike)[:1])
                 u.append(np.full(len(v[-1]), node))
         return pa.table([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], schema=arrow)
 
     return left.groupBy("g", "p").cogroup(right.groupBy("group", "part")).applyInArrow(compare, "u bigint, v bigint")
 
 
-def alike_sets(rows: DataFrame, known: DataFrame, keys: DataFrame, size: int, alike: int) -> DataFrame:
-    """``node, root`` of sets linked with others, over rows ``id, hash, text``; ``known`` has a row ``id, hash, node`` for each set, ``keys`` its ``keys``.
+def enough(alike: int) -> str:
+    """SQL that tells if ``c`` first tokens that a set of size ``n`` shares with a group of sizes from ``low`` to ``high`` can be enough.
+
+    Common tokens that aren't first tokens of both lie behind the first tokens of one of
+    the two, so they are fewer than what that one needs. With the size that the other
+    one has, the rest must be among the ``c``. Rounding is allowed for by one.
+    """
+    a, h = f"greatest(low, n * {alike} div 100)", f"least(high, (n * 100 + {alike - 1}) div {alike})"
+    both = lambda m: f"({alike} * (n + {m}) div {100 + alike})"
+    share = lambda m: f"(({alike} * {m} + 99) div 100)"
+    return f"{a} <= {h} and c >= least({both(a)} - {share('n')}, {both(h)} - {share(h)})"
+
+
+def alike_sets(rows: DataFrame, known: DataFrame, counts: np.ndarray, size: int, alike: int) -> DataFrame:
+    """``node, root`` of sets linked with others, over rows ``id, hash, text``; ``known`` has a row ``id, hash, node, n, keys`` for each set, ``counts`` say how rare tokens are.
 
-    First, sets of equal keys are compared with the least one of them, which puts most
-    families together. What is linked then forms the groups of the matrix, in blocks of
+    First, sets of equal keys are compared in blocks, which puts most families together.
+    What is linked then forms the groups of the matrix, in blocks of
     about ``MEMBERS``; sets and groups of one family need no further comparison, all
     others that share one of their first tokens get one. So no link between families is lost.
     """
-    bands = keys.select("node", F.explode("keys").alias("key"))
-    led = bands.join(bands.groupBy("key").agg(F.min("node").alias("group")), "key").where("node <> group").select("node", "group").distinct()
-    led = stored(led, "led")
-    near = sets_of(rows, known, led.select("node").union(led.select("group")).distinct(), size)
-    first = stored(opened(led, led.select("group", F.col("group").alias("member")).distinct(), stored(near, "sets"), alike), "links")
+    blocks = stored(banded(known), "blocks")
+    near = sets_of(rows, known, blocks.select("node").distinct(), size)
+    first = stored(within(blocks, stored(near, "sets"), alike), "links")
     family = stored(components(first), "families")
 
-    counts = token_counts(rows, size)
-    one = rows.join(known.select(F.col("id").alias("i"), F.col("hash").alias("h")), F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h")), "left_semi").select("text")
-    tokens = first_tokens(one, size, alike, counts).join(family, "node", "left").select("token", "node", F.coalesce("root", "node").alias("family"))
-    tokens = stored(tokens, "first-tokens")
+    # Equal texts give their tokens more than once, which changes nothing. Most tokens are of one set alone.
+    of_token = Window.partitionBy("token")
+    shared = first_tokens(rows.select("text"), size, alike, counts).withColumn("least", F.min("node").over(of_token)).withColumn("most", F.max("node").over(of_token)).where("least <> most").select("token", "node").distinct()
+    shared = stored(shared, "shared-tokens").join(family, "node", "left").select("token", "node", F.coalesce("root", "node").alias("family"))
     # A token of one family alone asks for nothing.
-    shared = tokens.groupBy("token").agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a <> b").select("token")
-    tokens = stored(tokens.join(shared, "token", "left_semi"), "shared-tokens")
+    tokens = shared.withColumn("least", F.min("family").over(of_token)).withColumn("most", F.max("family").over(of_token)).where("least <> most").select("token", "node", "family")
     big = stored(family.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-    block = tokens.join(big, F.col("family") == F.col("root"), "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / MEMBERS))
-    block = block.select("token", "node", "family", F.coalesce("size", F.lit(1)).alias("size"), F.xxhash64("family", F.pmod(F.xxhash64("node"), "blocks")).alias("group"))
+    block = tokens.join(big, F.col("family") == F.col("root"), "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / MEMBERS)).join(known.select("node", "n"), "node")
+    block = block.select("token", "node", "n", "family", F.coalesce("size", F.lit(1)).alias("size"), F.xxhash64("family", F.pmod(F.xxhash64("node"), "blocks")).alias("group"))
+    block = stored(block, "tokens")
     matrix = block.groupBy("token", F.col("group").alias("meets")).agg(F.first("family").alias("of"), F.first("size").alias("among"))
+    sizes = block.groupBy(F.col("group").alias("meets")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     # Of two families the smaller one asks.
-    asked = block.join(matrix, "token").where("struct(size, family) < struct(among, of)").select("node", F.col("meets").alias("group")).distinct()
-    asked = stored(asked, "asked")
+    asked = block.join(matrix, "token").where("struct(size, family) < struct(among, of)").groupBy("node", "n", "meets").agg(F.count("*").alias("c"))
+    asked = stored(asked.join(sizes, "meets").where(enough(alike)).select("node", F.col("meets").alias("group")), "asked")
     members = stored(block.select("group", F.col("node").alias("member")).distinct().join(asked.select("group").distinct(), "group", "left_semi"), "members")
     wanted = asked.select("node").union(members.select("member")).distinct()
     last = opened(asked, members, stored(sets_of(rows, known, wanted, size), "sets"), alike)
@@ -249,9 +298,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     rows = pick(docs, id=key, text=text).select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
     full = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    found = stored(signed(rows, size), "signed")
-    unique = stored(found.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("r"), F.first("keys").alias("keys")).select("node", "r.id", "r.hash", "keys"), "nodes")
-    roots = alike_sets(full, unique.select("node", "id", "hash"), unique.select("node", "keys"), size, alike)
+    signs = stored(signed(rows, size), "signed")
+    found = signs.where("at is null")
+    unique = found.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    unique = stored(unique.select("node", "r.id", "r.hash", "n", "keys"), "nodes")
+    roots = alike_sets(full, unique, token_counts(signs), size, alike)
     joined = found.join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
     least = joined.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     return joined.join(least, "root", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
