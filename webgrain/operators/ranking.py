@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -156,15 +158,50 @@ def select_sections(sections: DataFrame, query: str, most: int, key: str = "doc_
 
 
 def category(text: Column) -> Column:
-    """The research category with most distinct keywords in the text; ties to the earlier one, none is ``general``."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    scored = []
-    for i, (name, words) in enumerate(fixed.CATEGORIES.items()):
-        # Most words are in no text, which a plain search tells sooner than a pattern.
-        found = [(lower.contains(w) & lower.rlike(rf"(?U)\b{w.replace('-', chr(92) + '-')}\b")).cast("int") for w in words]
-        scored.append(F.struct(sum(found[1:], found[0]).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["hits"] > 0, best["name"]).otherwise("general")
+    """The research category with most distinct keywords in the text; ties to the earlier one, none is ``general``.
+
+    One pass over the text finds all keywords.
+    """
+    @F.pandas_udf("string")
+    def best(texts: pd.Series) -> pd.Series:
+        return texts.map(_category)
+
+    # Lower case is the JVM's, so that it is that of the other expressions.
+    return best(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def _inside(c: str) -> bool:
+    """Whether a character is part of a word, as Java's Unicode word boundary has it."""
+    return c.isalpha() or c == "_" or unicodedata.category(c) in ("Nd", "Nl", "Mn", "Mc", "Me", "Pc") or c in "\u200c\u200d" or "\u24b6" <= c <= "\u24e9"
+
+
+@cache
+def _keywords():
+    """An automaton of all keywords, made once a worker; each ends with its number, its length and the categories it is of."""
+    import ahocorasick
+
+    of: dict[str, list[int]] = {}
+    for i, words in enumerate(fixed.CATEGORIES.values()):
+        for w in words:
+            of.setdefault(w, []).append(i)
+    found = ahocorasick.Automaton()
+    for number, (w, places) in enumerate(of.items()):
+        found.add_word(w, (number, len(w), places))
+    found.make_automaton()
+    return found, list(fixed.CATEGORIES)
+
+
+def _category(text: str) -> str:
+    automaton, names = _keywords()
+    seen, hits = set(), [0] * len(names)
+    for end, (number, length, places) in automaton.iter(text):
+        # Boundaries are looked at where a keyword ends in the text, and no more once it is known to be there.
+        if number not in seen and (end + 1 == len(text) or not _inside(text[end + 1])) and (end + 1 == length or not _inside(text[end - length])):
+            seen.add(number)
+            for i in places:
+                hits[i] += 1
+    most = max(hits)
+    return names[hits.index(most)] if most else "general"
 
 
 def topic_words(df: DataFrame, key: str, text: str, most: int = 40) -> DataFrame:

@@ -5,25 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webgrain.session import saved
+
+
+def in_blocks(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows in the order of key and ``order``, cut in even blocks, and the count of each key's rows in each block.
+
+    Rows get their key's digest ``_k``, the block ``_p`` and their number ``_rn`` (from 0) in
+    the block; sizes are ``_k, _p, _n, _before``, the last being the key's rows in earlier
+    blocks. Blocks are ranges of the sorted table, so a key with most of the rows is many
+    blocks, and no task gets more than one.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Nulls are a key of their own.
+    digest = F.struct(*(F.col(k) for k in keys))
+    rows = df.withColumn("_k", digest).repartitionByRange(n, "_k", *order).withColumn("_p", F.spark_partition_id())
+    rows = saved(rows)
+    inside = Window.partitionBy("_k", "_p").orderBy(*order)
+    rows = rows.withColumn("_rn", (F.row_number().over(inside) - 1).cast("long"))
+    sizes = rows.groupBy("_k", "_p").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    return rows, sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+
+
+def beside(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows with what is known of their block."""
+    named = blocks.withColumnsRenamed({"_k": "_k2", "_p": "_p2"})
+    return rows.join(named, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_p") == F.col("_p2"))).drop("_k2", "_p2")
+
 
 def politeness(df: DataFrame, host: str, arrival: str, gap: int, order: str) -> DataFrame:
     """``start`` of each request: its arrival, or ``gap`` after the previous start of its host, whichever is later.
 
     ``arrival`` is a long (for example milliseconds). The recurrence has a closed form:
     with rn requests before it, start = gap * rn + the running maximum of arrival - gap * rn.
+    It is scanned by blocks: a block is told by its count and its greatest slack, which
+    add up over the blocks before, so that no task gets all requests of a host.
     """
-    by = Window.partitionBy(host).orderBy(arrival, order)
-    rn = (F.row_number().over(by) - 1).cast("long")
-    slack = F.col(arrival) - F.lit(gap).cast("long") * F.col("_rn")
-    ranked = df.withColumn("_rn", rn)
-    start = F.lit(gap).cast("long") * F.col("_rn") + F.max(slack).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("start", start).drop("_rn")
+    rows, sizes = in_blocks(df, [host], [arrival, order])
+    step = F.lit(gap).cast("long")
+    slack = F.col(arrival) - step * F.col("_rn")
+    inside = Window.partitionBy("_k", "_p").orderBy(arrival, order).rowsBetween(Window.unboundedPreceding, 0)
+    tops = rows.groupBy(F.col("_k").alias("_k3"), F.col("_p").alias("_p3")).agg(F.max(slack).alias("_top"))
+    blocks = sizes.join(tops, F.col("_k").eqNullSafe(F.col("_k3")) & (F.col("_p") == F.col("_p3"))).drop("_k3", "_p3")
+    earlier = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_prior", F.max(F.col("_top") - step * F.col("_before")).over(earlier)).drop("_top", "_n")
+    scanned = beside(rows.withColumn("_own", F.max(slack).over(inside)), blocks)
+    # greatest() passes over the null of a host's first block.
+    start = step * (F.col("_before") + F.col("_rn")) + F.greatest(F.col("_prior"), F.col("_own") - step * F.col("_before"))
+    return scanned.withColumn("start", start).select(*df.columns, "start")
 
 
 def quota(df: DataFrame, key: str, ts: str, limit: int, period: str = "day", order: str | None = None) -> DataFrame:
-    """``df`` with ``admitted``: the first ``limit`` calls of each key and UTC period; refused calls use nothing up."""
-    by = Window.partitionBy(key, F.date_trunc(period, F.col(ts))).orderBy(ts, *([order] if order else []))
-    return df.withColumn("admitted", F.row_number().over(by) <= limit)
+    """``df`` with ``admitted``: the first ``limit`` calls of each key and UTC period; refused calls use nothing up. Counted by blocks."""
+    rows, sizes = in_blocks(df.withColumn("_period", F.date_trunc(period, F.col(ts))), [key, "_period"], [ts, *([order] if order else [])])
+    return beside(rows, sizes).withColumn("admitted", F.col("_before") + F.col("_rn") < limit).select(*df.columns, "admitted")
 
 
 def evict(entries: DataFrame, now: Column, ttl: int, cap: int, group: str | None = None) -> DataFrame:
@@ -55,18 +91,61 @@ def visited_fifo(df: DataFrame, key: str, order: str, most: int = 20_000, keep:
 
     The list grows one by one and is cut each time it holds ``most`` + 1, so the number left follows from the total.
     """
-    by = Window.partitionBy(key)
-    total = F.count("*").over(by)
-    cycle = most + 1 - keep
+    rows, sizes = in_blocks(df, [key], [order])
+    whole = Window.partitionBy("_k")
+    total, cycle = F.col("_total"), most + 1 - keep
     left = F.when(total <= most, total).otherwise(keep + (total - most - 1) % cycle)
-    place = F.row_number().over(by.orderBy(F.col(order).desc()))
-    return df.withColumn("_left", left).withColumn("_n", place).where(F.col("_n") <= F.col("_left")).drop("_left", "_n")
+    blocks = sizes.withColumn("_total", F.sum("_n").over(whole)).withColumn("_gone", total - left).where(F.col("_before") + F.col("_n") > F.col("_gone"))
+    return beside(rows, blocks).where(F.col("_before") + F.col("_rn") >= F.col("_gone")).select(*df.columns)
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: tuple[float, ...], few: int = 10_000, bins: int = 1024) -> DataFrame:
+    """``key, share, quantile, n, top``: exact quantiles, linear between ranks, the count and the maximum of each key, by distributed selection.
+
+    The ranks asked for are looked for in a range of values each, at first the key's
+    whole one. A histogram of the range, which tasks add up before they meet, tells the
+    bin that holds the rank, and that bin is the next range, until at most ``few`` values
+    are left or all are equal. So no task ever gets the values of a key. Nulls take no part.
+    """
+    values = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    ends = values.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = saved(ends)
+    at = lambda s: F.lit(s) * (F.col("n") - 1)
+    ranks = F.explode(F.array(*(f(at(s)).cast("long") for s in shares for f in (F.floor, F.ceil))))
+    open_ = saved(ends.select("k", "lo", "hi", F.col("n").alias("left"), ranks.alias("rank")).distinct().withColumn("target", F.col("rank")))
+    done = None
+    while True:
+        here = F.col("k").eqNullSafe(F.col("k2"))
+        closed = open_.where((F.col("left") <= few) | (F.col("lo") == F.col("hi")))
+        done = closed if done is None else done.union(closed)
+        open_ = open_.where((F.col("left") > few) & (F.col("lo") < F.col("hi")))
+        if open_.isEmpty():
+            break
+        place = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"))
+        met = values.withColumnRenamed("k", "k2").join(open_, here & F.col("v").between(F.col("lo"), F.col("hi")))
+        hist = met.groupBy("k", "target", "rank", place.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        up_to = Window.partitionBy("k", "target").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        told = hist.withColumn("end", F.sum("c").over(up_to)).where((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("c")))
+        open_ = saved(told.select("k", F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("c").alias("left"), (F.col("rank") - F.col("end") + F.col("c")).alias("rank"), "target"))
+    done = saved(done)
+    same = done.where("lo = hi").select("k", "target", F.col("lo").alias("found"))
+    met = values.withColumnRenamed("k", "k2").join(done.where("lo < hi"), F.col("k").eqNullSafe(F.col("k2")) & F.col("v").between(F.col("lo"), F.col("hi")))
+    sorted_ = met.groupBy("k", "target", "rank").agg(F.sort_array(F.collect_list("v")).alias("vs")).select("k", "target", F.element_at("vs", (F.col("rank") + 1).cast("int")).alias("found"))
+    found = saved(same.union(sorted_))
+    wanted = ends.select("k", "n", "hi", F.explode(F.array(*map(F.lit, shares))).alias("share")).withColumn("at", F.col("share") * (F.col("n") - 1))
+    for name, f in (("low", F.floor), ("high", F.ceil)):
+        other = found.select(F.col("k").alias("k2"), "target", F.col("found").alias(name))
+        wanted = wanted.join(other, F.col("k").eqNullSafe(F.col("k2")) & (f("at").cast("long") == F.col("target"))).drop("k2", "target")
+    part = F.col("at") - F.floor("at")
+    return wanted.select(F.col("k").alias(key), "share", (F.col("low") + (F.col("high") - F.col("low")) * part).alias("quantile"), "n", F.col("hi").alias("top"))
 
 
 def latency_percentiles(df: DataFrame, key: str, value: str) -> DataFrame:
     """p50, p95, p99 (linear between ranks) and maximum of each key, in milliseconds with one decimal."""
-    v = F.col(value) * 1000
-    return df.groupBy(key).agg(*(F.round(F.percentile(v, q), 1).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)), F.round(F.max(v), 1).alias("max"))
+    shares = (0.5, 0.95, 0.99)
+    told = quantiles(df.select(key, (F.col(value) * 1000).alias("_v")), key, "_v", shares)
+    each = (F.round(F.max(F.when(F.col("share") == q, F.col("quantile"))), 1).alias(f"p{round(q * 100)}") for q in shares)
+    return told.groupBy(key).agg(*each, F.round(F.max("top"), 1).alias("max"))
 
 
 def nearest_rank(df: DataFrame, key: str, value: str, q: float, most: int = 2000, order: str = "event_id") -> DataFrame:

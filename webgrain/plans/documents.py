@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webgrain.functions import fixed, text, urls
-from webgrain.operators import ranking, records, schedule
+from webgrain.operators import postings, ranking, records, schedule
 from webgrain.plans.registry import register, table
 
 QUERY = "the thing of reading and ending thous"
@@ -62,6 +62,24 @@ def bm25_top_k(spark, sf_dir):
     return ranking.top_ranked(bm25_scores(spark, sf_dir), 20)
 
 
+MANY_SQL = f"""
+WITH d AS (SELECT doc_id, {TERMS_SQL} AS t FROM documents),
+s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+f AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY ALL),
+g AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark),
+r AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN f USING (term) JOIN g USING (term), s GROUP BY ALL)
+SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10
+"""
+
+
+@register("bm25_of_many_queries", MANY_SQL)
+def bm25_of_many_queries(spark, sf_dir):
+    index = postings.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    best, _ = postings.search_all(index, table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return best.withColumnRenamed("doc", "doc_id")
+
+
 @register("topic_words", f"""
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, word) AS INTEGER) AS rank FROM (
   SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents)
