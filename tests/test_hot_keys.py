@@ -116,3 +116,35 @@ def test_categories_in_one_pass(spark):
     best = F.array_max(F.array(*plain))
     rows = frame.select("t", ranking.category(F.col("t")).alias("got"), F.when(best["hits"] > 0, best["name"]).otherwise("general").alias("want")).collect()
     assert [(r["t"], r["got"]) for r in rows] == [(r["t"], r["want"]) for r in rows]
+
+
+def plain_greedy(rows):
+    seen, kept = set(), {}
+    for i, keys in sorted(rows):
+        kept[i] = not (set(keys) & seen)
+        if kept[i]:
+            seen |= set(keys)
+    return kept
+
+
+@pytest.mark.parametrize("kind", ["chain", "mixed", "hot"])
+def test_greedy_dedupe_settles(spark, kind):
+    """Each row of a chain shares a key with the one before it; rounds grow with the logarithm of its length."""
+    from webgrain.operators import records
+
+    rng = random.Random(2)
+    if kind == "chain":
+        rows = [(i, [f"u{i}", f"u{i + 1}"]) for i in range(3000)]
+    elif kind == "mixed":
+        rows = [(i, [f"u{rng.randrange(120)}", f"v{rng.randrange(120)}"]) for i in range(400)]
+    else:
+        rows = [(i, ["same" if i % 3 else f"u{i % 50}", f"v{i % 40}"]) for i in range(900)]
+    order = {k: n for n, k in enumerate(sorted({k for _, keys in rows for k in keys}))}
+    data = [(i, f"10.1/{order[a]}", None, f"t{b}" if kind != "chain" else None, None, None, None) for i, (a, b) in rows]
+    if kind == "chain":
+        # Both ends of a link are in the same space of keys: a DOI here is a DOI there.
+        data = [(i, f"10.1/{i // 2}", f"http://h/{(i + 1) // 2}", None, None, None, None) for i, _ in rows]
+        rows = [(i, [f"d{i // 2}", f"u{(i + 1) // 2}"]) for i, _ in rows]
+    frame = spark.createDataFrame(data, "ord int, doi string, url string, title string, snippet string, summary string, description string")
+    got = {r["ord"]: r["kept"] for r in records.greedy_dedupe(frame).collect()}
+    assert got == plain_greedy(rows)

@@ -36,13 +36,15 @@ def dedupe_keys(by: tuple[str, ...]) -> dict[str, Column]:
     return {k: keys[k] for k in by}
 
 
-def greedy_dedupe(df: DataFrame, by: tuple[str, ...] = ("doi", "url", "hash"), order: str = "ord", group: str | None = None, rounds: int = 100) -> DataFrame:
+def greedy_dedupe(df: DataFrame, by: tuple[str, ...] = ("doi", "url", "hash"), order: str = "ord", group: str | None = None) -> DataFrame:
     """``df`` with ``kept``, ``reason`` and ``match``: a row is dropped if one of its keys is a key of a row kept before it.
 
-    The rule is sequential (dropped rows claim no keys) but settles in rounds: the first
-    undecided row of all its keys is kept, and undecided rows that share a key with a
-    kept earlier row are dropped. A round decides many rows at once; only (key, order)
-    pairs are shuffled. Rows without keys are kept. ``group`` confines keys to a group.
+    The rule is sequential (dropped rows claim no keys) but settles in rounds: undecided
+    rows that share a key with a kept earlier row are dropped, and those that are the
+    first undecided ones of all their keys are kept. A row with one undecided row before
+    it is kept if that one is not; such rows are followed to the end of their chain by
+    doubling, so a chain of n rows takes a logarithm of n joins. Only (key, order) pairs
+    are shuffled. Rows without keys are kept. ``group`` confines keys to a group.
     """
     from webgrain.session import saved
 
@@ -51,17 +53,8 @@ def greedy_dedupe(df: DataFrame, by: tuple[str, ...] = ("doi", "url", "hash"), o
     rows = saved(df.select("*", *(F.struct(F.lit(k).alias("field"), scope.alias("g"), c.alias("key")).alias(f"_k_{k}") for k, c in keys.items())))
     pairs = saved(rows.select(order, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_k_{k}").alias("k")) for i, k in enumerate(by)))).alias("e")).select(order, "e.i", "e.k").where("k.key is not null"))
     decided = pairs.select(order).distinct().select(order, F.lit(None).cast("boolean").alias("kept"))
-    for _ in range(rounds):
-        state = pairs.join(decided, order)
-        by_key = state.groupBy("k").agg(F.min(F.when(F.col("kept"), F.col(order))).alias("winner"), F.min(F.when(F.col("kept").isNull(), F.col(order))).alias("next"))
-        open_rows = state.where("kept is null").join(by_key, "k")
-        verdict = open_rows.groupBy(order).agg(F.bool_or(F.coalesce(F.col("winner") < F.col(order), F.lit(False))).alias("lost"), F.bool_and(F.coalesce(F.col("next") == F.col(order), F.lit(False))).alias("first"))
-        verdict = verdict.select(order, F.when(F.col("lost"), False).when(F.col("first"), True).alias("new"))
-        decided = saved(decided.join(verdict, order, "left").select(order, F.coalesce("kept", "new").alias("kept")))
-        if decided.where("kept is null").isEmpty():
-            break
-    else:
-        raise RuntimeError("de-duplication did not settle")
+    while not decided.where("kept is null").isEmpty():
+        decided = saved(decided.join(_verdicts(pairs, decided, order), order, "left").select(order, F.coalesce("kept", "new").alias("kept")))
     winners = pairs.join(decided.where("kept"), order).groupBy("k").agg(F.min(order).alias("winner"))
     hit = pairs.join(winners, "k").where(F.col("winner") < F.col(order)).groupBy(order).agg(F.min(F.struct("i", "k")).alias("hit"))
     out = rows.drop(*(f"_k_{k}" for k in by)).join(decided, order, "left").join(hit, order, "left")
@@ -69,6 +62,36 @@ def greedy_dedupe(df: DataFrame, by: tuple[str, ...] = ("doi", "url", "hash"), o
     return out.select(*df.columns, kept.alias("kept"), F.when(~kept, F.col("hit.k.field")).alias("reason"), F.when(~kept, F.col("hit.k.key")).alias("match"))
 
 
+def _verdicts(pairs: DataFrame, decided: DataFrame, order: str) -> DataFrame:
+    """``order, new`` of rows that ``greedy_dedupe`` can decide now, among them the first of all undecided ones."""
+    from webgrain.session import saved
+
+    state = pairs.join(decided, order)
+    won = state.where("kept").groupBy("k").agg(F.min(order).alias("winner"))
+    open_ = state.where("kept is null").join(won, "k", "left").select(order, "k", F.coalesce(F.col("winner") < F.col(order), F.lit(False)).alias("behind"))
+    lost = saved(open_.groupBy(order).agg(F.bool_or("behind").alias("lost")))
+    rest = saved(open_.join(lost.where("not lost"), order, "left_semi").select(order, "k"))
+    # Of each key the first and the second row; both are minima, so a frequent key is no burden.
+    ahead = rest.groupBy("k").agg(F.min(order).alias("a"))
+    placed = rest.join(ahead, "k")
+    second = placed.where(F.col(order) > F.col("a")).groupBy("k").agg(F.min(order).alias("b"))
+    placed = placed.join(second, "k", "left").select(order, F.when(F.col(order) > F.col("a"), F.col("a")).alias("parent"), (F.col(order) > F.coalesce("b", F.col(order))).alias("later"))
+    each = placed.groupBy(order).agg(F.min("parent").alias("low"), F.max("parent").alias("high"), F.bool_or("later").alias("later"))
+    first = F.col("high").isNull()
+    # ``to`` is the row that a row hangs on, and ``same`` if it shares its fate; a row that hangs on none or on several is the end of its chains.
+    alone = ~first & ~F.col("later") & (F.col("low") == F.col("high"))
+    chain = saved(each.select(order, F.when(alone, F.col("low")).otherwise(F.col(order)).alias("to"), (~alone).alias("same"), first.alias("first")))
+    while True:
+        on = chain.select(F.col(order).alias("_o"), F.col("to").alias("_to"), F.col("same").alias("_same"))
+        longer = saved(chain.join(on, F.col("to") == F.col("_o")).select(order, F.col("_to").alias("to"), (F.col("same") == F.col("_same")).alias("same"), "first", (F.col("_to") != F.col("to")).alias("moved")))
+        chain = longer.drop("moved")
+        if longer.where("moved").isEmpty():
+            break
+    ends = chain.where("first").select(F.col(order).alias("_o"))
+    told = chain.join(ends, F.col("to") == F.col("_o")).select(order, F.col("same").alias("new"))
+    return lost.where("lost").select(order, F.lit(False).alias("new")).union(told)
+
+
 def merge_key(record_doi: Column, url: Column, arxiv: Column, source: Column, id_: Column) -> Column:
     """``doi:`` or ``arxiv:`` key of a scholarly record; null keeps it apart."""
     doi = normal_doi(F.coalesce(F.when(record_doi != "", record_doi), url))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from webgrain.plans.made import made, rows_sql, typed
-from webgrain.plans.registry import register
+from webgrain.plans.registry import golden
 from webgrain.sources import providers
 
 COLUMNS = ("id", "title", "url", "doi", "published", "authors", "snippet")
@@ -25,7 +25,7 @@ def answer(name: str, body, *rows: tuple, field: str | None = None, most: int =
         more = [F.element_at("fields", F.lit(field)).alias(field)] if field else []
         return out.select("pos", *COLUMNS, *more)
 
-    register(f"answer_{name.replace('-', '_')}{suffix}", sql)(query)
+    golden(f"answer_{name.replace('-', '_')}{suffix}", sql)(query)
 
 
 answer("semanticscholar", {"data": [{"paperId": "p1", "title": "T", "url": "u", "externalIds": {"DOI": "10.1/a"}, "publicationDate": "2024-01-02", "year": 2024, "authors": [{"name": "A B"}, {"name": None}, {"name": "C"}], "abstract": "<b>An</b>  abstract", "venue": "V", "citationCount": 3}, {"paperId": "p2", "title": None, "year": 2020, "authors": []}]},
@@ -72,7 +72,7 @@ answer("github", {"items": [{"full_name": "a"}, {"full_name": "b"}]}, ("a", "a",
 
 
 def text_query(name: str, columns: str, rows: list[tuple], **types: str):
-    return register(name, typed(rows_sql(columns, *rows), **types) if types else rows_sql(columns, *rows))
+    return golden(name, typed(rows_sql(columns, *rows), **types) if types else rows_sql(columns, *rows))
 
 
 @text_query("stock_notes", "title, snippet", [("slow down", "slow down"), ("acme", "")])
@@ -149,7 +149,7 @@ def answers_source(spark, sf_dir):
     """Bodies through a data source in two partitions, then as records."""
     from webgrain.sources import answers
 
-    answers.register(spark)
+    answers.golden(spark)
     bodies = json.dumps([json.dumps({"items": [{"title": t}]}) for t in "abc"])
     read = spark.read.format("answers").option("bodies", bodies).option("partitions", "2").load()
     return providers.records(read, "google").select("request", "title")

@@ -7,7 +7,7 @@ from xml.etree import ElementTree
 from pyspark.sql import functions as F
 
 from webgrain.plans.made import made, rows_sql, typed
-from webgrain.plans.registry import register, table
+from webgrain.plans.registry import golden, register, table
 from webgrain.sources import articles
 
 ARTICLE = """<?xml version="1.0"?><!DOCTYPE article PUBLIC "-//X//EN" "x.dtd" [<!ENTITY a "b">]>
@@ -61,7 +61,7 @@ Thanks.
 - [`ref02`] Second"""
 
 
-@register("article_markdown", typed(rows_sql("id, title, markdown, formulas, figures, tables, error", (1, "On *Spark* joins", TEXT, 2, 1, 1, None), (2, None, None, None, None, None, "not an article"), (3, None, None, None, None, None, "not readable: ParseError"), (4, None, None, None, None, None, "not readable: ParseError")), id="BIGINT", formulas="INTEGER", figures="INTEGER", tables="INTEGER"))
+@golden("article_markdown", typed(rows_sql("id, title, markdown, formulas, figures, tables, error", (1, "On *Spark* joins", TEXT, 2, 1, 1, None), (2, None, None, None, None, None, "not an article"), (3, None, None, None, None, None, "not readable: ParseError"), (4, None, None, None, None, None, "not readable: ParseError")), id="BIGINT", formulas="INTEGER", figures="INTEGER", tables="INTEGER"))
 def article_markdown(spark, sf_dir):
     rows = made(spark, "id long, xml string", (1, ARTICLE), (2, "<html/>"), (3, "<article>"), (4, None))
     out = articles.article_markdown(articles.article_blocks(rows, "id", "xml"), "id")
@@ -81,7 +81,7 @@ FORMULAS = (
 )
 
 
-@register("formulas_as_tex", rows_sql("tex", *((t,) for _, t in FORMULAS)))
+@golden("formulas_as_tex", rows_sql("tex", *((t,) for _, t in FORMULAS)))
 def formulas_as_tex(spark, sf_dir):
     @F.udf("string")
     def tex(xml):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from webgrain.functions.text import looks_like_text
 from webgrain.operators import graph, guard, html, ranking, reading, research
 from webgrain.plans.made import made, rows_sql, typed
-from webgrain.plans.registry import register, table
+from webgrain.plans.registry import golden, register, table
 from webgrain.session import shared
 from webgrain.sources import sinks
 
@@ -24,7 +24,7 @@ def sliced_markdown(spark, sf_dir):
     return s.select("doc_id", F.md5("s.content").alias("content"), "s.next_offset", "s.has_more")
 
 
-@register("slices_of_a_text", typed(rows_sql("start, content, next_offset, has_more", (0, "aaaaaa", 6, True), (6, "\n\nbb", 10, False), (99, "", 10, False), (-5, "aaaaaa", 6, True)), start="INTEGER", next_offset="INTEGER"))
+@golden("slices_of_a_text", typed(rows_sql("start, content, next_offset, has_more", (0, "aaaaaa", 6, True), (6, "\n\nbb", 10, False), (99, "", 10, False), (-5, "aaaaaa", 6, True)), start="INTEGER", next_offset="INTEGER"))
 def slices_of_a_text(spark, sf_dir):
     rows = made(spark, "start int, md string", *((o, "aaaaaa\n\nbb") for o in (0, 6, 99, -5)))
     return rows.select("start", reading.sliced(F.col("md"), F.col("start"), chars=9).alias("s")).select("start", "s.content", "s.next_offset", "s.has_more")
@@ -41,12 +41,12 @@ MODES = ("static", "browser", "auto")
 WANTED = {"static": ("static-only",) * 3, "browser": ("browser-first",) * 3, "auto": ("static-only", "browser-only", "auto")}
 
 
-@register("fetch_strategies", rows_sql("mode, smart, strategy", *((m, s, WANTED[s][i]) for i, m in enumerate(MODES) for s in MODES)))
+@golden("fetch_strategies", rows_sql("mode, smart, strategy", *((m, s, WANTED[s][i]) for i, m in enumerate(MODES) for s in MODES)))
 def fetch_strategies(spark, sf_dir):
     return made(spark, "mode string, smart string", *((m, s) for m in MODES for s in MODES)).select("mode", "smart", reading.strategy(F.col("mode"), F.col("smart")).alias("strategy"))
 
 
-@register("sparse_json", rows_sql("raw, lean", ('{"a":null,"b":[],"c":{},"d":[null,{"e":null}]}', '{"c":{},"d":[null,{}]}'), ('{"a":[[],1],"b":{"c":[{"d":[]}]}}', '{"a":[[],1],"b":{"c":[{}]}}'), ("[]", "[]"), ("no", None)))
+@golden("sparse_json", rows_sql("raw, lean", ('{"a":null,"b":[],"c":{},"d":[null,{"e":null}]}', '{"c":{},"d":[null,{}]}'), ('{"a":[[],1],"b":{"c":[{"d":[]}]}}', '{"a":[[],1],"b":{"c":[{}]}}'), ("[]", "[]"), ("no", None)))
 def sparse_json(spark, sf_dir):
     raw = ('{"a":null,"b":[],"c":{},"d":[null,{"e":null}]}', '{"a":[[],1],"b":{"c":[{"d":[]}]}}', "[]", "no")
     return made(spark, "raw string", *((r,) for r in raw)).select("raw", reading.sparse(F.col("raw")).alias("lean"))
@@ -88,7 +88,7 @@ SHEETS = "array<struct<title:string,rows:array<array<string>>>>"
 BOOK = [("One", [["a", "b,c"], ["1", 'say "x"'], []]), (None, [["only"]]), ("Empty", [])]
 
 
-@register("spreadsheet_text", rows_sql("csv, js", ('## One\n\na,"b,c"\n1,"say ""x"""\n\n## Section 2\n\nonly', '[{"sheet":"One","headers":["a","b,c"],"rows":[["1","say \\"x\\""]]},{"sheet":"Section 2","headers":["only"],"rows":[]}]')))
+@golden("spreadsheet_text", rows_sql("csv, js", ('## One\n\na,"b,c"\n1,"say ""x"""\n\n## Section 2\n\nonly', '[{"sheet":"One","headers":["a","b,c"],"rows":[["1","say \\"x\\""]]},{"sheet":"Section 2","headers":["only"],"rows":[]}]')))
 def spreadsheet_text(spark, sf_dir):
     return made(spark, f"s {SHEETS}", (BOOK,)).select(reading.sheet_csv(F.col("s")).alias("csv"), reading.sheet_json(F.col("s")).alias("js"))
 
@@ -100,7 +100,7 @@ def extracted_texts(spark, sf_dir):
     return reading.extracted(files).select("path", "kind", F.md5("text").alias("text_md5"))
 
 
-@register("extracted_kinds", rows_sql("path, kind, text", ("a.html", "page", "# T\n\nx"), ("b.json", "json", '{\n  "a": 1\n}'), ("c.json", "json", "no json"), ("d.txt", "text", "mark"), ("e.pdf", None, None)))
+@golden("extracted_kinds", rows_sql("path, kind, text", ("a.html", "page", "# T\n\nx"), ("b.json", "json", '{\n  "a": 1\n}'), ("c.json", "json", "no json"), ("d.txt", "text", "mark"), ("e.pdf", None, None)))
 def extracted_kinds(spark, sf_dir):
     rows = (("a.html", "<h1>T</h1><p>x"), ("b.json", '{"a":1}'), ("c.json", "no json"), ("d.txt", "﻿mark"), ("e.pdf", "%PDF"))
     return reading.extracted(made(spark, "path string, content string", *rows).withColumn("content", F.encode("content", "UTF-8")))
@@ -113,7 +113,7 @@ def fitted_payloads(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(~out.contains("..."), 0).otherwise(F.length(out) - 7).cast("int").alias("cut"))
 
 
-@register("fitted_overflow", rows_sql("n, payload", (1, '["aaaa"]'), (9, '{"error":"too large"}')))
+@golden("fitted_overflow", rows_sql("n, payload", (1, '["aaaa"]'), (9, '{"error":"too large"}')))
 def fitted_overflow(spark, sf_dir):
     rows = made(spark, "n int, t array<string>", (1, ["aaaa"]), (9, ["b" * 300] * 9))
     return rows.select("n", reading.fitted(F.col("t"), 500).alias("payload"))
@@ -143,7 +143,7 @@ def cached_pages(spark, sf_dir):
     return sinks.get_from_cache(spark, pages, path, 10_000, 6000).join(pages.select("key", "page_id"), "key").select("page_id", "value")
 
 
-@register("cache_keys", rows_sql("raw, key", ("http://a/", "010c2ffe356236164728378f86adb419"), (None, None)))
+@golden("cache_keys", rows_sql("raw, key", ("http://a/", "010c2ffe356236164728378f86adb419"), (None, None)))
 def cache_keys(spark, sf_dir):
     return made(spark, "raw string", ("http://a/",), (None,)).select("raw", sinks.cache_key(F.col("raw")).alias("key"))
 
@@ -153,7 +153,7 @@ def inspected_pages(spark, sf_dir):
     return reading.inspected(table(spark, sf_dir, "pages"), "the thing of reading")
 
 
-@register("inspected_made_page", typed(rows_sql("title, markdown, selected, next_offset, has_more, follows", ("T", "# Joins\n\nspark joins [a](http://h/d/a)", 1, None, False, "http://h/d/a:page"), ("U", "x [b](http://h/b.pdf)", 0, 21, False, "http://h/b.pdf:document")), selected="INTEGER", next_offset="INTEGER"))
+@golden("inspected_made_page", typed(rows_sql("title, markdown, selected, next_offset, has_more, follows", ("T", "# Joins\n\nspark joins [a](http://h/d/a)", 1, None, False, "http://h/d/a:page"), ("U", "x [b](http://h/b.pdf)", 0, 21, False, "http://h/b.pdf:document")), selected="INTEGER", next_offset="INTEGER"))
 def inspected_made_page(spark, sf_dir):
     rows = ((1, "http://h/d/", "<html><head><title>T</title></head><body><h1>Other</h1><p>nothing</p><h1>Joins</h1><p>spark joins <a href='a'>a</a></p></body></html>"), (2, "http://h/d", "<html><head><title>U</title></head><body><p>x <a href='b.pdf'>b</a></body></html>"))
     out = reading.inspected(made(spark, "page_id long, url string, html string", *rows), "spark joins")
@@ -166,14 +166,14 @@ META = """<html><head><link rel="manifest" href="/m.json"><link rel="alternate"
 <p typeof="Product"><i property="price" content="5">five</i></p></body></html>"""
 
 
-@register("structured_metadata", typed(rows_sql("page_id, microdata, microformats, rdfa, manifest, oembed", (1, '[{"type":["http://schema.org/Person"],"properties":{"name":["Ann"],"address":[{"type":[""],"properties":{"city":["Rome"]}}]}}]', '[{"type":["h-card"],"properties":{"name":["http://ann/"],"url":["http://ann/"],"bday":["2000-01-02"]}}]', '[{"type":["Product"],"properties":{"price":["5"]}}]', "/m.json", "http://o/?a=1&b=2 json T,http://o/x xml"), (2, None, None, None, None, "")), page_id="BIGINT"))
+@golden("structured_metadata", typed(rows_sql("page_id, microdata, microformats, rdfa, manifest, oembed", (1, '[{"type":["http://schema.org/Person"],"properties":{"name":["Ann"],"address":[{"type":[""],"properties":{"city":["Rome"]}}]}}]', '[{"type":["h-card"],"properties":{"name":["http://ann/"],"url":["http://ann/"],"bday":["2000-01-02"]}}]', '[{"type":["Product"],"properties":{"price":["5"]}}]', "/m.json", "http://o/?a=1&b=2 json T,http://o/x xml"), (2, None, None, None, None, "")), page_id="BIGINT"))
 def structured_metadata(spark, sf_dir):
     pages = made(spark, "page_id long, html string", (1, META), (2, None))
     out = html.structured(pages, "page_id", "html").join(html.embeds(pages, "page_id", "html"), "page_id")
     return out.withColumn("oembed", F.array_join(F.transform("oembed", lambda o: F.concat_ws(" ", o["href"], o["format"], o["title"])), ","))
 
 
-@register("page_metadata_row", typed(rows_sql("title, description, lang, charset, canonical, og, dc, rels, jsonld", ("A & B", "d", "en", "utf-8", "http://c/", "title=O;type=t", "creator=X", "canonical,icon", 1), (None, None, None, None, "http://v", "", "", "", 0)), jsonld="INTEGER"))
+@golden("page_metadata_row", typed(rows_sql("title, description, lang, charset, canonical, og, dc, rels, jsonld", ("A & B", "d", "en", "utf-8", "http://c/", "title=O;type=t", "creator=X", "canonical,icon", 1), (None, None, None, None, "http://v", "", "", "", 0)), jsonld="INTEGER"))
 def page_metadata_row(spark, sf_dir):
     page = """<html lang="en"><head><meta charset="utf-8"><title>A &amp; B</title><meta name="description" content="d"><link rel="canonical" href="http://c/"><link rel="icon" href="i"><link rel="icon" href="j">
 <meta property="og:title" content="O"><meta property="og:type" content="t"><meta property="og:title" content="second"><meta name="DC.creator" content="X"><script type="application/ld+json">{"@type":"Article"}</script><script type="application/ld+json">{bad</script></head></html>"""
@@ -182,20 +182,20 @@ def page_metadata_row(spark, sf_dir):
     return m.select("title", "description", "lang", "charset", "canonical", joined("opengraph").alias("og"), joined("dublin_core").alias("dc"), F.array_join(F.array_sort(F.map_keys("rel_links")), ",").alias("rels"), F.size("jsonld").alias("jsonld"))
 
 
-@register("anchor_context_rows", rows_sql("anchor, context", ("Link", "spark,joins,link,words"), ("none", ""), ("", "")))
+@golden("anchor_context_rows", rows_sql("anchor, context", ("Link", "spark,joins,link,words"), ("none", ""), ("", "")))
 def anchor_context_rows(spark, sf_dir):
     rows = made(spark, "anchor string, text string", *((a, "far away " * 20 + "spark joins LINK words spark") for a in ("Link", "none", "")))
     return rows.select("anchor", F.array_join(ranking.anchor_context(F.col("text"), F.col("anchor"), around=13), ",").alias("context"))
 
 
-@register("untrusted_rows", rows_sql("raw, clean", ("a\u200bb\x07c\td", "abc\td"), ("ﬁ①", "fi1"), (None, None)))
+@golden("untrusted_rows", rows_sql("raw, clean", ("a\u200bb\x07c\td", "abc\td"), ("ﬁ①", "fi1"), (None, None)))
 def untrusted_rows(spark, sf_dir):
     from webgrain.functions.text import untrusted
 
     return made(spark, "raw string", ("a\u200bb\x07c\td",), ("ﬁ①",), (None,)).select("raw", untrusted(F.col("raw")).alias("clean"))
 
 
-@register("text_gate_rows", rows_sql("place, is_text", ("head", False), ("middle", False), ("tail", False), ("nowhere", True), ("between", True)))
+@golden("text_gate_rows", rows_sql("place, is_text", ("head", False), ("middle", False), ("tail", False), ("nowhere", True), ("between", True)))
 def text_gate_rows(spark, sf_dir):
     """Control characters in the head, middle or tail window count; between the windows they don't."""
     plain, bad = "word " * 4000, "\x01" * 300
@@ -204,7 +204,7 @@ def text_gate_rows(spark, sf_dir):
     return made(spark, "place string, text string", *rows).select("place", looks_like_text(F.col("text")).alias("is_text"))
 
 
-@register("merged_guard_reports", typed(rows_sql("page, scopes, max_score, risk, flagged, chunks_scanned, elapsed_ms, action", (1, "body,title", 0.9123, "high", "3,8,20", 6, 1.7, "redact"), (2, "body", 0.0, "None", "", 1, 0.1, "annotate")), chunks_scanned="BIGINT", max_score="DOUBLE", elapsed_ms="DOUBLE", page="BIGINT"))
+@golden("merged_guard_reports", typed(rows_sql("page, scopes, max_score, risk, flagged, chunks_scanned, elapsed_ms, action", (1, "body,title", 0.9123, "high", "3,8,20", 6, 1.7, "redact"), (2, "body", 0.0, "None", "", 1, 0.1, "annotate")), chunks_scanned="BIGINT", max_score="DOUBLE", elapsed_ms="DOUBLE", page="BIGINT"))
 def merged_guard_reports(spark, sf_dir):
     rows = ((1, 0, "body", 0.91234, "high", [(20, 0.9), (3, 0.8)], 4, 1.25, "redact"), (1, 1, "title", 0.91234, "medium", [(8, 0.9)], 1, 0.25, "annotate"), (1, 2, "body", 0.5, "low", [], 1, 0.2, "annotate"), (2, 0, "body", 0.0, "low", [], 1, 0.1, "annotate"))
     reports = made(spark, "page long, n int, scope string, max_score double, risk string, flagged array<struct<offset:int,score:double>>, chunks_scanned long, elapsed_ms double, action string", *rows)
@@ -215,14 +215,14 @@ def merged_guard_reports(spark, sf_dir):
 CLUSTERS = [["deep", "learning", "neural"], ["join", "merge", "learning"]]
 
 
-@register("expanded_queries", rows_sql("base, query", ("learning", "learning,deep"), ("join,learning", "join,learning,merge,deep"), ("x", "x"), ("", "")))
+@golden("expanded_queries", rows_sql("base, query", ("learning", "learning,deep"), ("join,learning", "join,learning,merge,deep"), ("x", "x"), ("", "")))
 def expanded_queries(spark, sf_dir):
     rows = made(spark, "base string", ("learning",), ("join,learning",), ("x",), ("",))
     words = F.filter(F.split("base", ","), lambda w: w != "")
     return rows.select("base", F.array_join(graph.expanded(words, CLUSTERS), ",").alias("query"))
 
 
-@register("link_scores", "SELECT * FROM (VALUES (1, 1, round(0.7 * 1.0 / 1.5 + 0.3 * 1 / 3, 9)), (2, 4, round((0.7 * 2.0 / 2.5 + 0.3 * 0.5 / (2.0 + 0.5 + ln(1 + 4.5 / 0.5))) * 1.15, 9)), (3, 1, 0.0)) AS t(id, read, score)")
+@golden("link_scores", "SELECT * FROM (VALUES (1, 1, round(0.7 * 1.0 / 1.5 + 0.3 * 1 / 3, 9)), (2, 4, round((0.7 * 2.0 / 2.5 + 0.3 * 0.5 / (2.0 + 0.5 + ln(1 + 4.5 / 0.5))) * 1.15, 9)), (3, 1, 0.0)) AS t(id, read, score)")
 def link_scores(spark, sf_dir):
     idf = {"spark": 2.0, "docs": 0.5, "join": 1.0}
     rows = ((1, 1, "http://h/x", ["spark", "docs", "new"], ["spark", "join"], ["spark"], ["docs"], idf), (2, 4, "http://h/docs/x", ["spark", "docs", "new"], ["spark", "join"], ["spark"], ["docs"], idf), (3, 1, "http://h/x", [], [], [], [], idf))
@@ -249,12 +249,12 @@ def _search(spark, merge: bool):
     return research.searched(answers, old, merge=merge, now=F.timestamp_seconds(F.lit(150)), ttl=60.0)
 
 
-@register("searched_failover", rows_sql("query_id, place, url, title, origin", (1, 1, "http://a/?x", "A", "engine"), (1, 2, "http://b/", "B", "engine"), (2, 1, "http://old/", "Old", "cache"), (3, 1, "http://e/", "E", "engine")))
+@golden("searched_failover", rows_sql("query_id, place, url, title, origin", (1, 1, "http://a/?x", "A", "engine"), (1, 2, "http://b/", "B", "engine"), (2, 1, "http://old/", "Old", "cache"), (3, 1, "http://e/", "E", "engine")))
 def searched_failover(spark, sf_dir):
     return _search(spark, False)
 
 
-@register("searched_merged", rows_sql("query_id, place, url, title, origin", (1, 1, "http://a/?x", "A", "engine"), (1, 2, "http://b/", "B", "engine"), (1, 3, "http://c/", "C", "engine"), (2, 1, "http://old/", "Old", "cache"), (3, 1, "http://e/", "E", "engine")))
+@golden("searched_merged", rows_sql("query_id, place, url, title, origin", (1, 1, "http://a/?x", "A", "engine"), (1, 2, "http://b/", "B", "engine"), (1, 3, "http://c/", "C", "engine"), (2, 1, "http://old/", "Old", "cache"), (3, 1, "http://e/", "E", "engine")))
 def searched_merged(spark, sf_dir):
     return _search(spark, True)
 
@@ -262,7 +262,7 @@ def searched_merged(spark, sf_dir):
 _OF = (("scholarly", 0, "openalex"), ("scholarly", 1, "crossref"), ("legal", 0, "courtlistener"), ("general", 0, "web"))
 
 
-@register("category_research", typed(rows_sql("id, category, provider, error, title", (1, "scholarly", "openalex", None, "one"), (1, "scholarly", "openalex", None, "two"), (2, "scholarly", "crossref", None, "c"), (3, "legal", "courtlistener", None, None), (4, "nothing", None, "unknown category", None), (5, None, None, "unknown provider", None), (6, "legal", None, "provider of another category", None), (7, "general", "web", None, None)), error="VARCHAR"))
+@golden("category_research", typed(rows_sql("id, category, provider, error, title", (1, "scholarly", "openalex", None, "one"), (1, "scholarly", "openalex", None, "two"), (2, "scholarly", "crossref", None, "c"), (3, "legal", "courtlistener", None, None), (4, "nothing", None, "unknown category", None), (5, None, None, "unknown provider", None), (6, "legal", None, "provider of another category", None), (7, "general", "web", None, None)), error="VARCHAR"))
 def category_research(spark, sf_dir):
     asked = ((1, "a peer reviewed journal paper", None, None), (2, "anything", None, "crossref"), (3, "x", "legal", None), (4, "x", "nothing", None), (5, "x", None, "none"), (6, "x", "legal", "crossref"), (7, "hello", None, None))
     found = ((1, "openalex", 0, "one"), (1, "openalex", 1, "two"), (1, "openalex", 2, "cut"), (1, "crossref", 0, "no"), (2, "crossref", 0, "c"), (6, "crossref", 0, "no"))

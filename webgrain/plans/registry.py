@@ -13,6 +13,18 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
+#: Rules held against literal rows: tests run them, but they read no table and so are no queries.
+_GOLDEN: dict[str, tuple[Query, str]] = {}
+
+
+def golden(name: str, sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _GOLDEN[name] = f, sql
+        return f
+
+    return add
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[name] = f
@@ -29,11 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     # Each module registers its queries when it is first imported.
-    from webgrain.plans import answers, articles, documents, logs, made, pages, reading, streams  # noqa: F401
+    from webgrain.plans import answers, articles, documents, logs, made, pages, reading, streams, tables  # noqa: F401
 
     return dict(_QUERIES)
 
 
+def goldens() -> dict[str, tuple[Query, str]]:
+    queries()
+    return dict(_GOLDEN)
+
+
 def oracle_sql() -> dict[str, str]:
     queries()
     return dict(_SQL)

@@ -48,17 +48,42 @@ def _bare(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(body), r"\sxmlns(:\w+)?\s*=\s*\"[^\"]*\"", ""), r"(</?)[A-Za-z0-9]+:", "$1"), r"(?s)<\?.*?\?>|<!DOCTYPE[^>]*>", "")
 
 
+#: What is read of an RSS, RDF or Atom item; ``_bad`` is filled where it isn't XML.
+ITEM = "title string, link array<struct<_VALUE string, _href string, _rel string>>, pubDate string, updated string, published string, date string, description string, summary string, content string, encoded string, _bad string"
+
+
 def feed_items(feeds: DataFrame, key: str = "url", body: str = "body", most: int = 50) -> DataFrame:
-    """``key, pos, title, link, date, description, total`` of RSS, RDF and Atom items; ``total`` counts those beyond ``most`` too."""
+    """``key, pos, title, link, date, description, total`` of RSS, RDF and Atom items; ``total`` counts those beyond ``most`` too.
+
+    A feed is split into its items, and each is read as XML, so a large feed is never a
+    tree; references and CDATA are resolved by the reader. Of Atom's links the first
+    alternate one counts. What isn't well-formed is read by its tags instead.
+    """
     items = F.regexp_extract_all(_bare(F.coalesce(F.col(body), F.lit(""))), F.lit(r"(?s)(<(?:item|entry)\b.*?</(?:item|entry)>)"), F.lit(1))
     each = feeds.select(key, F.size(items).alias("total"), F.posexplode(F.slice(items, 1, most)).alias("pos", "_i"))
+    each = each.withColumn("_x", F.from_xml("_i", ITEM, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "valueTag": "_VALUE", "attributePrefix": "_"}))
+    each = each.withColumn("_ok", F.col("_x").isNotNull() & F.col("_x._bad").isNull())
 
-    def one(*names: str) -> Column:
-        found = [F.nullif(F.trim(F.regexp_replace(F.regexp_extract("_i", rf"(?s)<{n}\b[^>]*>(?:\s*<!\[CDATA\[)?(.*?)(?:\]\]>\s*)?</{n}>", 1), r"\s+", " ")), F.lit("")) for n in names]
-        return F.coalesce(*found)
+    def tidy(text: Column) -> Column:
+        return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
-    href = F.nullif(F.regexp_extract("_i", r"<link\b[^>]*href\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
-    return each.select(key, "pos", one("title").alias("title"), F.coalesce(one("link"), href).alias("link"), one("pubDate", "updated", "published", "date").alias("date"), one("description", "summary", "content").alias("description"), "total")
+    def one(*names: str) -> Column:
+        tagged = [tidy(_entities(F.regexp_extract("_i", rf"(?s)<{n}\b[^>]*>(?:\s*<!\[CDATA\[)?(.*?)(?:\]\]>\s*)?</{n}>", 1))) for n in names]
+        read = [tidy(F.col(f"_x.{n}")) for n in names if n != "link"]
+        return F.when(F.col("_ok"), F.coalesce(*read)).otherwise(F.coalesce(*tagged)) if read else F.coalesce(*tagged)
+
+    links = F.filter(F.transform("_x.link", lambda x: F.struct(F.coalesce(x["_rel"], F.lit("alternate")).alias("rel"), F.coalesce(tidy(x["_VALUE"]), tidy(x["_href"])).alias("to"))), lambda x: x["to"].isNotNull())
+    best = F.coalesce(F.get(F.filter(links, lambda x: x["rel"] == "alternate"), 0)["to"], F.get(links, 0)["to"])
+    href = tidy(_entities(F.regexp_extract("_i", r"<link\b[^>]*href\s*=\s*[\"']([^\"']*)[\"']", 1)))
+    link = F.when(F.col("_ok"), best).otherwise(F.coalesce(one("link"), href))
+    return each.select(key, "pos", one("title").alias("title"), link.alias("link"), one("pubDate", "updated", "published", "date").alias("date"), one("description", "summary", "content").alias("description"), "total")
+
+
+def _entities(text: Column) -> Column:
+    """References of XML in a text that isn't well-formed: the five names, each once."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
 
 
 def sitemap_urls(pages: DataFrame, roots: DataFrame, url: str = "url", body: str = "body", hops: int = 3, fetches: int = 10, each: int = 500, total: int = 1000) -> DataFrame:
