@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from webgrain.functions.urls import domain_of
 from webgrain.operators import records
 from webgrain.plans.registry import register, table
 from webgrain.sources import web
@@ -41,3 +42,20 @@ def feed_items_of_documents(spark, sf_dir):
     body = item(1, F.concat(F.lit("&lt;"), "source", F.lit("&gt;")), F.concat(F.lit("<description><![CDATA["), clean, F.lit("]]></description>")))
     feeds = docs.select("doc_id", F.concat(F.lit("<rss><channel>"), head, body, F.lit("</channel></rss>")).alias("body"))
     return web.feed_items(feeds, "doc_id").select("doc_id", "pos", "title", "link", "description", "total")
+
+
+#: A robots file for each host: literal rules, and rules with a star or a closing dollar.
+RULES = (("/", True), ("/fr/", False), ("/fr/8", True), ("/*page=", False), ("/*5$", False), ("/*5$", True), ("/e*/2", False), ("/de/1", False), ("/en/?", False), ("/*.html", False), ("/nowhere/", False))
+
+
+@register("robots_of_pages", f"""
+WITH u AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) AS r FROM pages),
+p AS (SELECT page_id, CASE WHEN r = '' OR r[1] = '?' THEN '/' || r ELSE r END AS path FROM u),
+v AS (SELECT * FROM (VALUES {", ".join(f"('{p}', {a}, '^{p.replace('?', chr(92) + '?').replace('.', chr(92) + '.').replace('*', '.*')}')" for p, a in RULES)}) v(rule, allow, pattern))
+SELECT page_id, coalesce((SELECT v.allow FROM v WHERE regexp_matches(p.path, v.pattern) ORDER BY length(v.rule) DESC, v.allow DESC LIMIT 1), true) AS allowed FROM p
+""")
+def robots_of_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", domain_of(F.col("url")).alias("host"))
+    body = "User-agent: *\n" + "\n".join(f"{'Allow' if a else 'Disallow'}: {p}" for p, a in RULES)
+    rules = web.robots_rules(pages.select("host").distinct().withColumn("body", F.lit(body)), "grain")
+    return web.robots_allowed(pages, rules).select("page_id", "allowed")

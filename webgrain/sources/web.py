@@ -35,13 +35,26 @@ def robots_rules(files: DataFrame, agent: str, host: str = "host", body: str = "
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, host: str = "host", url: str = "url") -> DataFrame:
-    """``urls`` with ``allowed``: the longest matching rule decides, allow wins a tie, no rule allows."""
+    """``urls`` with ``allowed``: the longest matching rule decides, allow wins a tie, no rule allows.
+
+    A rule is found by its literal beginning, the part before its first star or closing
+    dollar: paths are joined with the rules that begin like them, at the lengths that the
+    host's rules have. Only those with a star or dollar are then held against the whole
+    path. So a host may have any number of rules, and none of them is looked at twice.
+    """
     query = F.regexp_extract(url, r"\?[^#]*", 0)
     path = F.concat(F.when(path_of(F.col(url)) == "", "/").otherwise(path_of(F.col(url))), query)
-    lists = rules.where("path is not null").groupBy(host).agg(F.collect_list(F.struct(F.length("path").alias("n"), "allow", robots_pattern(F.col("path")).alias("p"))).alias("_rules"))
-    joined = urls.withColumn("_path", path).join(lists, host, "left")
-    best = F.array_max(F.filter("_rules", lambda r: F.regexp_like(F.col("_path"), r["p"])))
-    return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("_path", "_rules")
+    rows = urls.withColumn("_path", path)
+    written = rules.where("path is not null").select(F.col(host).alias("_h"), "allow", "path", F.length("path").alias("n"), F.regexp_extract(F.regexp_replace("path", r"\$$", ""), r"^[^*]*", 0).alias("_begin"))
+    written = written.groupBy("_h", "_begin", "path", "n").agg(F.bool_or("allow").alias("allow"))
+    lengths = written.groupBy("_h").agg(F.collect_set(F.length("_begin")).alias("_lengths"))
+    asked = rows.select(F.col(host).alias("_h"), "_path").distinct().join(lengths, "_h")
+    begun = asked.select("_h", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_n")).withColumn("_begin", F.substring(F.col("_path"), F.lit(1), F.col("_n")))
+    plain = ~F.col("path").contains("*") & ~F.col("path").endswith("$")
+    met = begun.join(written, ["_h", "_begin"]).where(plain | F.regexp_like("_path", robots_pattern(F.col("path"))))
+    best = met.groupBy("_h", "_path").agg(F.max(F.struct("n", "allow")).alias("_best")).withColumnRenamed("_path", "_p")
+    joined = rows.join(best, (F.col(host) == F.col("_h")) & (F.col("_path") == F.col("_p")), "left")
+    return joined.select(*urls.columns, F.coalesce("_best.allow", F.lit(True)).alias("allowed"))
 
 
 def _bare(body: Column) -> Column:
