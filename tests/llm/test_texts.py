@@ -207,6 +207,15 @@ def test_simhash_odd_rows(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("middle", [2, None])
+def test_simhash_links_lead_through_rows_without_an_id(spark, monkeypatch, middle):
+    """Three fingerprints, the first and the last eight bits apart, with one between them."""
+    fps = spark.createDataFrame([(1, [0]), (middle, [0b1111]), (3, [0b11111111]), (None, [-1])], "doc_id bigint, fp array<bigint>")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: fps)
+    got = sorted((r["fp"][0], r["component_id"]) for r in simhash.near_duplicates(fps.withColumn("text", F.lit(""))).collect())
+    assert [(f, c) for f, c in got if f >= 0] == [(0, 1), (15, 1), (255, 1)] and got[0] == (-1, None)
+
+
 def test_drop_near_duplicates(spark, real):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(5000)]

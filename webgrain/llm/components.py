@@ -33,5 +33,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if sums == before:
             break
         before = sums
+    else:
+        raise RuntimeError("links did not settle")
     stars = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return stars.union(stars.select("root").distinct().select(F.col("root").alias("node"), "root"))

@@ -200,7 +200,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
 
     One row a row of the table; repeated rows and equal texts are one fingerprint. Null
     texts and texts without words have the fingerprint zero and are linked like any
-    other. A null id is kept but is no component's id unless it has only nulls.
+    other. A null id is kept, and links lead through it, but it is no component's id
+    unless it has only nulls.
 
     By default a word is cut into as many segments as make sure that one differs by at
     most one bit, so no link is missed. With ``segments`` given, or words of more than
@@ -209,9 +210,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     """
     parts = variants(segments or most // 2 + 1, len(seeds))
     docs = stored(fingerprints(df, text, key, size, seeds), "fingerprints")
-    unique = docs.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    found = components(links(unique.where("id is not null").select("id", "fp"), parts, most, len(seeds)))
-    roots = unique.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    # A fingerprint stands for its rows, so links lead through those without an id too.
+    node = F.col("fp")[0] if len(seeds) == 1 else F.xxhash64("fp")
+    unique = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", node), "unique")
+    found = components(links(unique.select("id", "fp"), parts, most, len(seeds)))
+    rooted = unique.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root"))
+    roots = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     return docs.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
 
 
