@@ -167,25 +167,41 @@ def test_conversations(spark, sf):
     assert chat.format_conversations(frame.where("1 = 0")).count() == 0
 
 
-def test_long_conversations_are_rendered_in_blocks():
-    """The same spans as from all prefixes, in linear work; templates that count or number turns go the long way."""
+def test_templates_that_say_so_are_rendered_in_blocks():
+    """The same spans as from all prefixes, in linear work; what a template says of itself is checked."""
     turns = [("user" if k % 2 == 0 else "assistant", f"said {k} " * (k % 5)) for k in range(700)]
     assert chat.spans(turns, chat.instruct) == chat.prefixes(turns, chat.instruct)
     sizes = []
 
-    def counted(t):
+    def headed(t):
         sizes.append(len(t))
-        return chat.instruct(t)
+        return "<<" + chat.instruct(t)
 
-    chat.spans(turns * 6, counted)
-    assert sum(sizes) < 2 * 35 * len(turns) * 6 + 2 * len(turns) * 6
+    want = chat.prefixes(turns, headed)
+    assert chat.spans(turns, headed) == want
+    sizes.clear()
+    headed.additive = True
+    assert chat.spans(turns, headed) == want and chat.spans([], headed) == ("", [])
+    assert sum(sizes) < 2 * 35 * len(turns) + 2 * len(turns)
 
     def numbered(t):
-        return "<<" + "".join(f"{k}. {r}: {x}\n" for k, (r, x) in enumerate(t))
+        return "".join(f"{k}. {r}: {x}\n" for k, (r, x) in enumerate(t))
 
     assert chat.spans(turns, numbered) == chat.prefixes(turns, numbered)
+    numbered.additive = True
     with pytest.raises(chat.HistoryRewritten):
-        chat.spans(turns, lambda t: f"{len(t)}" + chat.instruct(t))
+        chat.spans(turns, numbered)
+
+
+@pytest.mark.parametrize("n", [138, 200, 300, 700])
+def test_rewriting_is_told_at_any_length(n):
+    """A template that writes other marks for one number of turns alone."""
+
+    def once(t):
+        return chat.instruct(t).replace("<s>", "<S>") if len(t) == 137 else chat.instruct(t)
+
+    with pytest.raises(chat.HistoryRewritten):
+        chat.spans([("user", str(k)) for k in range(n)], once)
 
 
 def test_templates_that_rewrite_history():

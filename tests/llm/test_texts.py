@@ -610,6 +610,18 @@ def test_quality_learns_from_one_text_an_id(spark, sf):
     assert {r["doc_id"]: r["score"] for r in got} == plain and len(got) == len(plain)
 
 
+def test_quality_long_texts_take_no_place_from_others(spark, monkeypatch):
+    """Where most texts of a class are too long to be learned from, the others are learned from all the same."""
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 5)
+    rows = [(i, "bad words " * (3000 if i % 4 else 3), 0) for i in range(40)] + [(i, "good text here " * 3, 1) for i in range(40, 80)]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: seen.append(labels) or (np.zeros((quality.BUCKETS, 2)), np.zeros((2, 2)), np.zeros(2)))
+    quality.fit(frame, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int"))
+    short = sum(1 for i, _, y in rows if y == 0 and i % 4 == 0 and zlib.crc32(str(i).encode()) % 4 != 2)
+    assert seen[0].count(0) == min(5, short) > 0 and seen[0].count(1) == 5
+
+
 @pytest.mark.parametrize("name", ["quality classifier", "simhash near-dedup", "personal data"])
 def test_stages_keep_clashing_columns_repeats_and_empty_tables(spark, sf, docs, empty, name):
     import corpus_pipeline

@@ -59,29 +59,36 @@ def read_turn(span: str) -> Turn:
     return unescape(found[1]), unescape(found[2])
 
 
+#: Of a template that says so, what a turn adds doesn't depend on the turns before it.
+instruct.additive = True
+
+
 def spans(turns: list[Turn], template: Template, block: int = 64) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The output, and of each turn where its span and, inside it, its text begin and end.
 
-    Conversations of over four blocks are first rendered block by block, each behind the
-    turn before it alone, so the work is linear. If what the blocks add is not the
-    output of the whole conversation, its prefixes are rendered from the first turn on.
+    Nothing is taken for granted of a template: its prefixes are rendered from the first
+    turn on, whatever their number. Only one with a true attribute ``additive`` has each
+    block of turns rendered as prefixes behind the turn before the block alone, which is
+    linear; what the blocks add has to be the output of the whole conversation, else
+    ``HistoryRewritten`` is raised.
     """
-    if len(turns) > 4 * block:
-        parts, places, size = [], [], 0
-        try:
-            for s in range(0, len(turns), block):
-                lead = turns[max(0, s - 1) : s]
-                whole, found = prefixes(turns[max(0, s - 1) : s + block], template)
-                skip = found[len(lead)][0]
-                parts.append(whole[skip:])
-                places += [tuple(x - skip + size for x in p) for p in found[len(lead) :]]
-                size += len(whole) - skip
-            out = "".join(parts)
-            if out == template(turns):
-                return out, places
-        except HistoryRewritten:
-            pass
-    return prefixes(turns, template)
+    if not turns or not getattr(template, "additive", False):
+        return prefixes(turns, template)
+    parts, places, size = [], [], 0
+    for s in range(0, len(turns), block):
+        lead = turns[max(0, s - 1) : s]
+        whole, found = prefixes([*lead, *turns[s : s + block]], template)
+        skip = found[len(lead)][0]
+        parts.append(whole[skip:])
+        places += [tuple(x - skip + size for x in p) for p in found[len(lead) :]]
+        size += len(whole) - skip
+    out = "".join(parts)
+    # What the template writes before any turn.
+    head = template([])
+    out, places = head + out, [tuple(x + len(head) for x in p) for p in places]
+    if out != template(turns):
+        raise HistoryRewritten("the template is not additive, as it says")
+    return out, places
 
 
 def prefixes(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int, int, int]]]:

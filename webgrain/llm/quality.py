@@ -78,7 +78,8 @@ def features(raw: bytes, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
     start, end = start[own], end[own]
     word = (sums[end] - sums[start]) * powers(_INVERSE, 1, len(b))[start]
     yield start, bucket(word, 0)
-    # Two words in a row by the difference of their values: of all words said twice it is the same.
+    # Two words in a row by the difference of their values. Of all words said twice it is the same, so that
+    # immediate repetition, a sign of bad text in any language, is learned once and not for each word anew.
     beside = np.flatnonzero(end[:-1] + 1 == start[1:])
     yield start[beside], bucket(word[beside + 1] - word[beside], 1)
 
@@ -166,18 +167,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Learn from at most ``TRAIN_ROWS`` labelled rows of each class, those of the smallest hash of their id.
 
     Texts longer than ``TRAIN_CHARS`` are scored but not learned from, so what reaches
-    the driver is bounded; of rows of one id the least text counts, chosen before they
-    meet. Held-out rows, rows with nulls or other labels, and ids with both labels are
-    not learned from.
+    the driver is bounded; ids without a shorter text take no part in the choice. Of rows
+    of one id the least text counts, chosen before they meet. Held-out rows, rows with
+    nulls or other labels, and ids with both labels are not learned from.
     """
     marked = pick(labels, key=key, label=label).where(F.col("label").isin(0, 1) & F.col("key").isNotNull() & ~held_out("key"))
     marked = marked.groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
     marked = marked.select("key", "label", F.xxhash64("key").alias("order"))
+    rows = pick(docs, key=key, text=text).where(F.length("text") <= TRAIN_CHARS)
+    marked = marked.join(rows.select("key"), "key", "left_semi")
     chosen = None
     for k in (0, 1):
         part = marked.where(F.col("label") == k).orderBy("order", "key").limit(TRAIN_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = pick(docs, key=key, text=text).where(F.length("text") <= TRAIN_CHARS)
     got = rows.join(F.broadcast(chosen), "key").groupBy("order", "key", "label").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: (r["order"], r["key"]))
     vectors, weights, bias = train([r["text"] for r in got], [int(r["label"]) for r in got])
