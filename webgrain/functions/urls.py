@@ -160,39 +160,70 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ok, n)
 
 
+def _bound(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def address_number(ip: Column) -> Column:
+    """An address as a struct of ``family`` (4 or 6) and the 128 bits ``hi`` and ``lo``; null for anything else.
+
+    IPv4 takes the first 32 bits, also where it is written inside IPv6 (``::ffff:0:0/96``).
+    IPv6 may be shortened, end in a dotted quad and name a zone, which doesn't count.
+    """
+    struct = lambda family, hi, lo: F.struct(F.lit(family).alias("family"), hi.cast("long").alias("hi"), lo.cast("long").alias("lo"))
+    four = lambda n: struct(4, F.shiftleft(n.cast("long"), 32), F.lit(0))
+    bare = F.lower(F.regexp_replace(ip, "%[^%]+$", ""))
+
+    def halves(bare: Column) -> Column:
+        quad = lambda n: F.concat(F.regexp_extract(bare, "^(.*:)[^:]*$", 1), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(0xFFFF)))))
+        return F.split(_bound(ipv4_number(F.substring_index(bare, ":", -1)), lambda n: F.when(n.isNotNull(), quad(n)).otherwise(bare)), "::")
+
+    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    def filled(h: Column) -> Column:
+        first, last = groups(h[0]), groups(F.coalesce(F.get(h, F.lit(1)), F.lit("")))
+        gap = 8 - F.size(first) - F.size(last)
+        return F.when((F.size(h) == 1) & (gap == 0), first).when((F.size(h) == 2) & (gap > 0), F.concat(first, F.array_repeat(F.lit("0"), gap), last))
+
+    def six(g: Column) -> Column:
+        digits = F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")
+        half = lambda at: F.conv(F.substring(digits, at, 16), 16, -10).cast("long")
+        return F.when(F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")), struct(6, half(1), half(17)))
+
+    def mapped(n: Column) -> Column:
+        inside = (n["family"] == 6) & (n["hi"] == 0) & (F.shiftrightunsigned(n["lo"], 32) == 0xFFFF)
+        return F.when(inside, four(n["lo"].bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(n)
+
+    long = _bound(_bound(bare, halves), lambda h: _bound(filled(h), lambda g: _bound(six(g), mapped)))
+    return F.when(ip.contains(":"), long).otherwise(_bound(ipv4_number(ip), lambda n: F.when(n.isNotNull(), four(n))))
+
+
 def _within(number: Column, networks: tuple[str, ...]) -> Column:
+    """Whether an address of the networks' family lies in one of them."""
     found = F.lit(False)
     for net in map(ipaddress.ip_network, networks):
-        found = found | number.between(F.lit(int(net[0])).cast("long"), F.lit(int(net[-1])).cast("long"))
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        whole, mask = (int(x) << (128 - net.max_prefixlen) for x in (net.network_address, net.netmask))
+        same = F.lit(True)
+        for half, shift in (("hi", 64), ("lo", 0)):
+            bits = mask >> shift & (1 << 64) - 1
+            if bits:
+                same = same & (number[half].bitwiseAND(F.lit(signed(bits)).cast("long")) == F.lit(signed(whole >> shift & (1 << 64) - 1)).cast("long"))
+        found = found | same
     return found
 
 
 def private_ipv4(ip: Column) -> Column:
     """Whether a dotted quad lies in a private or reserved network; null for anything else."""
-    n = ipv4_number(ip)
-    return F.when(n.isNotNull(), _within(n, fixed.PRIVATE_V4) & ~_within(n, fixed.PUBLIC_IN_PRIVATE_V4))
+    return F.when(ipv4_number(ip).isNotNull(), private_ip(ip))
 
 
 def private_ip(ip: Column) -> Column:
-    """The same for IPv4 in the JVM, and for IPv6 (also IPv4 inside it) in Python."""
-
-    @F.pandas_udf("boolean")
-    def six(values: pd.Series) -> pd.Series:
-        private, public = (tuple(map(ipaddress.ip_network, nets)) for nets in (fixed.PRIVATE_V6, fixed.PUBLIC_IN_PRIVATE_V6))
-
-        def one(v):
-            try:
-                a = ipaddress.IPv6Address(v)
-            except (ValueError, TypeError):
-                return None
-            if a.ipv4_mapped:
-                m = a.ipv4_mapped
-                return any(m in ipaddress.ip_network(n) for n in fixed.PRIVATE_V4) and not any(m in ipaddress.ip_network(n) for n in fixed.PUBLIC_IN_PRIVATE_V4)
-            return any(a in n for n in private) and not any(a in n for n in public)
-
-        return values.map(one).astype(object)
-
-    return F.coalesce(private_ipv4(ip), F.when(ip.contains(":"), six(ip)))
+    """Whether an address, of either family, lies in a private or reserved network; null for anything else."""
+    four = lambda n: _within(n, fixed.PRIVATE_V4) & ~_within(n, fixed.PUBLIC_IN_PRIVATE_V4)
+    six = lambda n: _within(n, fixed.PRIVATE_V6) & ~_within(n, fixed.PUBLIC_IN_PRIVATE_V6)
+    return _bound(address_number(ip), lambda n: F.when(n["family"] == 4, four(n)).when(n["family"] == 6, six(n)))
 
 
 def fetch_error(url: Column, allow_private: bool = False) -> Column:

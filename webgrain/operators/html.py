@@ -216,24 +216,26 @@ def inspect(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(key, read(html).alias("r")).select(key, "r.*")
 
 
+def found_tables(page: str | None) -> list[dict]:
+    """Name, headers and rows of each outermost table with rows."""
+    found, stack = [], [Tree(page or "").root]
+    while stack:
+        n = stack.pop()
+        if n.tag == "table":
+            head, rows, caption = grid(n)
+            if head or rows:
+                found.append({"name": caption or f"table-{len(found) + 1}", "headers": head, "rows": rows})
+        else:
+            stack.extend(k for k in reversed(n.kids) if isinstance(k, Node))
+    return found
+
+
 def tables(df: DataFrame, key: str, html: str) -> DataFrame:
     """``key, table_no, name, headers, rows`` of each outermost table with rows; names are captions or ``table-N`` by place among these."""
 
     @F.pandas_udf("array<struct<name:string,headers:array<string>,rows:array<array<string>>>>")
     def read(pages: pd.Series) -> pd.Series:
-        out = []
-        for page in pages:
-            found, stack = [], [Tree(page or "").root]
-            while stack:
-                n = stack.pop()
-                if n.tag == "table":
-                    head, rows, caption = grid(n)
-                    if head or rows:
-                        found.append({"name": caption or f"table-{len(found) + 1}", "headers": head, "rows": rows})
-                else:
-                    stack.extend(k for k in reversed(n.kids) if isinstance(k, Node))
-            out.append(found)
-        return pd.Series(out)
+        return pd.Series([found_tables(page) for page in pages])
 
     return df.select(key, F.posexplode(read(html)).alias("table_no", "t")).select(key, "table_no", "t.*")
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from webgrain.plans.made import made, rows_sql, typed
-from webgrain.plans.registry import golden
-from webgrain.sources import providers
+from webgrain.plans.registry import golden, register, table
+from webgrain.session import shared
+from webgrain.sources import answers, providers
 
 COLUMNS = ("id", "title", "url", "doi", "published", "authors", "snippet")
 N = None
@@ -144,12 +147,35 @@ answer("exa", {"results": [{"title": "T", "url": "http://u", "text": "body"}]},
 answer("duckduckgo", [{"title": "T", "href": "http://u", "body": "s"}, {"title": "U", "url": "http://v", "snippet": "t"}], (N, "T", "http://u", N, N, N, "s"), (N, "U", "http://v", N, N, N, "t"))
 
 
-@text_query("answers_source", "request, title", [(0, "a"), (1, "b"), (2, "c")], request="BIGINT", title="VARCHAR")
-def answers_source(spark, sf_dir):
-    """Bodies through a data source in two partitions, then as records."""
-    from webgrain.sources import answers
+STORED_SQL = """
+SELECT doc_id AS request, lang AS provider, 'D' || doc_id AS title, 'http://' || source || '/' || doc_id AS url, substr(coalesce(text, ''), 1, 20) AS snippet
+FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL
+"""
 
+
+def _stored(spark, sf_dir):
+    """The documents as answers of search engines, one for each language, in a store of their own; fetched a minute apart."""
     answers.register(spark)
-    bodies = json.dumps([json.dumps({"items": [{"title": t}]}) for t in "abc"])
-    read = spark.read.format("answers").option("bodies", bodies).option("partitions", "2").load()
-    return providers.records(read, "google").select("request", "title")
+    item = F.struct(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("http://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("link"), F.concat(F.lit("<b>"), F.replace(F.left(F.coalesce("text", F.lit("")), F.lit(20)), F.lit("<"), F.lit(" ")), F.lit("</b>")).alias("snippet"))
+    docs = table(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("doc_id") * 60_000_000)
+    rows = docs.select(F.col("lang").alias("provider"), F.col("doc_id").alias("request"), at.alias("fetched_at"), F.to_json(F.struct(F.array(item).alias("items"))).alias("body"))
+    path = f"{shared(spark)}/answers-{uuid.uuid4().hex}"
+    rows.write.format("answers").mode("append").save(path)
+    return spark.read.format("answers").load(path)
+
+
+@register("stored_answers", "SELECT request, provider, title, url FROM (" + STORED_SQL + ")")
+def stored_answers(spark, sf_dir):
+    """All answers, written to a store and read back as records."""
+    return providers.records(_stored(spark, sf_dir), "google").select("request", "provider", "title", "url")
+
+
+@register("stored_answers_of_engines", "SELECT request, provider, title, url FROM (" + STORED_SQL + ") WHERE provider IN ('de', 'fr') AND request * 60 >= (SELECT max(doc_id) * 30 FROM documents)")
+def stored_answers_of_engines(spark, sf_dir):
+    """The later answers of two engines: the files of others and earlier ones are not read."""
+    stored = _stored(spark, sf_dir)
+    half = table(spark, sf_dir, "documents").agg(F.max("doc_id") * 30).first()[0] or 0
+    since = datetime.fromtimestamp(1_700_000_000 + half, timezone.utc)
+    chosen = stored.where(F.col("provider").isin("de", "fr") & (F.col("fetched_at") >= F.lit(since)))
+    return providers.records(chosen, "google").select("request", "provider", "title", "url")

@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     # Each module registers its queries when it is first imported.
-    from webgrain.plans import answers, articles, documents, logs, made, pages, reading, streams, tables  # noqa: F401
+    from webgrain.plans import answers, articles, documents, logs, made, pages, parts, reading, streams, tables  # noqa: F401
 
     return dict(_QUERIES)
 
