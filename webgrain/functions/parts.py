@@ -13,7 +13,7 @@ from pyspark.sql.functions import udtf
 from webgrain.operators.html import found_tables
 
 
-@udtf(returnType="chunk int, start int, content string", useArrow=True)
+@udtf(returnType="chunk int, start int, content string", useArrow=False)
 class TextChunks:
     """``text_chunks(text, chars)``: consecutive chunks that make up a text, none of null and empty texts.
 
@@ -31,7 +31,7 @@ class TextChunks:
             at, chunk = end, chunk + 1
 
 
-@udtf(returnType="table_no int, name string, row_no int, header boolean, cells array<string>", useArrow=True)
+@udtf(returnType="table_no int, name string, row_no int, header boolean, cells array<string>", useArrow=False)
 class TableRows:
     """``table_rows(html)``: the rows of each outermost table of a page, the header first where there is one."""
 
