@@ -13,13 +13,6 @@ DECAY, QUEUE, MOST_PAGES, MOST_DEPTH, TOPIC = 0.7, 200, 50, 5, 40
 QUERY_WEIGHT, CONTEXT_WEIGHT, FLAT_UNTIL = 0.7, 0.3, 3
 
 
-def link_score(label: Column, query: Column, topic: Column) -> Column:
-    """Score of a link by its words: 0.7 times the share of the query they hold, 0.3 times their share in the page's topic words."""
-    asked = F.when(F.size(query) > 0, F.size(F.array_intersect(label, query)) / F.size(query)).otherwise(0.0)
-    near = F.when(F.size(label) > 0, F.size(F.array_intersect(label, topic)) / F.size(label)).otherwise(0.0)
-    return QUERY_WEIGHT * asked + CONTEXT_WEIGHT * near
-
-
 def expanded(base: Column, clusters: list[list[str]]) -> Column:
     """The terms of a query (an array) and words of the clusters that hold one of them, in the order of sorted terms and clusters, at most doubling the query."""
     groups = F.array(*(F.array(*map(F.lit, c)) for c in clusters))

@@ -241,9 +241,18 @@ def tables(df: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def _unescaped(c: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    """Text with its frequent entities and all numbered ones decoded; numbers that are no character become the replacement character."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " ")):
         c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+
+    def put(text: Column, number: Column) -> Column:
+        digits = F.regexp_replace(number, "^[xX]?0*", "")
+        code = F.when(F.length(digits) <= 7, F.when(number.rlike("^[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("int"))
+        char = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.replace(text, F.concat(F.lit("&#"), number, F.lit(";")), char)
+
+    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit("&#([xX][0-9a-fA-F]+|[0-9]+);"), 1))
+    return F.replace(F.when(c.contains("&#"), F.aggregate(numbers, c, put)).otherwise(c), F.lit("&amp;"), F.lit("&"))
 
 
 def links(df: DataFrame, key: str, url: str, html: str, most: int = 500) -> DataFrame:

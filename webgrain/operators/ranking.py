@@ -228,16 +228,6 @@ def anchor_context(text: Column, anchor: Column, around: int = 50, most: int = 8
     return F.when((needle != "") & (at > 0), best).otherwise(F.array().cast("array<string>"))
 
 
-def expand_terms(base: list[str], clusters: list[list[str]]) -> list[str]:
-    """Words of the clusters that hold a base term, in order, no more than there are base terms."""
-    have, out = set(base), []
-    for term in sorted(have):
-        for cluster in clusters:
-            if term in cluster:
-                out += [w for w in cluster if w not in have and w not in out]
-    return out[: len(have)]
-
-
 def running_document_frequency(fetched: DataFrame, term: str = "term", order: str = "seq", least: int = 3, block: int = 65_536) -> DataFrame:
     """``order, term, df, n, idf`` as of each fetch: documents so far with the term; idf is flat until ``least`` documents.
 
