@@ -271,6 +271,40 @@ def test_similar_is_exact(spark, few, monkeypatch):
     assert len(near & kept) <= 0.02 * len(near)
 
 
+def test_similar_in_a_large_family(spark):
+    """Texts edited from one, most pairs just below 0.8: the groups are those of all pairs at 0.8 or more."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(3000)}" for _ in range(404)]
+    texts = []
+    for k in range(500):
+        words = list(base)
+        for at in rng.sample(range(404), rng.randint(4, 8)):
+            words[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"y{rng.randrange(3000)}" for _ in range(200)) for _ in range(20)]
+    sets = [{t.split()[i] + " " + " ".join(t.split()[i + 1 : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    place = list(range(len(texts)))
+
+    def top(i):
+        while place[i] != i:
+            i = place[i]
+        return i
+
+    for i, j in near:
+        a, b = sorted((top(i), top(j)))
+        place[b] = a
+    rows = [(i, t) for i, t in enumerate(texts)]
+    groups = {}
+    for r in simhash.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        groups.setdefault(r["root"], set()).add(r["id"])
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(top(i), set()).add(i)
+    assert len(near) > 1000 and len(want) < len(texts)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_drop_near_duplicates_by_row(spark):
     """Repeated rows, rows without an id and ids with two texts, each with and without copies."""
     rng = random.Random(23)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -65,6 +66,14 @@ def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), lambda name: f"c{df.columns.index(name)}"
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again by other stages, which need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """Apply a function of column lists to parts of each Arrow batch of about 8 MB; ``start`` makes it once a task."""
     arrow = arrow_schema(df.sparkSession, schema)
@@ -77,8 +86,7 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[dict[str,
                 batch = whole.slice(at, step)
                 out = apply({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-        # Workers are used again by other stages, which need the memory.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

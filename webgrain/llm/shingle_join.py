@@ -286,6 +286,17 @@ def alike_sets(rows: DataFrame, known: DataFrame, counts: np.ndarray, size: int,
     return components(first.union(last))
 
 
+def rooted(rows: DataFrame, size: int, alike: int) -> DataFrame:
+    """``id, hash, n, root`` of each of the rows ``id, hash, text``: how many shingles it has, and what it has in common with all rows that links lead to (null without words)."""
+    full = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    signs = stored(signed(rows, size), "signed")
+    found = signs.where("at is null")
+    unique = found.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    unique = stored(unique.select("node", "r.id", "r.hash", "n", "keys"), "nodes")
+    roots = alike_sets(full, unique, token_counts(signs), size, alike)
+    return found.join(roots, "node", "left").select("id", "hash", "n", F.coalesce("root", "node").alias("root"))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, alike: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row: the number of its distinct shingles and the smallest id that links lead to, its own included.
 
@@ -297,12 +308,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     such rows like any other.
     """
     rows = pick(docs, id=key, text=text).select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
-    full = rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    signs = stored(signed(rows, size), "signed")
-    found = signs.where("at is null")
-    unique = found.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    unique = stored(unique.select("node", "r.id", "r.hash", "n", "keys"), "nodes")
-    roots = alike_sets(full, unique, token_counts(signs), size, alike)
-    joined = found.join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
+    joined = rooted(rows, size, alike)
     least = joined.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     return joined.join(least, "root", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
