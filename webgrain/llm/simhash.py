@@ -136,6 +136,12 @@ def nearest_forest(fps: np.ndarray, most: int) -> np.ndarray:
     return np.array(out, int).reshape(-1, 2)
 
 
+def with_neighbours(fps: np.ndarray, most: int) -> np.ndarray:
+    """The places of the rows that have another one at ``most`` or fewer bits, each as a link of the row with itself."""
+    rows = np.unique(nearest_forest(fps, most))
+    return np.stack([rows, rows], 1)
+
+
 def links(unique: DataFrame, parts: list[tuple[int, int, int]], most: int, words: int) -> DataFrame:
     """Links ``u, v`` between rows ``id, fp`` (distinct fingerprints) at ``most`` or fewer bits that share a variant.
 
@@ -151,25 +157,9 @@ def links(unique: DataFrame, parts: list[tuple[int, int, int]], most: int, words
     return linked(index, crowded, most, words, lambda fps: np.array(list(forest(fps, lambda d: d <= most)), int).reshape(-1, 2))
 
 
-def crowds(tree: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each link of a forest (a row reached before, a row) a digest of the ids that its tree connects; equal sets of ids have equal ones."""
-    first = np.arange(len(ids))
-    for before, at in tree.tolist():
-        first[at] = first[before]
-    order = np.lexsort((ids, first))
-    starts = np.flatnonzero(np.diff(first[order], prepend=-1))
-    digests = np.zeros(len(ids), np.int64)
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
-        digests[order[a:b]] = np.uint64(xxhash.xxh64_intdigest(np.ascontiguousarray(ids[order[a:b]]).tobytes())).view(np.int64)
-    return digests[tree[:, 1]]
-
-
 def linked(index: DataFrame, crowded: DataFrame, most: int, words: int, tree: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Links ``u, v, crowd`` of an index ``key, id, fp``: all pairs where few rows share a key (``crowd`` is null), else those of ``tree``.
-
-    ``crowd`` is a digest of the rows that a tree connects. ``crowded`` keys are dealt out by their ``blocks``.
-    """
-    arrow = arrow_schema(index.sparkSession, "u bigint, v bigint, crowd bigint")
+    """Links ``u, v`` of an index ``key, id, fp``: all pairs where few rows share a key, else those of ``tree``; ``crowded`` keys are dealt out by their ``blocks``."""
+    arrow = arrow_schema(index.sparkSession, "u bigint, v bigint")
     if crowded.isEmpty():
         many = index.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "fp")
     else:
@@ -185,13 +175,12 @@ def linked(index: DataFrame, crowded: DataFrame, most: int, words: int, tree: Ca
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
             sizes = np.diff(np.append(starts, len(key)))
             small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
-            found = [(u, v, np.zeros(len(u), np.int64)) for u, v in near_pairs(np.repeat(starts, sizes)[small], id_[small], fp[small], most)]
-            few = sum(len(f[0]) for f in found)
+            found = list(near_pairs(np.repeat(starts, sizes)[small], id_[small], fp[small], most))
             for a, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
                 grew = tree(fp[a : a + n])
-                found.append((id_[a + grew[:, 0]], id_[a + grew[:, 1]], crowds(grew, id_[a : a + n])))
-            u, v, crowd = (np.concatenate([f[side] for f in found]) if found else np.empty(0, np.int64) for side in (0, 1, 2))
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(crowd, pa.int64(), mask=np.arange(len(u)) < few)], schema=arrow)
+                found.append((id_[a + grew[:, 0]], id_[a + grew[:, 1]]))
+            u, v = (np.concatenate([f[side] for f in found]) if found else np.empty(0, np.int64) for side in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=arrow)
 
         for batch in batches:
             if not batch.num_rows:
@@ -211,7 +200,7 @@ def linked(index: DataFrame, crowded: DataFrame, most: int, words: int, tree: Ca
             yield grown(key, id_, fp)
         give_back()
 
-    return many.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(grouped, "u bigint, v bigint, crowd bigint")
+    return many.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(grouped, "u bigint, v bigint")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 4, most: int = 4, seeds: tuple[int, ...] = (42,), segments: int | None = None) -> DataFrame:
@@ -232,7 +221,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     # A fingerprint stands for its rows, so links lead through those without an id too.
     node = F.col("fp")[0] if len(seeds) == 1 else F.xxhash64("fp")
     unique = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", node), "unique")
-    found = components(links(unique.select("id", "fp"), parts, most, len(seeds)).select("u", "v"))
+    found = components(links(unique.select("id", "fp"), parts, most, len(seeds)))
     rooted = unique.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root"))
     roots = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     return docs.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
@@ -281,7 +270,7 @@ def dealt_keys(fps: np.ndarray, deals: int) -> np.ndarray:
 
 
 def candidates(unique: DataFrame, words: int, deals: int, most: int) -> DataFrame:
-    """Links ``u, v, crowd`` between rows ``id, fp`` at ``most`` or fewer bits that share a dealt key."""
+    """Links ``u, v`` between rows ``id, fp`` at ``most`` or fewer bits that share a dealt key; where many share one, each that has such a link is linked with itself instead."""
     schema = "id bigint, fp array<bigint>, keys array<bigint>"
 
     def start():
@@ -297,16 +286,7 @@ def candidates(unique: DataFrame, words: int, deals: int, most: int) -> DataFram
     counts = some.select(F.explode("keys").alias("key")).groupBy("key").agg((F.count("*") * rate).alias("n"))
     crowded = stored(counts.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "crowded")
     index = keyed.select(F.explode("keys").alias("key"), "id", "fp")
-    return linked(index, crowded, most, words, lambda fps: nearest_forest(fps, most))
-
-
-def crowds_apart(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """The nodes of all crowds of which a link's ends have different roots."""
-    crowd = found.where("crowd is not null")
-    u, v = (roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "uv")
-    ends = crowd.join(u, "u", "left").join(v, "v", "left")
-    apart = ends.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("crowd").distinct()
-    return crowd.join(apart, "crowd", "left_semi").select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    return linked(index, crowded, most, words, lambda fps: with_neighbours(fps, most))
 
 
 def crowd_links(rows: DataFrame, signed: DataFrame, nodes: DataFrame, size: int, alike: int) -> DataFrame:
@@ -323,9 +303,10 @@ def similar(df: DataFrame, text: str = "text", key: str = "doc_id", size: int =
 
     Rows of equal shingle sets are alike; other links are found by fingerprints and hold
     only if the sets' exact similarity (Jaccard) is ``alike`` or more. Sets are told by a
-    64-bit digest. Where many fingerprints share a key, the nearest ones are asked first;
-    if that leaves rows of such a crowd apart, all its rows are joined by their shingles
-    (see ``shingle_join``), so that no pair of a crowd is lost.
+    64-bit digest. Candidates of keys that few fingerprints share are compared pair by
+    pair. Rows that are near another one in a crowd (of a key that many share) are joined
+    with each other by their shingles (see ``shingle_join``), which loses no pair of them
+    and makes no pairs of all that are near.
     """
     rows = pick(df, id=key, text=text).select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
     rows = rows.where(F.col("text").rlike(HAS_WORDS))
@@ -339,9 +320,13 @@ def similar(df: DataFrame, text: str = "text", key: str = "doc_id", size: int =
 
     signed = stored(map_rows(rows, "id bigint, hash bigint, node bigint, fp array<bigint>", sign), "signed")
     unique = stored(signed.groupBy("node").agg(F.first("fp").alias("fp")).select(F.col("node").alias("id"), "fp"), "unique")
-    found = candidates(unique, words, deals, most).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "crowd")
+    found = candidates(unique, words, deals, most).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     found = stored(found.distinct(), "candidates")
-    pairs = stored(found.select("u", "v").distinct(), "pairs")
+    crowd = stored(found.where("u = v").select(F.col("u").alias("node")), "crowded")
+    # Pairs within the crowds are left to the join of the crowds.
+    cu, cv = (crowd.select(F.col("node").alias(n), F.lit(True).alias(f"c{n}")) for n in "uv")
+    pairs = found.where("u <> v").join(cu, "u", "left").join(cv, "v", "left").where("cu is null or cv is null").select("u", "v")
+    pairs = stored(pairs, "pairs")
     # The sets of the rows in question are made again from their texts.
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     asked = signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("r")).select(F.col("r.id").alias("i"), F.col("r.hash").alias("h"))
@@ -358,10 +343,9 @@ def similar(df: DataFrame, text: str = "text", key: str = "doc_id", size: int =
     a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "uv")
     both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("su", "sv")).alias("n"), (F.size("su") + F.size("sv")).alias("sum"))
     near = stored(both.where(F.col("n") / (F.col("sum") - F.col("n")) >= alike).select("u", "v"), "near")
-    roots = stored(components(near), "roots")
-    parted = stored(crowds_apart(found, roots), "crowded-rows")
-    if not parted.isEmpty():
-        roots = components(near.union(crowd_links(rows, signed, parted, size, round(100 * alike))))
+    if not crowd.isEmpty():
+        near = near.union(crowd_links(rows, signed, crowd, size, round(100 * alike)))
+    roots = components(near)
     return stored(signed.join(roots, "node", "left").select("id", "hash", F.coalesce("root", "node").alias("root")), "similar")
 
 
