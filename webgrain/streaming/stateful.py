@@ -32,18 +32,27 @@ def politeness(stream: DataFrame, gap: int) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, start long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def quota(stream: DataFrame, limit: int) -> DataFrame:
-    """``event_id, user_id, day, admitted``: the first ``limit`` calls of each key and day of a stream ``event_id, user_id, ts``."""
+def quota(stream: DataFrame, limit: int, groups: int = 64) -> DataFrame:
+    """``event_id, user_id, day, admitted``: the first ``limit`` calls of each key and day of a stream ``event_id, user_id, ts``.
+
+    A day's keys are dealt over ``groups`` states, each of which lists what its keys have
+    used: a state of its own for each key would cost a call of Python for every few rows.
+    """
+    counts = "users array<bigint>, used array<int>"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        admitted = [used + i < limit for i in range(len(rows))]
-        state.update((min(limit, used + len(rows)),))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "day": key[1], "admitted": admitted})
+        users, used = state.get if state.exists else ((), ())
+        before = pd.Series(used, index=pd.Index(users, dtype="int64"), dtype="int64")
+        nth = rows["user"].map(before).fillna(0).astype("int64") + rows.groupby("user").cumcount()
+        after = before.add(rows["user"].value_counts(), fill_value=0).clip(upper=limit).astype("int64")
+        state.update((after.index.tolist(), after.tolist()))
+        yield pd.DataFrame({"event_id": rows["event_id"], "user": rows["user"], "known": key[1], "day": key[0], "admitted": nth < limit})
 
-    keyed = stream.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return keyed.groupBy("user_id", "day").applyInPandasWithState(step, "event_id long, user_id long, day string, admitted boolean", "used long", "append", GroupStateTimeout.NoTimeout)
+    # Calls without a user are those of one more user.
+    keyed = stream.select("event_id", "ts", F.coalesce("user_id", F.lit(0)).alias("user"), F.col("user_id").isNotNull().alias("known"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("dealt"))
+    told = keyed.groupBy("day", "known", "dealt").applyInPandasWithState(step, "event_id long, user long, known boolean, day string, admitted boolean", counts, "append", GroupStateTimeout.NoTimeout)
+    return told.select("event_id", F.when(F.col("known"), F.col("user")).alias("user_id"), "day", "admitted")
 
 
 def daily_counts(stream: DataFrame, late: str = "2 days") -> DataFrame:
@@ -71,7 +80,8 @@ def _events(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     # A single file is read as a stream through its folder and a glob for its name.
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)
+    single = all(f.rpartition("/")[2] == name for f in spark.read.parquet(path).inputFiles())
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if single else spark.readStream.schema(schema).parquet(path)
 
 
 def politeness_once(spark: SparkSession, path: str, gap: int) -> DataFrame:
