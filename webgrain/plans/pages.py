@@ -80,7 +80,26 @@ def unvisited(spark, sf_dir):
     return records.unvisited(pages.select("page_id", "url"), pages.where("page_id % 3 = 0").select("url"), query="drop").select("page_id")
 
 
-@register("page_titles", "SELECT page_id, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, regexp_extract(html, 'charset=\"([^\"]*)\"', 1) AS charset FROM pages")
+def decoded_sql(text: str) -> str:
+    """The rule of ``html._unescaped`` as SQL."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " ")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    code = "TRY_CAST(CASE WHEN lower(n[1]) = 'x' THEN '0' || lower(n) ELSE n END AS BIGINT)"
+    char = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr(CAST({code} AS INTEGER)) ELSE chr(65533) END"
+    numbers = f"list_distinct(regexp_extract_all({text}, '&#([xX][0-9a-fA-F]+|[0-9]+);', 1))"
+    return f"replace(list_reduce(list_prepend({text}, {numbers}), lambda t, n: replace(t, '&#' || n || ';', {char})), '&amp;', '&')"
+
+
+#: What a page's head says: the first title, the language of the root element and the charset, null where there is none.
+_ROOT = "regexp_extract(coalesce(html, ''), '(?is)<html[^>]*>')"
+_LANG = "coalesce({}, {}, {})".format(*(f"nullif(regexp_extract({_ROOT}, '(?is)[\\s\\x0B]lang[\\s\\x0B]*=[\\s\\x0B]*{value}', 1), '')" for value in ('"([^"]*)"', "''([^'']*)''", "([^\\s\\x0B\"''>]+)")))
+_TITLE = decoded_sql("regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)")
+HEAD_SQL = f"""SELECT page_id, url, CASE WHEN trim(title, ' ') <> '' THEN title END AS title, nullif(trim(lang, ' '), '') AS lang, nullif(charset, '') AS charset FROM (
+  SELECT page_id, url, regexp_replace({_TITLE}, '[\\s\\x0B]+', ' ', 'g') AS title, {decoded_sql(_LANG)} AS lang,
+    regexp_extract(coalesce(html, ''), '(?is)<meta[^>]*charset[\\s\\x0B]*=[\\s\\x0B]*["'']?([A-Za-z0-9_-]+)', 1) AS charset FROM pages)"""
+
+
+@register("page_titles", f"SELECT page_id, title, lang, charset FROM ({HEAD_SQL})")
 def page_titles(spark, sf_dir):
     m = html.metadata(table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return m.select("page_id", "title", "lang", "charset")
