@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from webgrain.functions.text import looks_like_text
 from webgrain.operators import graph, guard, html, ranking, reading, research
 from webgrain.plans.made import made, rows_sql, typed
+from webgrain.plans.pages import HEAD_SQL
 from webgrain.plans.registry import golden, register, table
 from webgrain.session import shared
 from webgrain.sources import sinks
@@ -52,9 +53,7 @@ def sparse_json(spark, sf_dir):
     return made(spark, "raw string", *((r,) for r in raw)).select("raw", reading.sparse(F.col("raw")).alias("lean"))
 
 
-@register("merged_metadata", """
-SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Own' ELSE nullif(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '') END AS title,
-  nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language, url AS canonical, 'kept' AS other FROM pages""")
+@register("merged_metadata", f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Own' ELSE title END AS title, lang AS language, url AS canonical, 'kept' AS other FROM ({HEAD_SQL})")
 def merged_metadata(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     m = html.metadata(pages, "page_id", "url", "html")
