@@ -75,3 +75,27 @@ def test_longest_prefix(spark):
         assert (r["bits"], r["value"]) == best, r
     none = networks(spark.createDataFrame([], "network string, value string"))
     assert all(r["bits"] is None for r in longest_prefix(spark.createDataFrame([("::1",), (None,)], "ip string"), none).collect())
+
+
+def test_keys_of_any_size_are_spread(spark):
+    from webgrain.plans import parts
+
+    keys = [0, 1, 1499, 3475, 90_000, 2**32 - 1, 2**32, 2**53 + 1, 2**62 - 1]
+    for weight in (1_000_003, parts._SPREAD, parts._SPREAD_NETS):
+        got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", parts._spread(F.col("k"), weight).alias("n")).collect()
+        assert {r["k"]: r["n"] for r in got} == {k: k * weight % 2**32 for k in keys}
+
+
+def test_networks_of_many_users(spark, tmp_path):
+    """User ids from 3475 on once overflowed."""
+    from webgrain.plans import parts
+
+    spark.range(50).selectExpr("id AS event_id", "id * 2000 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(400).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    nets = [(k, k * parts._SPREAD_NETS % 2**32, 4 + k % 13, k // 13 % 2) for k in range(400)]
+    for r in parts.networks_of_events(spark, str(tmp_path)).collect():
+        e = r["event_id"]
+        n = (e * 2000 * 1_000_003 + e % 1000) * parts._SPREAD % 2**32
+        hits = [(-bits, k) for k, m, bits, f in nets if f == e % 2 and n >> (32 - bits) == m >> (32 - bits)]
+        best = min(hits, default=(None, None))
+        assert (r["bits"], r["network"]) == ((-best[0] + 32 * (e % 2), best[1]) if hits else (None, None))

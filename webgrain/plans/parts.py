@@ -46,6 +46,12 @@ def table_rows_of_orders(spark, sf_dir):
 _SPREAD, _SPREAD_NETS = 2_654_435_761, 2_246_822_519
 
 
+def _spread(n, weight):
+    """``n * weight`` modulo 2^32, by halves so that no product leaves 64 bits, however large the key."""
+    low, high = n.bitwiseAND(F.lit(0xFFFF)), F.shiftright(n, 16).bitwiseAND(F.lit(0xFFFF))
+    return (low * F.lit(weight) + F.shiftleft((high * F.lit(weight)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def _quad(n):
     return F.concat_ws(".", *(F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)))
 
@@ -61,9 +67,9 @@ SELECT event_id, max(bits + 32 * f) AS bits, arg_min(k, (-bits, k)) AS network F
 """)
 def networks_of_events(spark, sf_dir):
     """The smallest network of each event's address; addresses of both families, networks from customers."""
-    events = table(spark, sf_dir, "events").select("event_id", ((F.col("user_id") * 1_000_003 + F.col("event_id") % 1000) * _SPREAD % 4_294_967_296).alias("n"))
+    events = table(spark, sf_dir, "events").select("event_id", _spread(_spread(F.col("user_id").cast("long"), 1_000_003) + F.col("event_id") % 1000, _SPREAD).alias("n"))
     seen = events.select("event_id", F.when(F.col("event_id") % 2 == 0, _quad(F.col("n"))).otherwise(F.concat(_long(F.col("n")), F.lit("::1"))).alias("ip"))
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), (F.col("c_custkey") * F.lit(_SPREAD_NETS) % 4_294_967_296).alias("n"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), _spread(F.col("c_custkey").cast("long"), _SPREAD_NETS).alias("n"))
     bits = F.col("k") % 13 + 4
     six = F.floor(F.col("k") / 13) % 2 == 1
     nets = networks(customers.select(F.when(six, F.concat(_long(F.col("n")), F.lit("::/"), (bits + 32).cast("string"))).otherwise(F.concat(_quad(F.col("n")), F.lit("/"), bits.cast("string"))).alias("network"), F.col("k").alias("value")))
