@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webgrain.batches import by_pieces
 from webgrain.functions import fixed
 from webgrain.functions.text import terms
 
@@ -18,29 +19,28 @@ from webgrain.functions.text import terms
 def counted(df: DataFrame, key: str, words: Column, most: int | None = None) -> DataFrame:
     """``key, word, n`` of each row's distinct words, the ``most`` frequent ones (ties by word) with their ``rank``.
 
-    Each Arrow batch of rows is counted by itself, so nothing is shuffled and a long
-    text costs no more than its length.
+    Each piece of an Arrow batch is counted by itself, so nothing is shuffled, a long
+    text costs no more than its length, and memory doesn't grow with the batch.
     """
     rows = df.select(F.col(key).alias("key"), words.alias("words"))
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, word string, n bigint, rank int"
 
-    def run(batches):
+    def run(batch):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for batch in batches:
-            lists = batch.column("words")
-            each = pa.table({"row": pc.list_parent_indices(lists), "word": pc.list_flatten(lists)}).group_by(["row", "word"]).aggregate([([], "count_all")])
-            each = each.sort_by([("row", "ascending"), ("count_all", "descending"), ("word", "ascending")])
-            row = each.column("row").to_numpy()
-            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
-            rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row)))) + 1
-            out = pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), each.column("word").combine_chunks(), each.column("count_all").combine_chunks().cast(pa.int64()), pa.array(rank, pa.int32())], names=["key", "word", "n", "rank"])
-            yield out if most is None else out.filter(pa.array(rank <= most))
-
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+        lists = batch.column("words")
+        each = pa.table({"row": pc.list_parent_indices(lists), "word": pc.list_flatten(lists)}).group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")])
+        each = each.sort_by([("row", "ascending"), ("count_all", "descending"), ("word", "ascending")])
+        row = each.column("row").to_numpy()
+        starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+        rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row)))) + 1
+        out = pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), each.column("word").combine_chunks(), each.column("count_all").combine_chunks().cast(pa.int64()), pa.array(rank, pa.int32())], names=["key", "word", "n", "rank"])
+        return out if most is None else out.filter(pa.array(rank <= most))
+
+    return by_pieces(rows, schema, run).withColumnRenamed("key", key)
 
 
 def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
