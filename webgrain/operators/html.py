@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webgrain.batches import by_pieces, kind
 from webgrain.functions.urls import classify_link, domain_of, joined_url, part
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -204,16 +205,18 @@ def markdown(node: Node) -> str:
 def inspect(df: DataFrame, key: str, html: str) -> DataFrame:
     """``key, markdown, label, removed``: the main content without hidden parts, how it was found, and how many parts went. Null pages give empty text."""
 
-    @F.pandas_udf("markdown string, label string, removed int")
-    def read(pages: pd.Series) -> pd.DataFrame:
-        out = []
-        for page in pages:
+    def read(batch):
+        import pyarrow as pa
+
+        out: list[tuple] = []
+        for page in batch.column(1).to_pylist():
             node, label = main_content(Tree(page or "").root)
             removed = strip_hidden(node)
             out.append((markdown(node), label, removed))
-        return pd.DataFrame(out, columns=["markdown", "label", "removed"])
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int32())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "markdown", "label", "removed"])
 
-    return df.select(key, read(html).alias("r")).select(key, "r.*")
+    return by_pieces(df.select(key, F.col(html).alias("_page")), f"`{key}` {kind(df, key)}, markdown string, label string, removed int", read)
 
 
 def found_tables(page: str | None) -> list[dict]:
