@@ -35,15 +35,15 @@ def searched(answers: DataFrame, cached: DataFrame | None = None, merge: bool =
 def resolved(requests: DataFrame, providers: DataFrame) -> DataFrame:
     """``requests`` (``id, query, category, provider``) with the category and provider that answer them, or an ``error``.
 
-    ``providers``: ``category, place, provider``. A category given is
-    taken as it is, else that which owns the provider given, else that of the query's
+    ``providers``: ``category, place, provider``, a list of engines that goes to all tasks,
+    so that no task gets all requests of a frequent one. A category given is taken as it is, else that which owns the provider given, else that of the query's
     words. Without a provider the category's first one answers.
     """
     every = providers.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("place", "provider"))).alias("_of")).select("category", F.col("_of.provider").alias("_of"))
     owner = providers.groupBy("provider").agg(F.min_by("category", "place").alias("_owner"))
-    rows = requests.withColumnRenamed("category", "_category").join(owner, "provider", "left")
+    rows = requests.withColumnRenamed("category", "_category").join(F.broadcast(owner), "provider", "left")
     chosen = F.coalesce(F.col("_category"), F.when(F.col("provider").isNotNull(), F.col("_owner")).otherwise(ranking.category(F.col("query"))))
-    rows = rows.withColumn("category", chosen).join(every, "category", "left")
+    rows = rows.withColumn("category", chosen).join(F.broadcast(every), "category", "left")
     error = (
         F.when(F.col("_category").isNotNull() & F.col("_of").isNull(), "unknown category")
         .when(F.col("_category").isNull() & F.col("provider").isNotNull() & F.col("_owner").isNull(), "unknown provider")
