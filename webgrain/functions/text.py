@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webgrain.functions import fixed
+from webgrain.functions.urls import let
 
 CJK = "[぀-ヿ一-鿿가-힯]+"
 
@@ -38,12 +40,21 @@ def windows(text: Column, size: int = 900, overlap: int = 120, most: int | None
 
 def densest_excerpt(text: Column, words: list[str], window: int = 300, step: int = 100) -> Column:
     """The first window with most hits of the words, with marks where it is cut; null if there is no hit."""
-    lower = F.lower(text)
     n = F.length(text)
     pattern = "(?<![a-z0-9])(" + "|".join(sorted(w.lower() for w in words)) + ")(?![a-z0-9])"
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
-    scored = F.transform(starts, lambda s: F.struct(F.regexp_count(F.substring(lower, s + 1, F.lit(window)), F.lit(pattern)).alias("hits"), (-s).alias("at")))
-    best = F.array_max(scored)
+    # Windows are put together from pieces, as a substring is looked for from the text's beginning on.
+    size = math.gcd(window, step)
+    cut_up = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0))
+
+    def hits(piece: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.size(piece) - 1, F.lit(0)), F.lit(step // size))
+        part = lambda i: F.lower(F.array_join(F.slice(piece, i + 1, F.lit(window // size)), ""))
+        return F.array_max(F.transform(numbers, lambda i: F.struct(F.regexp_count(part(i), F.lit(pattern)).alias("hits"), (-i * size).alias("at"))))
+
+    return let(let(cut_up, hits), lambda best: _excerpt(text, n, best, window))
+
+
+def _excerpt(text: Column, n: Column, best: Column, window: int) -> Column:
     at = -best["at"]
     cut = F.substring(text, at + 1, F.lit(window))
     marked = F.concat(F.when(at > 0, "…").otherwise(""), cut, F.when(at + window < n, "…").otherwise(""))
