@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from webgrain.functions import fixed
 from webgrain.functions import text as T
+from webgrain.functions.urls import let
 from webgrain.operators import html, ranking
 
 
@@ -175,12 +176,15 @@ def fitted(texts: Column, limit: int, floor: int = 240, mark: str = fixed.TRUNCA
     while budget > floor:
         budget //= 2
         tries.append(budget)
-    cut = lambda n: F.to_json(F.transform(texts, lambda t: F.when(F.length(t) > n, F.concat(F.left(t, F.lit(n)), F.lit(mark))).otherwise(t)))
-    made = [F.to_json(texts), *(cut(n) for n in tries)]
-    out = F.when(F.length(made[0]) <= limit, made[0])
-    for m in made[1:]:
-        out = out.when(F.length(m) <= limit, m)
-    return out.otherwise(F.to_json(F.struct(F.lit(overflow).alias("error"))))
+    # A text takes no fewer characters in JSON.
+    whole = lambda ts: F.when(F.aggregate(ts, F.lit(0), lambda n, t: n + F.coalesce(F.length(t), F.lit(0))) <= limit, F.to_json(ts))
+    cut = lambda ts, n: F.to_json(F.transform(ts, lambda t: F.when(F.length(t) > n, F.concat(F.left(t, F.lit(n)), F.lit(mark))).otherwise(t)))
+
+    def tried(ts: Column, left: list[int], made: Column) -> Column:
+        """What was made if it fits, else what is made next; each is made once, and only where those before don't fit."""
+        return let(made, lambda m: F.when(F.length(m) <= limit, m).otherwise(tried(ts, left[1:], cut(ts, left[0])) if left else F.to_json(F.struct(F.lit(overflow).alias("error")))))
+
+    return let(texts, lambda ts: tried(ts, tries, whole(ts)))
 
 
 def inspected(pages: DataFrame, query: str, key: str = "page_id", url: str = "url", page: str = "html", chars: int = 4000, links: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from webgrain.functions.text import looks_like_text
+from webgrain.functions.urls import let
 from webgrain.operators import graph, guard, html, ranking, reading, research
 from webgrain.plans.made import made, rows_sql, typed
 from webgrain.plans.pages import HEAD_SQL
@@ -109,7 +110,7 @@ def extracted_kinds(spark, sf_dir):
 def fitted_payloads(spark, sf_dir):
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z ]", "")
     out = reading.fitted(F.array(plain), 1000, mark="...")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(~out.contains("..."), 0).otherwise(F.length(out) - 7).cast("int").alias("cut"))
+    return table(spark, sf_dir, "documents").select("doc_id", let(out, lambda o: F.when(~o.contains("..."), 0).otherwise(F.length(o) - 7)).cast("int").alias("cut"))
 
 
 @golden("fitted_overflow", rows_sql("n, payload", (1, '["aaaa"]'), (9, '{"error":"too large"}')))
