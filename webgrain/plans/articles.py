@@ -98,5 +98,5 @@ def article_of_documents(spark, sf_dir):
     title = F.concat(F.lit("T"), F.col("doc_id").cast("string"))
     xml = F.concat(F.lit("<article><front><article-meta><title-group><article-title>"), title, F.lit("</article-title></title-group></article-meta></front><body>"), body, F.lit("</body></article>"))
     rows = articles.article_blocks(table(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), "doc_id", "xml")
-    md = articles.article_markdown(rows, "doc_id").select("doc_id", F.substring_index("markdown", "\n", 1).alias("head"))
-    return rows.select("doc_id", (F.size("blocks") - 1).alias("blocks")).join(md, "doc_id").select("doc_id", "head", "blocks")
+    md = articles.article_markdown(rows, "doc_id")
+    return md.select("doc_id", F.substring_index("markdown", "\n", 1).alias("head"), (F.col("blocks") - 1).alias("blocks"))
