@@ -89,15 +89,19 @@ class TtlCache(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         asked = in_order(rows)
         known: dict[int, int | None] = {}
+        anew: dict[int, int] = {}
         hits = []
         for item, at in zip(asked["item"].tolist(), asked["at"].tolist(), strict=True):
             if item not in known:
-                known[item] = self.stored.getValue((item,))[0] if self.stored.containsKey((item,)) else None
+                held = self.stored.getValue((item,))
+                known[item] = held[0] if held else None
             hit = known[item] is not None and at - known[item] <= self.ttl
             hits.append(hit)
             if not hit:
-                known[item] = at
-                self.stored.updateValue((item,), (at,))
+                known[item] = anew[item] = at
+        # What a batch stores more than once is written once.
+        for item, at in anew.items():
+            self.stored.updateValue((item,), (at,))
         if not all(hits):
             self.handle.registerTimer(int(asked["at"].max()) + self.ttl + 1)
         yield pd.DataFrame({"id": asked["id"], "hit": hits})
@@ -114,20 +118,28 @@ class TtlCache(StatefulProcessor):
 
 
 class VerdictCache(StatefulProcessor):
-    """Tells of each row of a content if its verdict has to be worked out or is known from an earlier one; forgotten after ``ttl`` milliseconds."""
+    """Tells of each row of a content if its verdict has to be worked out or is known from an earlier one; forgotten after ``ttl`` milliseconds.
 
-    def __init__(self, ttl: int):
-        self.ttl = ttl
+    A state maps many contents to the ids whose verdicts stand: a state of its own for
+    each content would cost a call of Python for every few rows.
+    """
+
+    def __init__(self, ttl: int, kind: str):
+        self.ttl, self.kind = ttl, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "id bigint", ttlDurationMs=self.ttl)
+        self.known = handle.getMapState("known", f"content {self.kind}", "id bigint", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         asked = in_order(rows)
-        first = self.known.get()[0] if self.known.exists() else int(asked["id"].iloc[0])
-        if not self.known.exists():
-            self.known.update((first,))
-        yield pd.DataFrame({"id": asked["id"], "computed": asked["id"] == first, "first": first})
+        first: dict = {}
+        for content, id_ in asked.drop_duplicates("content")[["content", "id"]].itertuples(index=False, name=None):
+            held = self.known.getValue((content,))
+            first[content] = held[0] if held else int(id_)
+            if not held:
+                self.known.updateValue((content,), (int(id_),))
+        firsts = asked["content"].map(first)
+        yield pd.DataFrame({"id": asked["id"], "computed": asked["id"] == firsts, "first": firsts.astype("int64")})
 
     def close(self) -> None:
         pass
@@ -145,14 +157,19 @@ def visited_fifo(stream: DataFrame, most: int, keep: int) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(VisitedList(most, keep), f"key {kind}, id bigint", "Append", "None")
 
 
-def ttl_cache(stream: DataFrame, ttl: int, late: str = "1 hour") -> DataFrame:
-    """``id, hit`` of requests ``key, at, id, item, ts`` (``at`` and ``ttl`` in milliseconds, ``ts`` the same time as a timestamp)."""
-    return stream.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(TtlCache(ttl), "id bigint, hit boolean", "Append", "EventTime")
+def ttl_cache(stream: DataFrame, ttl: int, late: str = "1 hour", groups: int = 16) -> DataFrame:
+    """``id, hit`` of requests ``key, at, id, item, ts`` (``at`` and ``ttl`` in milliseconds, ``ts`` the same time as a timestamp).
+
+    The items of a cache don't depend on each other, so they are dealt over ``groups`` states.
+    """
+    dealt = stream.withColumn("dealt", F.pmod(F.xxhash64("item"), F.lit(groups))).withWatermark("ts", late)
+    return dealt.groupBy("key", "dealt").transformWithStateInPandas(TtlCache(ttl), "id bigint, hit boolean", "Append", "EventTime")
 
 
-def verdict_cache(stream: DataFrame, ttl: int) -> DataFrame:
-    """``id, computed, first`` of contents ``key, at, id``: the id whose verdict stands, and if it is the row's own."""
-    return stream.groupBy("key").transformWithStateInPandas(VerdictCache(ttl), "id bigint, computed boolean, first bigint", "Append", "ProcessingTime")
+def verdict_cache(stream: DataFrame, ttl: int, groups: int = 256) -> DataFrame:
+    """``id, computed, first`` of contents ``key, at, id``: the id whose verdict stands, and if it is the row's own. Contents are dealt over ``groups`` states."""
+    dealt = stream.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("dealt"), F.col("key").alias("content"), "at", "id")
+    return dealt.groupBy("dealt").transformWithStateInPandas(VerdictCache(ttl, stream.schema["key"].dataType.simpleString()), "id bigint, computed boolean, first bigint", "Append", "ProcessingTime")
 
 
 @contextmanager
