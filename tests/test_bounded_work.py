@@ -117,3 +117,12 @@ def test_caches_of_many_keys(spark, groups):
         stored[item] = stored[item] if hit else at
         want.add((i, hit))
     assert {(r["id"], r["hit"]) for r in got.collect()} == want
+
+
+def test_postings_are_written_once(spark, monkeypatch):
+    from webgrain.operators import postings
+
+    written = []
+    monkeypatch.setattr(postings, "saved", lambda df: written.append(df.columns) or df)
+    index = postings.inverted_index(spark.createDataFrame([(1, "spark joins"), (2, "spark")], "doc_id long, text string"), "doc_id", "text")
+    assert len(written) == 1 and {(r["term"], r["n"]) for r in index.collect()} == {("spark", 2), ("joins", 1)}

@@ -16,25 +16,22 @@ SLACK = 1e-6
 
 
 def inverted_index(docs: DataFrame, key: str, text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``term, block, best, docs``: for each term and block of ``SPAN`` numbers of documents the postings ``doc, weight`` and the highest weight.
+    """``term, block, n, best, corpus, docs``: for each term and block of ``SPAN`` numbers of documents the ``n`` postings ``doc, weight`` and the highest weight.
 
-    Weights are BM25's, with the corpus' sizes. Each text is counted where it is read;
-    postings are shuffled once, by term and block, so a frequent term is many rows.
+    Weights are BM25's without the term's rarity, which a search works out for the terms it
+    asks for, with ``corpus`` documents in all. Each text is counted where it is read, its
+    postings leave the task as lists of pairs of longs, and they are shuffled and written
+    once, by term and block, so a frequent term is many rows.
     """
     found = terms(F.col(text))
+    corpus, total = docs.agg(F.count("*"), F.sum(F.size(found))).first()
+    mean = F.lit((total / corpus if corpus and total else 0.0) or 1.0)
     rows = docs.select(F.struct(F.col(key).cast("long").alias("doc"), F.size(found).cast("double").alias("dl")).alias("_k"), text)
-    tf = counted(rows, "_k", found).select("_k.doc", "_k.dl", F.col("word").alias("term"), F.col("n").cast("double").alias("tf"))
-    block = F.floor(F.col("doc") / SPAN).alias("block")
-    lists = saved(tf.groupBy("term", block).agg(F.collect_list(F.struct("doc", "tf", "dl")).alias("docs")))
-    n = docs.count()
-    total = lists.agg(F.sum(F.aggregate("docs", F.lit(0.0), lambda a, d: a + d["tf"]))).first()[0]
-    mean = F.lit((total / n if n and total else 0.0) or 1.0)
-    df = lists.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = lists.join(df, "term").withColumn("idf", idf)
-    docs_of = F.transform("docs", lambda d: F.struct(d["doc"].alias("doc"), (F.col("idf") * d["tf"] * (k1 + 1) / (d["tf"] + k1 * (1 - b + b * d["dl"] / mean))).alias("weight")))
-    made = weighted.select("term", "block", docs_of.alias("docs"))
-    return saved(made.select("term", "block", F.array_max(F.transform("docs", lambda d: d["weight"])).alias("best"), "docs"))
+    tf, dl = F.col("n").cast("double"), F.col("_k.dl")
+    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+    each = counted(rows, "_k", found).select(F.col("word").alias("term"), F.floor(F.col("_k.doc") / SPAN).alias("block"), F.col("_k.doc").alias("doc"), weight.alias("weight"))
+    lists = each.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("weight").alias("best"), F.collect_list(F.struct("doc", "weight")).alias("docs"))
+    return saved(lists.select("term", "block", "n", "best", F.lit(corpus).alias("corpus"), "docs"))
 
 
 def search_all(index: DataFrame, queries: DataFrame, key: str, text: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -46,8 +43,11 @@ def search_all(index: DataFrame, queries: DataFrame, key: str, text: str, k: int
     any size, and no text of theirs leaves the executors. Ties, after six decimals, go to
     the smaller document.
     """
-    asked = saved(queries.select(F.col(key).alias("q"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term")))
-    bounds = saved(asked.join(index.select("term", "block", "best"), "term").groupBy("q", "block").agg(F.sum("best").alias("bound")))
+    named = saved(queries.select(F.col(key).alias("q"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term")))
+    rarity = index.join(named.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"), F.first("corpus").alias("corpus"))
+    idf = F.log(1 + (F.col("corpus") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = saved(named.join(rarity, "term").select("q", "term", idf.alias("idf")))
+    bounds = saved(asked.join(index.select("term", "block", "best"), "term").groupBy("q", "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound")))
     by_bound = Window.partitionBy("q").orderBy(F.col("bound").desc(), "block")
     early = bounds.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= FIRST).select("q", "block")
     first = saved(_scored(index, asked, early))
@@ -63,7 +63,7 @@ def search_all(index: DataFrame, queries: DataFrame, key: str, text: str, k: int
 
 def _scored(index: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
     lists = blocks.join(asked, "q").join(index.select("term", "block", "docs"), ["term", "block"])
-    each = lists.select("q", F.explode("docs").alias("d")).select("q", "d.doc", "d.weight")
+    each = lists.select("q", "idf", F.explode("docs").alias("d")).select("q", "d.doc", (F.col("idf") * F.col("d.weight")).alias("weight"))
     return each.groupBy("q", "doc").agg(_rounded(F.sum("weight")).alias("score"))
 
 
