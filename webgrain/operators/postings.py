@@ -19,9 +19,9 @@ def inverted_index(docs: DataFrame, key: str, text: str, k1: float = 1.5, b: flo
     """``term, block, n, best, corpus, docs``: for each term and block of ``SPAN`` numbers of documents the ``n`` postings ``doc, weight`` and the highest weight.
 
     Weights are BM25's without the term's rarity, which a search works out for the terms it
-    asks for, with ``corpus`` documents in all. Each text is counted where it is read, its
-    postings leave the task as lists of pairs of longs, and they are shuffled and written
-    once, by term and block, so a frequent term is many rows.
+    asks for, with ``corpus`` documents in all. Each text is counted where it is read;
+    postings are shuffled and written once, by term and block, so a frequent term is many
+    rows.
     """
     found = terms(F.col(text))
     corpus, total = docs.agg(F.count("*"), F.sum(F.size(found))).first()
