@@ -341,6 +341,42 @@ def test_nearest_forest():
         assert groups[0] == groups[1]
 
 
+def test_variant_links():
+    """Values that differ in one bit share a variant, in two none do; other groups don't meet."""
+    fps = np.zeros((5, 4), np.uint64)
+    group, other = np.array([0, 0, 0, 1, 2]), np.array([0b0, 0b100, 0b111, 0b0, 0b0])
+    links = np.concatenate(list(simhash.variant_links(group, other, fps, 56)))
+    assert sorted(map(sorted, links.tolist())) == [[0, 1]]
+
+
+def test_candidates_connect_by_variants_in_few_rows(spark):
+    """Rows near each other come back as links that connect them, not as a row for each key; none lead to rows that are far."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, 256)
+    near = [base ^ (rng.random(256) < 0.07) for _ in range(300)]
+    far = list(rng.integers(0, 2, (40, 256)))
+    fps = [np.packbits(b.astype(bool)).view(np.int64).tolist() for b in near + far]
+    rows = spark.createDataFrame(list(enumerate(fps)), "id bigint, fp array<bigint>")
+    links = [(r["u"], r["v"]) for r in simhash.candidates(rows, 4, simhash.STAGE["deals"], 56).collect()]
+    assert len(links) <= 4 * 299  # four tasks
+    place = list(range(340))
+    for u, v in links:
+        place = [place[v] if x == place[u] else x for x in place]
+    assert len(set(place[:300])) == 1 and len(set(place)) == 41
+
+
+def test_verified_in_blocks(spark, monkeypatch):
+    """A cluster dealt out in pairs of blocks has the links of all its pairs, and no others."""
+    monkeypatch.setattr(simhash, "SETS", 4)
+    sets = [(i, list(range(2 * i, 2 * i + 20))) for i in range(30)] + [(30, list(range(500, 520)))]
+    frame = spark.createDataFrame(sets, "node bigint, tokens array<bigint>")
+    links = simhash.verified(frame.selectExpr("node", "0L AS root"), frame, 80).collect()
+    place = list(range(31))
+    for r in links:
+        place = [place[r["v"]] if x == place[r["u"]] else x for x in place]
+    assert len(set(place[:30])) == 1 and len(set(place)) == 2
+
+
 def test_prefix_hash():
     rng = random.Random(5)
     texts = ["", "a", "ab" * 30] + ["".join(rng.choice("abé😀") for _ in range(rng.randint(0, 80))) for _ in range(60)]

@@ -136,12 +136,6 @@ def nearest_forest(fps: np.ndarray, most: int) -> np.ndarray:
     return np.array(out, int).reshape(-1, 2)
 
 
-def with_neighbours(fps: np.ndarray, most: int) -> np.ndarray:
-    """The places of the rows that have another one at ``most`` or fewer bits, each as a link of the row with itself."""
-    rows = np.unique(nearest_forest(fps, most))
-    return np.stack([rows, rows], 1)
-
-
 def links(unique: DataFrame, parts: list[tuple[int, int, int]], most: int, words: int) -> DataFrame:
     """Links ``u, v`` between rows ``id, fp`` (distinct fingerprints) at ``most`` or fewer bits that share a variant.
 
@@ -154,11 +148,28 @@ def links(unique: DataFrame, parts: list[tuple[int, int, int]], most: int, words
     counts = with_variants(by_segment.groupBy("c").agg(F.count("*").alias("n")), "n").groupBy("key").agg(F.sum("n").alias("n"))
     crowded = stored(counts.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "crowded")
     index = with_variants(by_segment, "id", "fp")
-    return linked(index, crowded, most, words, lambda fps: np.array(list(forest(fps, lambda d: d <= most)), int).reshape(-1, 2))
+
+    def start() -> Found:
+        def found(group: np.ndarray, key: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            sizes = np.bincount(group)
+            starts = np.cumsum(sizes) - sizes
+            small = np.flatnonzero(((sizes > 1) & (sizes <= FEW))[group])
+            yield from near_pairs(group[small], ids[small], fps[small], most)
+            for a, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+                grew = np.array(list(forest(fps[a : a + n], lambda d: d <= most)), int).reshape(-1, 2)
+                yield ids[a + grew[:, 0]], ids[a + grew[:, 1]]
+
+        return found
+
+    return linked(index, crowded, words, start)
 
 
-def linked(index: DataFrame, crowded: DataFrame, most: int, words: int, tree: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Links ``u, v`` of an index ``key, id, fp``: all pairs where few rows share a key, else those of ``tree``; ``crowded`` keys are dealt out by their ``blocks``."""
+#: Links of some groups, whose rows lie by group: the group's number, key, id and fingerprint of each row.
+Found = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def linked(index: DataFrame, crowded: DataFrame, words: int, start: Callable[[], Found]) -> DataFrame:
+    """Links ``u, v`` of an index ``key, id, fp``, found within the rows of a key; ``crowded`` keys are dealt out by their ``blocks``. ``start`` is called once a task."""
     arrow = arrow_schema(index.sparkSession, "u bigint, v bigint")
     if crowded.isEmpty():
         many = index.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", "fp")
@@ -169,16 +180,12 @@ def linked(index: DataFrame, crowded: DataFrame, most: int, words: int, tree: Ca
         many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "fp")
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = start()
         keys, ids, fps = [np.empty((0, 3), np.int64)], [np.empty(0, np.int64)], [np.empty((0, words), np.uint64)]
 
         def grown(key: np.ndarray, id_: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-            sizes = np.diff(np.append(starts, len(key)))
-            small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
-            found = list(near_pairs(np.repeat(starts, sizes)[small], id_[small], fp[small], most))
-            for a, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-                grew = tree(fp[a : a + n])
-                found.append((id_[a + grew[:, 0]], id_[a + grew[:, 1]]))
+            group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]).any(1)]))
+            found = list(find(group, key[:, 0], id_, fp))
             u, v = (np.concatenate([f[side] for f in found]) if found else np.empty(0, np.int64) for side in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=arrow)
 
@@ -232,8 +239,12 @@ def hex_word(column: Column) -> Column:
 
 
 #: The pipeline's stage: documents whose sets of five-word shingles have this similarity or more are copies. Candidates differ in ``most`` of
-#: 256 bits (0.8 is expected at 38.8, with a spread of 5.7) and share one of ``deals`` x 16 keys of 16 bits.
-STAGE = {"size": 5, "words": 4, "deals": 12, "most": 56, "alike": 0.8}
+#: 256 bits (0.8 is expected at 38.8, with a spread of 5.7), and in one of ``deals`` x 12 segments of 20 bits by at most one bit.
+STAGE = {"size": 5, "words": 4, "deals": 4, "most": 56, "alike": 0.8}
+#: Bits of half a segment of the stage.
+HALF = 10
+#: Sets and tokens of one block of candidates that are compared with each other, about.
+SETS, TOKENS = 2048, 1 << 20
 HAS_WORDS = r"[^\x20\x09-\x0D]"
 
 
@@ -259,54 +270,141 @@ def set_digest(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
 
 
-def dealt_keys(fps: np.ndarray, deals: int) -> np.ndarray:
-    """For each fingerprint (rows of words) its keys: the bits are dealt out ``deals`` times anew, by 16 a key; the key's number is in its top bits."""
-    width = 64 * fps.shape[1]
+def dealt_halves(words: int, deals: int) -> np.ndarray:
+    """The places of the bits of each half segment (rows): all bits are dealt out ``deals`` times anew; the halves of a segment follow each other."""
     rng = np.random.default_rng(7)
-    order = np.concatenate([rng.permutation(width) for _ in range(deals)])
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1)
-    values = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(np.uint16).astype(np.int64)
-    return values | (np.arange(values.shape[1], dtype=np.int64) << 16)
+    whole = 64 * words // (2 * HALF) * 2 * HALF
+    return np.concatenate([rng.permutation(64 * words)[:whole].reshape(-1, HALF) for _ in range(deals)])
+
+
+def half_values(fps: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bits of fingerprints (rows of unsigned words) at the places (last axis) as numbers: a row of places for each fingerprint, or a table of them for all."""
+    rows = np.arange(len(fps))
+    rows, places = (rows, places) if places.ndim == 2 else (rows[:, None], places)
+    out = np.zeros(np.broadcast_shapes(rows.shape, places.shape[:-1]), np.int64)
+    for k in range(HALF):
+        at = places[..., k]
+        out |= ((fps[rows, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << k
+    return out
+
+
+class Joined:
+    """Which links join what a task's links before have not joined; forgets all once it knows many nodes."""
+
+    def __init__(self, most: int = 200_000):
+        self.parent: dict[int, int] = {}
+        self.most = most
+
+    def top(self, a: int) -> int:
+        parent = self.parent
+        while (b := parent.setdefault(a, a)) != a:
+            parent[a] = parent[b]
+            a = b
+        return a
+
+    def fresh(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parent) > self.most:
+            self.parent.clear()
+        keep = []
+        for k, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+            a, b = self.top(a), self.top(b)
+            if a != b:
+                self.parent[a] = b
+                keep.append(k)
+        return u[keep], v[keep]
+
+
+def variant_links(group: np.ndarray, other: np.ndarray, fps: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Links (pairs of places) between rows of a group whose deletion variants of ``other`` agree: of few rows or few links all, else a forest that connects the same rows."""
+    for bit in range(HALF):
+        # Equal values agree on all variants, so they meet at the first only.
+        variant = group << HALF | other & ~(1 << bit)
+        order = np.argsort(variant, kind="stable")
+        variant = variant[order]
+        starts = np.flatnonzero(np.append(True, variant[1:] != variant[:-1]))
+        sizes = np.diff(np.append(starts, len(variant)))
+        run = np.repeat(np.arange(len(starts)), sizes)
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(run)) - 1
+        at = np.flatnonzero((left > 0) & (sizes <= 5 * FEW)[run])
+        found = [np.empty((0, 2), int)]
+        for step in range(1, 5 * FEW):
+            at = at[left[at] >= step]
+            if not len(at):
+                break
+            a, b = order[at], order[at + step]
+            asked = np.ones(len(a), bool) if not bit else other[a] != other[b]
+            a, b, place = a[asked], b[asked], at[asked]
+            hit = np.bitwise_count(fps[a] ^ fps[b]).sum(1) <= most
+            found.append(np.stack([place[hit], place[hit] + step], 1))
+        near = np.concatenate(found)
+        dense = np.bincount(run[near[:, 0]], minlength=len(starts)) > FEW * sizes
+        yield order[near[~dense[run[near[:, 0]]]]]
+        for k in np.flatnonzero(dense):
+            own = order[starts[k] : starts[k] + sizes[k]]
+            yield own[nearest_forest(fps[own], most)]
+        for k in np.flatnonzero(sizes > 5 * FEW):
+            own = order[starts[k] : starts[k] + sizes[k]]
+            if bit and (other[own] == other[own[0]]).all():
+                continue
+            yield own[np.array(list(forest(fps[own], lambda d: d <= most)), int).reshape(-1, 2)]
 
 
 def candidates(unique: DataFrame, words: int, deals: int, most: int) -> DataFrame:
-    """Links ``u, v`` between rows ``id, fp`` at ``most`` or fewer bits that share a dealt key; where many share one, each that has such a link is linked with itself instead."""
+    """Links ``u, v`` that connect the rows ``id, fp`` as all pairs at ``most`` or fewer bits would that share a deletion variant of a dealt segment.
+
+    The variants that leave out a bit of one half of a segment agree on its other half,
+    so each row is shuffled once for each half, and its variants are made in the task.
+    """
     schema = "id bigint, fp array<bigint>, keys array<bigint>"
 
-    def start():
+    def keys():
+        places = dealt_halves(words, deals)
+
         def apply(x: dict[str, list]) -> dict[str, list]:
-            return {"id": x["id"], "fp": x["fp"], "keys": list(dealt_keys(np.array(x["fp"], np.int64), deals))}
+            values = half_values(np.array(x["fp"], np.int64).view(np.uint64), places[None])
+            return {"id": x["id"], "fp": x["fp"], "keys": list(values | np.arange(len(places), dtype=np.int64) << HALF)}
 
         return apply
 
-    keyed = map_rows(unique.select("id", "fp"), schema, start)
+    def start() -> Found:
+        places, joined = dealt_halves(words, deals), Joined()
+
+        def found(group: np.ndarray, key: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            # The other half of the segment.
+            other = half_values(fps, places[(key >> HALF) ^ 1])
+            for pairs in variant_links(group, other, fps, most):
+                yield joined.fresh(ids[pairs[:, 0]], ids[pairs[:, 1]])
+
+        return found
+
+    keyed = map_rows(unique.select("id", "fp"), schema, keys)
     # Which keys are crowded decides only how the work is dealt out, so one row in ``rate`` tells.
-    rate = max(1, BLOCK // 64)
-    some = map_rows(unique.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0).select("id", "fp"), schema, start)
+    most_rows = 8 * BLOCK
+    rate = max(1, most_rows // 512)
+    some = map_rows(unique.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0).select("id", "fp"), schema, keys)
     counts = some.select(F.explode("keys").alias("key")).groupBy("key").agg((F.count("*") * rate).alias("n"))
-    crowded = stored(counts.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "crowded")
-    index = keyed.select(F.explode("keys").alias("key"), "id", "fp")
-    return linked(index, crowded, most, words, lambda fps: with_neighbours(fps, most))
+    crowded = stored(counts.where(F.col("n") > most_rows).select("key", F.ceil(F.col("n") / most_rows).alias("blocks")), "crowded")
+    return linked(keyed.select(F.explode("keys").alias("key"), "id", "fp"), crowded, words, start)
 
 
-def crowd_links(rows: DataFrame, signed: DataFrame, nodes: DataFrame, size: int, alike: int) -> DataFrame:
-    """Links ``u, v`` that connect the nodes as all pairs with a similarity of ``alike`` in a hundred would; of ``rows`` (``id, hash, text``) one a node is read."""
-    asked = stored(signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("r")).select("node", F.col("r.id").alias("i"), F.col("r.hash").alias("h")), "crowd")
-    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))
-    some = stored(rows.join(asked.select("i", "h"), same, "left_semi"), "crowd-texts")
-    rooted = shingle_join.rooted(some, size, alike).select("id", "hash", "root").join(asked, same).select("node", "root")
-    return rooted.join(rooted.groupBy("root").agg(F.min("node").alias("v")), "root").select(F.col("node").alias("u"), "v").where("u <> v")
+def verified(clusters: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
+    """Links ``u, v`` that connect the sets (``node, tokens``) of each cluster (``node, root``) as all pairs with a similarity of ``alike`` in a hundred would.
+
+    A large cluster is dealt out in pairs of blocks, by its sets and their tokens.
+    """
+    sizes = clusters.join(sets.select("node", F.size("tokens").alias("n")), "node").groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum("n") / TOKENS)).alias("blocks"))
+    dealt = clusters.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    blocks = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "node")
+    return shingle_join.within(blocks, sets, alike)
 
 
-def similar(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, words: int = 4, deals: int = 12, most: int = 56, alike: float = 0.8) -> DataFrame:
+def similar(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, words: int = 4, deals: int = 4, most: int = 56, alike: float = 0.8) -> DataFrame:
     """``id, hash, root`` of each row with words: its key, the XXH64 of its text, and what its group of near-copies has in common.
 
-    Rows of equal shingle sets are alike; other links are found by fingerprints and hold
-    only if the sets' exact similarity (Jaccard) is ``alike`` or more. Sets are told by a
-    64-bit digest. Candidates of keys that few fingerprints share are compared pair by
-    pair. Rows that are near another one in a crowd (of a key that many share) are joined
-    with each other by their shingles (see ``shingle_join``), which loses no pair of them
-    and makes no pairs of all that are near.
+    Rows of equal shingle sets are alike; other links are found by deletion variants of
+    fingerprints and hold only if the sets' exact similarity (Jaccard) is ``alike`` or
+    more. Sets are told by a 64-bit digest. What candidates connect is a cluster; all
+    sets of a cluster are compared with each other, in tasks of bounded size.
     """
     rows = pick(df, id=key, text=text).select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
     rows = rows.where(F.col("text").rlike(HAS_WORDS))
@@ -320,32 +418,21 @@ def similar(df: DataFrame, text: str = "text", key: str = "doc_id", size: int =
 
     signed = stored(map_rows(rows, "id bigint, hash bigint, node bigint, fp array<bigint>", sign), "signed")
     unique = stored(signed.groupBy("node").agg(F.first("fp").alias("fp")).select(F.col("node").alias("id"), "fp"), "unique")
-    found = candidates(unique, words, deals, most).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    found = stored(found.distinct(), "candidates")
-    crowd = stored(found.where("u = v").select(F.col("u").alias("node")), "crowded")
-    # Pairs within the crowds are left to the join of the crowds.
-    cu, cv = (crowd.select(F.col("node").alias(n), F.lit(True).alias(f"c{n}")) for n in "uv")
-    pairs = found.where("u <> v").join(cu, "u", "left").join(cv, "v", "left").where("cu is null or cv is null").select("u", "v")
-    pairs = stored(pairs, "pairs")
+    clusters = stored(components(candidates(unique, words, deals, most)), "clusters")
     # The sets of the rows in question are made again from their texts.
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    asked = signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("r")).select(F.col("r.id").alias("i"), F.col("r.hash").alias("h"))
+    asked = signed.join(clusters, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("r")).select(F.col("r.id").alias("i"), F.col("r.hash").alias("h"))
     texts = rows.join(asked, rows["id"].eqNullSafe(asked["i"]) & (rows["hash"] == asked["h"]), "left_semi").select("text")
 
     def spell():
         def apply(x: dict[str, list]) -> dict[str, list]:
             sets = [shingle_set(t, size) for t in x["text"]]
-            return {"node": [set_digest(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]}
+            return {"node": [set_digest(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]}
 
         return apply
 
-    sets = stored(map_rows(texts, "node bigint, shingles array<bigint>", spell).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "uv")
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("su", "sv")).alias("n"), (F.size("su") + F.size("sv")).alias("sum"))
-    near = stored(both.where(F.col("n") / (F.col("sum") - F.col("n")) >= alike).select("u", "v"), "near")
-    if not crowd.isEmpty():
-        near = near.union(crowd_links(rows, signed, crowd, size, round(100 * alike)))
-    roots = components(near)
+    # Repeated rows give their set more than once.
+    sets = stored(map_rows(texts, "node bigint, tokens array<bigint>", spell).groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    roots = components(verified(clusters, sets, round(100 * alike)))
     return stored(signed.join(roots, "node", "left").select("id", "hash", F.coalesce("root", "node").alias("root")), "similar")
 
 
