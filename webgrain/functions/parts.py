@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from webgrain.operators.html import found_tables
+from webgrain.operators.html import rows_of
 
 
 @udtf(returnType="chunk int, start int, content string", useArrow=False)
@@ -36,10 +36,7 @@ class TableRows:
     """``table_rows(html)``: the rows of each outermost table of a page, the header first where there is one."""
 
     def eval(self, html: str | None) -> Iterator[tuple[int, str, int, bool, list[str]]]:
-        for k, t in enumerate(found_tables(html)):
-            headed = bool(t["headers"])
-            for i, cells in enumerate([t["headers"]] * headed + t["rows"]):
-                yield k, t["name"], i, headed and i == 0, cells
+        yield from rows_of(html)
 
 
 def register(spark: SparkSession) -> None:

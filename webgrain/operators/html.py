@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,6 +20,10 @@ BLOCKS = frozenset("address article aside blockquote div dl dt dd fieldset figur
 #: Tags that a following tag closes.
 CLOSES = {"p": BLOCKS, "li": frozenset({"li"}), "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"}), "thead": frozenset({"tbody", "tfoot"}), "tbody": frozenset({"tbody", "tfoot"})}
 
+#: Pages of text and bare tags only, none of which changes how what follows is read; their pieces are told by one expression.
+PLAIN = re.compile(r"(?:[^<]++|</?(?!(?i:script|style|textarea|title|iframe|noembed|noframes|noscript|xmp|plaintext)>)[a-zA-Z][a-zA-Z0-9]*+>)*+")
+PIECES = re.compile(r"<([a-zA-Z0-9]+)>|</([a-zA-Z0-9]+)>|([^<]+)")
+
 
 class Node:
     __slots__ = ("tag", "attrs", "kids")
@@ -34,6 +39,8 @@ class Node:
             stack.extend(k for k in reversed(node.kids) if isinstance(k, Node))
 
     def text(self) -> str:
+        if len(self.kids) == 1 and isinstance(self.kids[0], str) and self.tag not in ("script", "style"):
+            return self.kids[0]
         out, stack = [], [self]
         while stack:
             node = stack.pop()
@@ -48,20 +55,34 @@ class Tree(HTMLParser):
     """A forgiving tree: unclosed tags end with their parent."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.root = Node("document", {})
         self.open = [self.root]
+        if PLAIN.fullmatch(html):
+            self.read_plain(html)
+            return
+        super().__init__(convert_charrefs=True)
         self.feed(html)
         self.close()
 
+    def read_plain(self, html: str) -> None:
+        """What the parser makes of a page of text and bare tags."""
+        for start, end, text in PIECES.findall(html):
+            if text:
+                self.open[-1].kids.append(unescape(text) if "&" in text else text)
+            elif start:
+                self.handle_starttag(start.lower(), ())
+            else:
+                self.handle_endtag(end.lower())
+
     def handle_starttag(self, tag, attrs):
-        while len(self.open) > 1 and tag in CLOSES.get(self.open[-1].tag, ()):
-            self.open.pop()
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].kids.append(node)
+        opened = self.open
+        while len(opened) > 1 and tag in CLOSES.get(opened[-1].tag, ()):
+            opened.pop()
+        node = Node(tag, {k: v or "" for k, v in attrs} if attrs else {})
+        opened[-1].kids.append(node)
         # Deeper nesting than this is flattened, so hostile pages cost no more than their length.
-        if tag not in VOID and len(self.open) < 200:
-            self.open.append(node)
+        if tag not in VOID and len(opened) < 200:
+            opened.append(node)
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, 0, -1):
@@ -127,18 +148,19 @@ def grid(table: Node, most: int | None = 500, cell: int | None = 1000) -> tuple[
     for y, row in enumerate(rows):
         cells: list[str] = []
         for c in (k for k in row.kids if isinstance(k, Node) and k.tag in ("td", "th")):
-            while (y, len(cells)) in covered:
+            while covered and (y, len(cells)) in covered:
                 cells.append("")
             header = header or (y == 0 and c.tag == "th")
-            wide, high = span(c.attrs.get("colspan", "1")), span(c.attrs.get("rowspan", "1"))
+            wide, high = (span(c.attrs.get("colspan", "1")), span(c.attrs.get("rowspan", "1"))) if c.attrs else (1, 1)
             for dy in range(1, min(high, len(rows))):
                 for dx in range(wide):
                     covered[y + dy, len(cells) + dx] = True
             value = " ".join(c.text().split())
-            if cell is not None:
+            # A character has four bytes at most.
+            if cell is not None and 4 * len(value) > cell:
                 value = value.encode()[:cell].decode("utf-8", "ignore")
             cells += [value, *[""] * (wide - 1)]
-        while (y, len(cells)) in covered:
+        while covered and (y, len(cells)) in covered:
             cells.append("")
         out.append(cells)
     width = max(map(len, out), default=0)
@@ -233,6 +255,30 @@ def found_tables(page: str | None) -> list[dict]:
     return found
 
 
+def rows_of(page: str | None) -> Iterator[tuple[int, str, int, bool, list[str]]]:
+    """Table number, name, row number, whether it is the header, and cells of each row of the outermost tables of a page."""
+    for k, t in enumerate(found_tables(page)):
+        headed = bool(t["headers"])
+        for i, cells in enumerate([t["headers"], *t["rows"]] if headed else t["rows"]):
+            yield k, t["name"], i, headed and i == 0, cells
+
+
+def table_rows(df: DataFrame, key: str, html: str) -> DataFrame:
+    """``key, table_no, name, row_no, header, cells``: the rows of each outermost table of a page, the header first where there is one."""
+
+    def read(batch):
+        import pyarrow as pa
+
+        found = [list(rows_of(page)) for page in batch.column(1).to_pylist()]
+        rows = [row for page in found for row in page]
+        table_no, name, row_no, header, cells = zip(*rows, strict=True) if rows else ((),) * 5
+        whose = batch.column(0).take(pa.array([i for i, page in enumerate(found) for _ in page], pa.int64()))
+        columns = [pa.array(c, t) for c, t in zip((table_no, name, row_no, header, cells), (pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.string())), strict=True)]
+        return pa.RecordBatch.from_arrays([whose, *columns], names=[key, "table_no", "name", "row_no", "header", "cells"])
+
+    return by_pieces(df.select(key, F.col(html).alias("_page")), f"`{key}` {kind(df, key)}, table_no int, name string, row_no int, header boolean, cells array<string>", read)
+
+
 def tables(df: DataFrame, key: str, html: str) -> DataFrame:
     """``key, table_no, name, headers, rows`` of each outermost table with rows; names are captions or ``table-N`` by place among these."""
 

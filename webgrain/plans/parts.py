@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webgrain.functions import parts
+from webgrain.operators.html import table_rows
 from webgrain.operators.networks import longest_prefix, networks
 from webgrain.plans.registry import register, table
 
@@ -33,13 +34,12 @@ SELECT l_orderkey, 0, 'order ' || l_orderkey, CAST(row_number() OVER (PARTITION
 """)
 def table_rows_of_orders(spark, sf_dir):
     """Orders as pages with a table of their lines, and the rows read from the pages; an order has a few lines."""
-    parts.register(spark)
     row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("<td><b>"), "l_returnflag", F.lit("</b></tr>"))
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda x: x["row"]), "")
     head = F.concat(F.lit("<body><table><caption> order "), F.col("o_orderkey").cast("string"), F.lit("</caption><thead><tr><th>line<th>flag<th>&amp;</tr></thead><tbody>"))
     pages = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey").select("o_orderkey", F.concat(head, body, F.lit("</tbody></table>")).alias("html"))
-    return spark.sql("SELECT o_orderkey, table_no, name, row_no, header, array_join(cells, '|') AS cells FROM {pages} p, LATERAL table_rows(p.html)", pages=pages)
+    return table_rows(pages, "o_orderkey", "html").withColumn("cells", F.array_join("cells", "|"))
 
 
 #: Weights that spread keys over 32-bit numbers.
