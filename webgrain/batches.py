@@ -20,14 +20,14 @@ def pieces(batch, size: int = PIECE) -> Iterator:
     yield from pieces(batch.slice(half), size)
 
 
-def by_pieces(df: DataFrame, schema: str, apply: Callable) -> DataFrame:
+def by_pieces(df: DataFrame, schema: str, apply: Callable, size: int = PIECE) -> DataFrame:
     """``mapInArrow`` by pieces: ``apply`` makes one record batch of a piece. Memory that Arrow no longer uses is given back after each batch."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, size):
                 yield apply(piece)
             del batch
             pa.default_memory_pool().release_unused()
